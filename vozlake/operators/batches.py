@@ -70,12 +70,17 @@ def multilingual_batch(comments: DataFrame, responses: DataFrame, key: str = "do
     called = called.withColumn("_translation", payloads.translation(
         F.col("t_present"), F.col("t_transport_error"), F.col("t_raw"), F.col("detected_language")))
     usable = F.coalesce(F.col("_t") & F.col("_translation.success"), F.lit(False))
-    rescored = called.withColumn("_alt", F.when(usable, model.score(F.col("_translation.translated_text"))))
-    for name in scoring.SCORE_COLUMNS:
-        rescored = rescored.withColumn(name, F.when(usable, F.col(f"_alt.{name}")).otherwise(F.col(name)))
-    judged = routing.route(rescored.drop("_alt", "reasons", "should_review"), router)
-    judged = routing.shared_grants(judged, F.col("_t"), F.col("should_review") & F.lit(reviewer_available), key, cap, groups)
-    # the last candidate may lose its translation to the cap only if it never had one to use
+    both = called.withColumn("_alt", F.when(usable, model.score(F.col("_translation.translated_text")))).withColumn(
+        "_alt_reasons", router.reasons(None, "_alt.sentiment", "_alt.confidence", "_alt.prediction_margin"))
+    wish = F.when(usable, F.size("_alt_reasons") > 0).otherwise(F.col("should_review")) & F.lit(reviewer_available)
+    judged = routing.shared_grants(both, F.col("_t"), wish, key, cap, groups)
+    # a refused translation leaves the row on its original text
+    used = usable & F.col("translation_granted")
+    judged = judged.withColumns({
+        **{n: F.when(used, F.col(f"_alt.{n}")).otherwise(F.col(n)) for n in scoring.SCORE_COLUMNS},
+        "reasons": F.when(used, F.col("_alt_reasons")).otherwise(F.col("reasons")),
+        "should_review": F.when(used, F.size("_alt_reasons") > 0).otherwise(F.col("should_review")),
+    }).drop("_alt", "_alt_reasons")
     rest = _empty_translation(late, responses) \
         .withColumn("translation_granted", F.lit(False)).withColumn("review_granted", F.lit(False))
     together = judged.unionByName(rest)
