@@ -25,8 +25,11 @@ def place(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
 
 def scan(placed: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
          sums: Mapping[str, Column] | None = None,
-         maxima: Mapping[str, Column] | None = None) -> DataFrame:
-    """Running sums and maxima in order; ``placed`` comes from :func:`place`."""
+         maxima: Mapping[str, Column] | None = None, keep_part: bool = False) -> DataFrame:
+    """Running sums and maxima in order; ``placed`` comes from :func:`place`.
+
+    ``keep_part`` leaves ``_part`` in place for a further scan in the same order.
+    """
     sums, maxima = dict(sums or {}), dict(maxima or {})
     local = Window.partitionBy(*group_cols, "_part").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -48,7 +51,7 @@ def scan(placed: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
         *[F.sum(c).over(local).alias(f"_ls_{n}") for n, c in sums.items()],
         *[F.max(c).over(local).alias(f"_lm_{n}") for n, c in maxima.items()],
     ).join(carried, [*group_cols, "_part"])
-    kept = [c for c in placed.columns if c != "_part"]
+    kept = [c for c in placed.columns if keep_part or c != "_part"]
     return running.select(
         *kept,
         *[(F.col(f"_ls_{n}") + F.col(f"_s_{n}")).alias(n) for n in sums],
