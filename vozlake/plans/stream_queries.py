@@ -1 +1,52 @@
-"""Placeholder."""
+"""Streaming twins run to completion over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from vozlake.durable import scratch
+from vozlake.operators import costs, routing
+from vozlake.plans import oracle as o
+from vozlake.plans.registry import Tables, query
+from vozlake.streaming import jobs
+
+_EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+_DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@query("stream_journal", "SELECT event_id, user_id, event_type, value FROM events WHERE value >= 1")
+def stream_journal(t: Tables) -> DataFrame:
+    """Arriving events, incomplete ones held back, appended exactly once."""
+    events = jobs.read_stream(t.spark, t.folder, _EVENTS, "events.parquet")
+    record = events.select("event_id", "user_id", "event_type", F.when(F.col("value") >= 1, F.col("value")).alias("value"))
+    path = scratch(t.spark, "stream-journal")
+    jobs.finish(jobs.append(jobs.journal(record, ["event_id", "event_type", "value"]), path + "/data", path + "/checkpoint"))
+    return t.spark.read.parquet(path + "/data")
+
+
+@query("stream_latest_state", """SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2""")
+def stream_latest_state(t: Tables) -> DataFrame:
+    events = jobs.read_stream(t.spark, t.folder, _EVENTS, "events.parquet").select("user_id", "event_type", "event_id", "value")
+    path = scratch(t.spark, "stream-latest")
+    jobs.finish(jobs.latest_state(events, ["user_id", "event_type"], "event_id", path + "/data", path + "/checkpoint"))
+    return costs.latest_records(t.spark.read.parquet(path + "/data").drop("batch_id"), ["user_id", "event_type"], "event_id")
+
+
+@query("stream_rate", """WITH w AS (SELECT user_id, unnest([time_bucket(INTERVAL 30 MINUTES, ts), time_bucket(INTERVAL 30 MINUTES, ts) - INTERVAL 30 MINUTES]) AS s FROM events)
+    SELECT user_id, epoch(s)::BIGINT AS window_start, count(*) AS requests FROM w GROUP BY 1, s HAVING count(*) > 1 AND s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
+def stream_rate(t: Tables) -> DataFrame:
+    """Users above one event per sliding hour; only windows the watermark has closed."""
+    events = jobs.read_stream(t.spark, t.folder, _EVENTS, "events.parquet").select("user_id", "ts")
+    alerts = jobs.rate_alerts(events, "user_id", "ts", 1, "1 hour", "30 minutes", "10 minutes")
+    path = scratch(t.spark, "stream-rate")
+    jobs.finish(jobs.append(alerts, path + "/data", path + "/checkpoint"))
+    return t.spark.read.parquet(path + "/data").select("user_id", F.unix_timestamp("window_start").alias("window_start"), "requests")
+
+
+@query("stream_scoring", o.with_ctes("SELECT doc_id, sentiment, confidence, reasons <> '' AS should_review FROM routed"))
+def stream_scoring(t: Tables) -> DataFrame:
+    arriving = jobs.read_stream(t.spark, t.folder, _DOCUMENTS, "documents.parquet").select("doc_id", "text")
+    scored = routing.route(jobs.score_stream(arriving)).select("doc_id", "sentiment", "confidence", "should_review")
+    path = scratch(t.spark, "stream-scoring")
+    jobs.finish(jobs.append(scored, path + "/data", path + "/checkpoint"))
+    return t.spark.read.parquet(path + "/data")
