@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterable
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
 from vozlake import constants as C
@@ -29,6 +29,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def per_session(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep a large expression for the life of the Spark application.
+
+    Building one takes hundreds of calls into the JVM. Arguments are plain values
+    (column names, models), never columns.
+    """
+    kept: dict[tuple, Column] = {}
+
+    @wraps(build)
+    def again(*args: object) -> Column:
+        key = (SparkSession.active().sparkContext.applicationId, *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return again
+
+
 def strip(col: Column) -> Column:
     return F.trim(col, F.lit(C.WHITESPACE))
 
@@ -223,3 +241,9 @@ def with_bigrams(tokens: Column) -> Column:
 def topic_terms(text: Column, stop_words: Iterable[str] | None = C.TOPIC_STOP_WORDS) -> Column:
     """Distinct topic unigrams and bigrams of one comment."""
     return F.array_distinct(with_bigrams(topic_tokens(text, stop_words)))
+
+
+@per_session
+def topic_terms_of(name: str, stop_words: tuple[str, ...] | None = C.TOPIC_STOP_WORDS) -> Column:
+    """:func:`topic_terms` of a named column."""
+    return topic_terms(F.col(name), stop_words)

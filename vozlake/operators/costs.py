@@ -58,7 +58,7 @@ def latency_summary(log: DataFrame, group_cols: Sequence[str] = (), latency: str
     found = qt.quantiles(log, group_cols, F.col(latency), {"median": 0.5, "p95": 0.95}, qt.LATENCY_DECIMALS)
     hist = qt.histogram(log, group_cols, F.col(latency), qt.LATENCY_DECIMALS)
     lower = _lower_order_statistic(hist, list(group_cols), 0.95)
-    joined = found.join(lower, list(group_cols), "left") if group_cols else found.withColumn("p95_lower", lower.scalar())
+    joined = ranking.join_groups(found, lower, list(group_cols), "left") if group_cols else found.withColumn("p95_lower", lower.scalar())
     return joined.select(
         *group_cols, "n", F.col("minimum").alias("latency_min"), F.round("median", 6).alias("latency_median"),
         F.round("p95", 6).alias("latency_p95"), F.col("p95_lower").alias("latency_p95_lower"), F.col("maximum").alias("latency_max"),
@@ -75,7 +75,7 @@ def _lower_order_statistic(hist: DataFrame, groups: list[str], p: float) -> Data
     placed = ranking.place(hist, groups, order)
     run = ranking.scan(placed, groups, order, sums={"_upto": F.col("_n")})
     sizes = hist.groupBy(*groups).agg(F.sum("_n").alias("_all"))
-    sized = run.join(sizes, groups) if groups else run.join(F.broadcast(sizes))
+    sized = ranking.join_groups(run, sizes, groups) if groups else run.withColumn("_all", sizes.scalar())
     # floor needs exact integers: 0.95 * (n - 1) as 95 * (n - 1) / 100
     position = F.floor(F.lit(round(p * 100)) * (F.col("_all") - 1) / 100) + 1
     reached = sized.filter(F.col("_upto") >= position)

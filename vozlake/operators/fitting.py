@@ -24,7 +24,7 @@ def model_terms(text: Column) -> Column:
 
 def term_counts(df: DataFrame, keep: Sequence[str], terms: Column) -> DataFrame:
     """(keep..., feature, tf): each comment counts its own terms before any shuffle."""
-    counted = tx.run_lengths(F.array_sort(terms), "feature", "tf")
+    counted = tx.run_lengths(F.sort_array(terms), "feature", "tf")
     return df.select(*keep, F.inline_outer(counted)).filter(F.col("feature").isNotNull())
 
 
@@ -78,7 +78,7 @@ def fit_logreg(df: DataFrame, vocabulary: DataFrame, text_col: str = "text", lab
     try:
         rows = training.count()
         regression = LogisticRegression(
-            family="multinomial", weightCol="weight", standardization=False, maxIter=200, tol=1e-9,
+            family="multinomial", weightCol="weight", standardization=False, maxIter=100, tol=1e-7,
             regParam=1.0 / (inverse_strength * rows))
         pipeline = Pipeline(stages=[*stages, regression])
         if folds:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vozlake import constants as C
+from vozlake.operators import ranking
 
 
 def sentiment_metrics(scored: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -27,18 +28,17 @@ def sentiment_metrics(scored: DataFrame, group_cols: Sequence[str] = ()) -> Data
         F.sum(F.col("confidence") * n).alias("_confidence"),
         F.percentile("confidence", F.lit(0.75), n).alias("_p75"),
     )
-    critical = (
-        keyed.filter(F.col("sentiment") == C.NEGATIVE)
-        .join(totals.select(*keys, "_p75"), keys)
-        .filter(F.col("confidence") >= F.col("_p75"))
-        .groupBy(*keys).agg(F.sum("_n").alias("_critical"))
-    )
+    # the class test sits inside the sum: as a filter it would sink below the counting,
+    # and the two readers of the histogram would no longer share one shuffle
+    strong = (F.col("sentiment") == C.NEGATIVE) & (F.col("confidence") >= F.col("_p75"))
+    critical = ranking.join_groups(keyed, totals.select(*keys, "_p75"), keys).groupBy(*keys).agg(
+        F.sum(F.when(strong, F.col("_n"))).alias("_critical"))
     positive, negative = F.col("positive_count"), F.col("negative_count")
     ratio = (
         F.when(negative > 0, positive / F.when(negative > 0, negative))
         .when(positive > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
     )
-    return totals.join(critical, keys, "left").select(
+    return ranking.join_groups(totals, critical, keys, "left").select(
         *groups, "total", "negative_count", "neutral_count", "positive_count",
         *[F.round(F.col(f"{s}_count") * 100.0 / F.col("total"), 6).alias(f"{s}_percentage") for s in C.CLASS_SLUGS.values()],
         F.round(ratio, 6).alias("positive_negative_ratio"),

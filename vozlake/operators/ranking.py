@@ -15,6 +15,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vozlake.durable import cut
 
 
+def join_groups(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on group columns in which a null group meets the null group.
+
+    A plain equality would drop null groups, and the "is not null" filter it adds
+    to one side would keep two readers from sharing one shuffle.
+    """
+    keyed = right.withColumnsRenamed({c: f"_k_{c}" for c in cols})
+    condition = F.lit(True)
+    for c in cols:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return left.join(keyed, condition, how).drop(*[f"_k_{c}" for c in cols])
+
+
 def place(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
           partitions: int | None = None) -> DataFrame:
     """Range-partition and store, adding the partition number as ``_part``."""
@@ -50,7 +63,8 @@ def scan(placed: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
         "*",
         *[F.sum(c).over(local).alias(f"_ls_{n}") for n, c in sums.items()],
         *[F.max(c).over(local).alias(f"_lm_{n}") for n, c in maxima.items()],
-    ).join(carried, [*group_cols, "_part"])
+    )
+    running = join_groups(running, carried, [*group_cols, "_part"])
     kept = [c for c in placed.columns if keep_part or c != "_part"]
     return running.select(
         *kept,

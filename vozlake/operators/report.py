@@ -10,7 +10,7 @@ from vozlake import constants as C
 from vozlake.durable import cut
 from vozlake.functions.text import let
 from vozlake.operators import metrics as mt
-from vozlake.operators import topics
+from vozlake.operators import ranking, topics
 
 _ANALYSED = "comments analysed in the batch"
 _FINAL = "comments with a final class"
@@ -30,6 +30,13 @@ def batch_tables(scored: DataFrame, group_cols: Sequence[str], text_col: str = "
     return mt.sentiment_metrics(narrow, group_cols), topics.negative_topics(narrow, group_cols)
 
 
+def with_batch(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFrame:
+    """Put two tables of one row per batch side by side; without batches each is one row."""
+    if groups:
+        return ranking.join_groups(left, right, groups, "left")
+    return ranking.join_groups(left.withColumn("_one", F.lit(1)), right.withColumn("_one", F.lit(1)), ["_one"], "left").drop("_one")
+
+
 def _fact(fact_id: str | Column, value: Column, display: Column, unit: str, population: str, definition: str,
           numerator: str | Column | None = None, denominator: str | None = None, text: Column | None = None) -> Column:
     def lit(v: str | Column | None) -> Column:
@@ -47,7 +54,7 @@ def facts(metrics: DataFrame, pareto: DataFrame, group_cols: Sequence[str]) -> D
     groups = list(group_cols)
     lexical = pareto.groupBy(*groups).agg(
         F.sum("frequency").alias("_sum"), F.count_if("within_80_percent").alias("_block"))
-    base = metrics.join(lexical, groups, "left") if groups else metrics.join(F.broadcast(lexical))
+    base = with_batch(metrics, lexical, groups)
     rows = []
 
     def whole(fact_id: str, value: Column, unit: str, population: str, definition: str) -> None:
@@ -128,7 +135,7 @@ def eligible_arrays(registry: DataFrame, group_cols: Sequence[str]) -> DataFrame
         F.array_sort(F.array_agg(F.when(F.col("kind") == k, F.col("id")))).alias(f"allowed_{k}")
         for k in ("interpretation", "hypothesis", "recommendation", "insufficient")])
     known = registry.groupBy(*group_cols).agg(F.array_sort(F.array_agg("fact_id")).alias("known_facts"))
-    return ids.join(known, list(group_cols)) if group_cols else ids.join(F.broadcast(known))
+    return with_batch(ids, known, list(group_cols))
 
 
 def opportunity_band(negative_share: Column) -> Column:
@@ -143,7 +150,7 @@ def report_lines(metrics: DataFrame, pareto: DataFrame, group_cols: Sequence[str
     """Deterministic report of a batch: (section, line_no, line)."""
     groups = list(group_cols)
     block = pareto.groupBy(*groups).agg(F.count_if("within_80_percent").alias("_block"))
-    base = metrics.join(block, groups, "left") if groups else metrics.join(F.broadcast(block))
+    base = with_batch(metrics, block, groups)
     count = F.coalesce("_block", F.lit(0))
     ratio = F.col("positive_negative_ratio")
     band = opportunity_band(F.col("negative_percentage"))
@@ -183,7 +190,7 @@ def dashboard(metrics: DataFrame, pareto: DataFrame, group_cols: Sequence[str])
         F.count_if("within_80_percent").alias("priority_topic_count"),
         F.array_join(F.transform(F.array_sort(F.array_agg(F.when(F.col("rank") <= 3, F.struct("rank", "topic", "frequency")))),
                                  lambda x: F.concat(x["rank"].cast("string"), F.lit(":"), x["topic"], F.lit("="), x["frequency"].cast("string"))), "|").alias("topics"))
-    base = metrics.join(leading, groups, "left") if groups else metrics.join(F.broadcast(leading))
+    base = with_batch(metrics, leading, groups)
     ratio = F.col("positive_negative_ratio")
     return base.select(
         *groups, "total", "positive_count", "positive_percentage", "negative_count", "negative_percentage", "mean_confidence",
@@ -197,7 +204,7 @@ def evidence_payload(registry: DataFrame, group_cols: Sequence[str]) -> DataFram
     listed = registry.groupBy(*groups).agg(F.array_sort(F.array_agg(F.struct(
         "fact_id", "value_display", "value_text", "unit", "population", "numerator_fact", "denominator_fact"))).alias("facts"))
     allowed = eligible_arrays(registry, groups).drop("known_facts")
-    joined = listed.join(allowed, groups) if groups else listed.join(F.broadcast(allowed))
+    joined = with_batch(listed, allowed, groups)
     kinds = [c for c in allowed.columns if c not in groups]
     limits = F.struct(*[F.lit(v).alias(k) for k, v in C.READING_LIMITS.items()])
     payload = F.to_json(F.struct(

@@ -81,7 +81,7 @@ def grant(df: DataFrame, requested: Column, key: str, cap: int, group_cols: Sequ
     if not group_cols:
         limit = last.scalar()
         return df.withColumn(name, requested & F.coalesce(F.col(key) <= limit, F.lit(False)))
-    return df.join(last, list(group_cols), "left") \
+    return ranking.join_groups(df, last, list(group_cols), "left") \
         .withColumn(name, requested & F.coalesce(F.col(key) <= F.col("last_key"), F.lit(False))).drop("last_key")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -34,6 +34,7 @@ class LinearModel:
     intercepts: tuple[float, float, float]
 
     @classmethod
+    @cache
     def starter(cls) -> "LinearModel":
         return cls(lexicon.STARTER_MODEL, lexicon.STARTER_INTERCEPTS)
 
@@ -103,7 +104,7 @@ def ranked_classes(probabilities: Column) -> Column:
         F.struct((-F.get(probabilities, F.lit(k))).alias("neg"), F.lit(k).alias("k"), F.lit(c).alias("name"))
         for k, c in enumerate(C.CLASSES)
     ])
-    return F.array_sort(entries)
+    return F.sort_array(entries)
 
 
 def _result(p: Column, n_features: Column) -> Column:
@@ -133,8 +134,12 @@ def score(df: DataFrame, model: LinearModel | None = None, text_col: str = "text
     ``inline_outer`` makes the score struct a generated row: it is evaluated once
     and no later filter on a score column can duplicate the work below it.
     """
-    model = model or LinearModel.starter()
-    return df.select("*", F.inline_outer(F.array(model.score(F.col(text_col)))))
+    return df.select("*", F.inline_outer(F.array(_score_of(text_col, model or LinearModel.starter()))))
+
+
+@tx.per_session
+def _score_of(text_col: str, model: LinearModel) -> Column:
+    return model.score(F.col(text_col))
 
 
 @dataclass(frozen=True)
@@ -188,7 +193,7 @@ class LanguageProfiles:
             ])
 
         def decide(acc: Column) -> Column:
-            entries = F.array_sort(F.array(*[
+            entries = F.sort_array(F.array(*[
                 F.struct((-F.round(acc[n], 6)).alias("neg"), F.lit(lang).alias("lang"))
                 for n, lang in zip(names, languages)
             ]))
@@ -216,5 +221,9 @@ class LanguageProfiles:
 def detect_language(df: DataFrame, profiles: LanguageProfiles | None = None,
                     text_col: str = "text") -> DataFrame:
     """Append detected_language, language_score, runner_up_score, language_status."""
-    profiles = profiles or LanguageProfiles.starter()
-    return df.select("*", F.inline_outer(F.array(profiles.detect(F.col(text_col)))))
+    return df.select("*", F.inline_outer(F.array(_language_of(text_col, profiles or LanguageProfiles.starter()))))
+
+
+@tx.per_session
+def _language_of(text_col: str, profiles: LanguageProfiles) -> Column:
+    return profiles.detect(F.col(text_col))

@@ -18,7 +18,7 @@ def terms(df: DataFrame, keep: Sequence[str], text_col: str = "text",
     The outer form plus a later null test keeps the optimizer from adding a
     second tokenisation as a "not empty" pre-filter.
     """
-    exploded = df.select(*keep, F.explode_outer(tx.topic_terms(F.col(text_col), stop_words)).alias("topic"))
+    exploded = df.select(*keep, F.explode_outer(tx.topic_terms_of(text_col, tuple(stop_words) if stop_words else None)).alias("topic"))
     return exploded.filter(F.col("topic").isNotNull())
 
 
@@ -48,20 +48,15 @@ def select_topics(counts: DataFrame, group_cols: Sequence[str] = (),
     it take part in the cover test.
     """
     groups = list(group_cols)
-    if not groups:
-        counts = counts.withColumn("_all", F.lit(0))
-        groups = ["_all"]
-    bigrams = ranking.first_per_group(
-        counts.filter(F.col("n_words") == 2), groups, _topic_order(), max_topics
-    )
+    bigrams = _best(counts.filter(F.col("n_words") == 2), groups, max_topics)
     floor = bigrams.groupBy(*groups).agg(
         F.when(F.count(F.lit(1)) >= max_topics, F.min("frequency")).alias("_floor")
     )
-    contenders = (
-        counts.join(floor, groups, "left")
-        .filter(F.col("frequency") >= F.coalesce("_floor", F.lit(0)))
-        .drop("_floor")
-    )
+    if groups:
+        bounded = ranking.join_groups(counts, floor, groups, "left")
+    else:
+        bounded = counts.withColumn("_floor", floor.scalar())
+    contenders = bounded.filter(F.col("frequency") >= F.coalesce("_floor", F.lit(0))).drop("_floor")
     words = F.when(F.col("n_words") == 2, F.concat(F.array("topic"), F.split("topic", " "))).otherwise(F.array("topic"))
     covered = (
         contenders.select(*groups, "topic", "frequency", "n_words", F.explode(words).alias("word"))
@@ -77,8 +72,14 @@ def select_topics(counts: DataFrame, group_cols: Sequence[str] = (),
             F.when(F.col("word").contains(" "), 2).otherwise(1).alias("n_words"),
         )
     )
-    best = ranking.first_per_group(covered, groups, _topic_order(), max_topics)
-    return best.drop("_all")
+    return _best(covered, groups, max_topics)
+
+
+def _best(terms_: DataFrame, groups: list[str], count: int) -> DataFrame:
+    """Leading terms with their rank; without groups a top-k feeds the ranking window."""
+    if not groups:
+        terms_ = terms_.orderBy(*_topic_order()).limit(count)
+    return ranking.first_per_group(terms_, groups, _topic_order(), count)
 
 
 def pareto(topics: DataFrame, group_cols: Sequence[str] = (), threshold: float = C.PARETO_THRESHOLD,
@@ -107,7 +108,7 @@ def pareto(topics: DataFrame, group_cols: Sequence[str] = (), threshold: float =
         scanned = ranking.scan(placed, groups, order,
                                sums={"_upto": F.col("frequency"), "rank": F.lit(1).cast("long")})
         totals = placed.groupBy(*groups).agg(F.sum("frequency").alias("_total"))
-        ranked = scanned.join(totals, groups) if groups else scanned.join(F.broadcast(totals))
+        ranked = ranking.join_groups(scanned, totals, groups) if groups else scanned.withColumn("_total", totals.scalar())
     upto, total = F.col("_upto"), F.col("_total")
     return ranked.select(
         *groups, F.col("rank").cast("int").alias("rank"), "topic", "frequency",

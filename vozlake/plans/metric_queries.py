@@ -11,7 +11,7 @@ from vozlake.operators import joins, metrics, scoring
 from vozlake.plans import oracle as o
 from vozlake.plans.model_queries import scored
 from vozlake.plans.registry import Tables, query
-from vozlake.plans.text_queries import comments
+from vozlake.plans.text_queries import comments, with_tokens
 
 # --- batch metrics ----------------------------------------------------------------
 
@@ -248,7 +248,7 @@ def repeat_stability(t: Tables) -> DataFrame:
 @query("short_text_policy", o.with_ctes("""SELECT d.lang, count(*) AS captured, count(*) FILTER (ok) AS detector_correct, round(avg(ok::INT), 6) AS detector_accuracy,
     count(*) FILTER (d.lang <> 'es') AS default_spanish_would_be_wrong FROM lang_cases d JOIN blank_split b USING (doc_id) WHERE b.n <= 4 GROUP BY 1"""))
 def short_text_policy(t: Tables) -> DataFrame:
-    short = comments(t).filter(tx.token_count(F.col("text")) <= C.SHORT_TEXT_TOKENS)
+    short = with_tokens(comments(t)).filter(F.col("n_tokens") <= C.SHORT_TEXT_TOKENS)
     found = scoring.detect_language(short).withColumn("ok", F.coalesce(F.col("detected_language") == F.col("lang"), F.lit(False)))
     return found.groupBy("lang").agg(
         F.count(F.lit(1)).alias("captured"), F.count_if("ok").alias("detector_correct"), F.round(F.avg(F.col("ok").cast("int")), 6).alias("detector_accuracy"),

@@ -10,7 +10,7 @@ from vozlake.operators import evaluation as ev
 from vozlake.operators import fitting, scoring
 from vozlake.plans import oracle as o
 from vozlake.plans.registry import Tables, query
-from vozlake.plans.text_queries import comments, variants
+from vozlake.plans.text_queries import comments
 
 
 def scored(t: Tables) -> DataFrame:
@@ -127,13 +127,15 @@ o.define("variant_cls", """SELECT variant, c.name, count(*) FILTER (expected = c
        round(sum(coalesce(2.0::DOUBLE * tp / nullif(sup + cho, 0), 0) * sup) / sum(sup), 6) AS weighted_f1 FROM variant_cls GROUP BY 1) f USING (variant)""".replace(
     "round(avg(2.0::DOUBLE * tp / nullif(sup + cho, 0)) FILTER (true), 6) AS macro_unused,\n       ", "")))
 def variant_comparison(t: Tables) -> DataFrame:
-    """Each normalisation scored beside the baseline of the same comment."""
+    """Each normalisation scored once, beside the baseline of the same comment."""
     model = scoring.LinearModel.starter()
-    labelled = variants(t.documents.select("doc_id", "text").withColumn("base", tx.prepared(F.col("text"))))
-    both = labelled.select("doc_id", "variant", F.inline_outer(F.array(F.struct(
-        model.score(F.col("text")).alias("own"), model.score(F.col("base"))["sentiment"].alias("base_sentiment")))))
-    cases = both.select("doc_id", "variant", F.col("own.sentiment").alias("sentiment"), F.col("own.n_features").alias("n_features"), "base_sentiment") \
-        .join(t.derived("truth"), "doc_id")
+    text = F.col("text")
+    shapes = {"current_str_strip": tx.prepared(text), "historical_clean": tx.historical_clean(text), "nfkc_whitespace": tx.nfkc_clean(text)}
+    texts = t.documents.select("doc_id", *[c.alias(f"t_{k}") for k, c in shapes.items()])
+    scores = texts.select("doc_id", F.inline_outer(F.array(F.struct(*[model.score(F.col(f"t_{k}")).alias(k) for k in shapes]))))
+    rows = scores.select("doc_id", F.col("current_str_strip.sentiment").alias("base_sentiment"), F.inline(F.array(*[
+        F.struct(F.lit(k).alias("variant"), F.col(f"{k}.sentiment").alias("sentiment"), F.col(f"{k}.n_features").alias("n_features")) for k in shapes])))
+    cases = rows.join(t.derived("truth"), "doc_id")
     counts = ev.confusion_counts(cases, ["variant"], extra=[
         F.count_if(F.col("sentiment") != F.col("base_sentiment")).alias("changed_vs_current"),
         F.count_if(F.col("n_features") == 0).alias("zero_feature_rows"), F.round(F.avg("n_features"), 6).alias("mean_nonzero_features")])

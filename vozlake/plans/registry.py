@@ -8,11 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vozlake.plans import inputs
+from vozlake.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# tables whose rows are costly to process, with the key that places them
+SPREAD_KEYS = {"documents": "doc_id", "events": "event_id"}
+
+
 class Tables:
     """Base tables by attribute, derived inputs by :meth:`derived`."""
 
@@ -22,7 +27,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_table(self.spark, self.path(name), SPREAD_KEYS.get(name))
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vozlake import constants as C
+from vozlake.durable import cut
 from vozlake.functions import payloads
 from vozlake.functions import text as tx
 from vozlake.operators import batches, evaluation as ev, metrics, routing, scoring
 from vozlake.plans import oracle as o
 from vozlake.plans.model_queries import scored
 from vozlake.plans.registry import Tables, query
-from vozlake.plans.text_queries import comments
+from vozlake.plans.text_queries import comments, with_tokens
 
 CAP = C.MAX_REVIEWS_PER_BATCH
 BATCH = ["source"]
@@ -100,17 +101,20 @@ def estimate_translations(t: Tables) -> DataFrame:
 o.define("hy_rank", """SELECT *, CASE WHEN reasons <> '' THEN row_number() OVER (PARTITION BY source, reasons <> '' ORDER BY doc_id) END AS turn FROM routed""")
 
 
+def requests(t: Tables) -> DataFrame:
+    """The narrow request trace, stored once: a grant reads it twice."""
+    return cut(routing.route(scored(t)).select("doc_id", "source", "should_review"))
+
+
 @query("budget_grant", o.with_ctes(f"SELECT doc_id, source, reasons <> '' AS should_review, coalesce(turn <= {CAP}, false) AS granted FROM hy_rank"))
 def budget_grant(t: Tables) -> DataFrame:
-    routed = routing.route(scored(t))
-    return routing.grant(routed, F.col("should_review"), "doc_id", CAP, BATCH).select("doc_id", "source", "should_review", "granted")
+    return routing.grant(requests(t), F.col("should_review"), "doc_id", CAP, BATCH).select("doc_id", "source", "should_review", "granted")
 
 
 @query("budget_grant_single_batch", o.with_ctes("""SELECT doc_id, reasons <> '' AS should_review, reasons <> '' AND row_number() OVER (PARTITION BY reasons <> '' ORDER BY doc_id) <= 25 AS granted FROM routed"""))
 def budget_grant_single_batch(t: Tables) -> DataFrame:
     """One budget for the whole table: a top-k, never a global sort."""
-    routed = routing.route(scored(t))
-    return routing.grant(routed, F.col("should_review"), "doc_id", CAP).select("doc_id", "should_review", "granted")
+    return routing.grant(requests(t), F.col("should_review"), "doc_id", CAP).select("doc_id", "should_review", "granted")
 
 
 @query("estimated_cost", o.with_ctes(f"""SELECT source, least(count(*) FILTER (reasons <> ''), {CAP}) AS allowed, round(least(count(*) FILTER (reasons <> ''), {CAP}) * 0.000178::DOUBLE, 6) AS estimated_cost_usd FROM routed GROUP BY 1"""))
@@ -164,7 +168,7 @@ def responses_for(t: Tables, kind: str, keep=("lang",)) -> DataFrame:
     turn <= {CAP} AND (r.prompt_tokens IS NOT NULL OR r.completion_tokens IS NOT NULL) IS TRUE AS has_usage
     FROM hy_rank h JOIN raw_sentiment_review r ON r.order_key = h.doc_id""").replace("turn <= 25 AND (r.prompt", "coalesce(turn <= 25, false) AND (r.prompt"))
 def attach_responses(t: Tables) -> DataFrame:
-    granted = routing.grant(routing.route(scored(t)), F.col("should_review"), "doc_id", CAP, BATCH).select("doc_id", "granted")
+    granted = routing.grant(requests(t), F.col("should_review"), "doc_id", CAP, BATCH).select("doc_id", "granted")
     answered = routing.attach_granted(granted, t.derived("responses"), "sentiment_review", "doc_id", "granted", "")
     return answered.select("doc_id", "granted", "raw", "provider", "latency_ms", "prompt_tokens", "completion_tokens",
                            payloads.usage().isNotNull().alias("has_usage"))
@@ -380,7 +384,7 @@ def direct(t: Tables) -> DataFrame:
 @query("direct_route", o.with_ctes("SELECT doc_id, is_short, direct, CASE WHEN is_short THEN 'short_text_uncertain' ELSE language_status END AS language_state FROM di0"))
 def direct_route(t: Tables) -> DataFrame:
     """Short text skips the detector: detection runs on the other rows only."""
-    rows = comments(t).withColumn("is_short", tx.token_count(F.col("text")) <= C.SHORT_TEXT_TOKENS)
+    rows = with_tokens(comments(t)).withColumn("is_short", F.col("n_tokens") <= C.SHORT_TEXT_TOKENS)
     long = scoring.detect_language(rows.filter(~F.col("is_short")))
     _, goes = routing.direct_flags(F.col("text"))
     routed = long.select("doc_id", "is_short", goes.alias("direct"), F.col("language_status").alias("language_state"))

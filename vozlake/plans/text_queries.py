@@ -17,6 +17,11 @@ def comments(t: Tables) -> DataFrame:
     return scoring.prepare(t.documents.select("doc_id", "source", "lang", "text"))
 
 
+def with_tokens(df: DataFrame) -> DataFrame:
+    """Token count as a generated column: counted once, above any shuffle below."""
+    return df.select("*", F.inline_outer(F.array(F.struct(tx.token_count(F.col("text")).alias("n_tokens")))))
+
+
 @query("prepare_text", o.with_ctes("SELECT doc_id, text FROM prep"))
 def prepare_text(t: Tables) -> DataFrame:
     return comments(t).select("doc_id", "text")
