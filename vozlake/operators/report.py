@@ -23,11 +23,12 @@ COUNT_FACTS = ("dataset.total_comments", "sentiment.negative.count", "lexical.se
 def batch_tables(scored: DataFrame, group_cols: Sequence[str], text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(metrics, Pareto) of scored comments that are read and scored once.
 
-    What is stored keeps the text of negative comments only.
+    What is stored keeps the text of negative comments only. The two results hold a
+    few rows per batch and every report reads both, so they are stored as well.
     """
     narrow = cut(scored.select(
         *group_cols, "sentiment", "confidence", F.when(F.col("sentiment") == C.NEGATIVE, F.col(text_col)).alias("text")))
-    return mt.sentiment_metrics(narrow, group_cols), topics.negative_topics(narrow, group_cols)
+    return cut(mt.sentiment_metrics(narrow, group_cols)), cut(topics.negative_topics(narrow, group_cols))
 
 
 def with_batch(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFrame:
