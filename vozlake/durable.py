@@ -23,10 +23,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: stored rows, so partition ids and row order are fixed."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write the rows to a new table in the shared folder and read it back.
+
+    Stored rows do not change when a task is repeated, so partition numbers and
+    sampled range bounds stay as they were. Unlike a row checkpoint the table keeps
+    its column layout and its size, which later scans and join choices use.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

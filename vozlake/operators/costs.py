@@ -40,12 +40,12 @@ def by_architecture(log: DataFrame, evaluated: DataFrame) -> DataFrame:
         F.sum("latency_ms").alias("_latency"), F.count_if(F.col("state") != "success").alias("failures"))
     n = F.col("comments")
     return spent.join(evaluated, "architecture").select(
-        "architecture", "calls", F.round(F.col("calls") / n, 6).alias("calls_per_comment"), F.round("_cost", 6).alias("cost_usd"),
-        F.round(F.col("_cost") / n, 9).alias("cost_per_comment_usd"), F.round(F.col("_latency") / n, 4).alias("mean_latency_ms_per_comment"), "failures")
+        "architecture", "calls", F.round(F.col("calls") / n, 6).alias("calls_per_comment"), F.round("_cost", 8).alias("cost_usd"),
+        F.round(F.col("_cost") / n, 12).alias("cost_per_comment_usd"), F.round(F.col("_latency") / n, 8).alias("mean_latency_ms_per_comment"), "failures")
 
 
 def by_call_type(log: DataFrame, group_cols: Sequence[str] = ("call_type",)) -> DataFrame:
-    money = priced(log).groupBy(*group_cols).agg(F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0))), 6).alias("cost_usd"))
+    money = priced(log).groupBy(*group_cols).agg(F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0))), 8).alias("cost_usd"))
     return money.join(latency_summary(log, group_cols), list(group_cols))
 
 
@@ -62,7 +62,7 @@ def latency_summary(log: DataFrame, group_cols: Sequence[str] = (), latency: str
     return joined.select(
         *group_cols, "n", F.col("minimum").alias("latency_min"), F.round("median", 6).alias("latency_median"),
         F.round("p95", 6).alias("latency_p95"), F.col("p95_lower").alias("latency_p95_lower"), F.col("maximum").alias("latency_max"),
-        F.round(F.col("total") / F.col("n"), 4).alias("latency_mean"))
+        F.round(F.col("total") / F.col("n"), 8).alias("latency_mean"))
 
 
 def _lower_order_statistic(hist: DataFrame, groups: list[str], p: float) -> DataFrame:
@@ -90,8 +90,8 @@ def token_totals(log: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
         n.alias("requests"), F.sum(F.coalesce("input_tokens", zero)).alias("input_tokens"), F.sum(F.coalesce("output_tokens", zero)).alias("output_tokens"),
         F.sum(F.coalesce("input_tokens", zero) + F.coalesce("output_tokens", zero)).alias("total_tokens"),
         F.round(F.avg("output_tokens"), 6).alias("mean_output_tokens"), F.max("output_tokens").alias("max_output_tokens"),
-        F.round(cost, 6).alias("cost_usd"), F.round(cost / n, 9).alias("cost_per_comment_usd"),
-        F.round(cost / n * 100, 7).alias("cost_per_100_usd"), F.round(cost / n * 1000, 6).alias("cost_per_1000_usd"))
+        F.round(cost, 8).alias("cost_usd"), F.round(cost / n, 12).alias("cost_per_comment_usd"),
+        F.round(cost / n * 100, 10).alias("cost_per_100_usd"), F.round(cost / n * 1000, 9).alias("cost_per_1000_usd"))
 
 
 def response_validity(log: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:

@@ -25,7 +25,8 @@ def sentiment_metrics(scored: DataFrame, group_cols: Sequence[str] = ()) -> Data
     totals = keyed.groupBy(*keys).agg(
         F.sum("_n").alias("total"),
         *[F.coalesce(F.sum(F.when(F.col("sentiment") == c, n)), F.lit(0)).alias(f"{s}_count") for c, s in C.CLASS_SLUGS.items()],
-        F.sum(F.col("confidence") * n).alias("_confidence"),
+        # whole millionths, so the mean does not depend on the order of the sum
+        F.sum(F.round(F.col("confidence") * 10**C.PROBABILITY_DECIMALS).cast("long") * n).alias("_millionths"),
         F.percentile("confidence", F.lit(0.75), n).alias("_p75"),
     )
     # the class test sits inside the sum: as a filter it would sink below the counting,
@@ -42,7 +43,7 @@ def sentiment_metrics(scored: DataFrame, group_cols: Sequence[str] = ()) -> Data
         *groups, "total", "negative_count", "neutral_count", "positive_count",
         *[F.round(F.col(f"{s}_count") * 100.0 / F.col("total"), 6).alias(f"{s}_percentage") for s in C.CLASS_SLUGS.values()],
         F.round(ratio, 6).alias("positive_negative_ratio"),
-        F.round(F.col("_confidence") / F.col("total"), 6).alias("mean_confidence"),
+        F.round(F.expr("(2 * _millionths + total) div (2 * total)") / float(10**C.PROBABILITY_DECIMALS), 6).alias("mean_confidence"),
         F.round("_p75", 8).alias("critical_confidence_threshold"),
         F.coalesce("_critical", F.lit(0)).alias("critical_negative_count"),
     )

@@ -55,8 +55,8 @@ def failed_cases_audit(t: Tables) -> DataFrame:
     return last.agg(F.count(F.lit(1)).alias("records"), failed.alias("failed"), failed.alias("failed_ids"))
 
 
-@query("cost_by_architecture", o.with_ctes("""SELECT a.architecture, calls, round(calls::DOUBLE / n, 6) AS calls_per_comment, round(cost, 6) AS cost_usd, round(cost / n, 9) AS cost_per_comment_usd,
-    round(lat / n, 4) AS mean_latency_ms_per_comment, failures FROM (SELECT architecture, count(*) AS calls, sum(coalesce(cost_usd, 0)) AS cost, sum(latency_ms) AS lat, count(*) FILTER (state <> 'success') AS failures FROM rl GROUP BY 1) a
+@query("cost_by_architecture", o.with_ctes("""SELECT a.architecture, calls, round(calls::DOUBLE / n, 6) AS calls_per_comment, round(cost, 8) AS cost_usd, round(cost / n, 12) AS cost_per_comment_usd,
+    round(lat / n, 8) AS mean_latency_ms_per_comment, failures FROM (SELECT architecture, count(*) AS calls, sum(coalesce(cost_usd, 0)) AS cost, sum(latency_ms) AS lat, count(*) FILTER (state <> 'success') AS failures FROM rl GROUP BY 1) a
     JOIN (SELECT architecture, count(DISTINCT case_id) AS n FROM rl GROUP BY 1) b USING (architecture)"""))
 def cost_by_architecture(t: Tables) -> DataFrame:
     evaluated = log(t).select("architecture", "case_id").distinct().groupBy("architecture").agg(F.count(F.lit(1)).alias("comments"))
@@ -65,10 +65,10 @@ def cost_by_architecture(t: Tables) -> DataFrame:
 
 _LOWER = "(list_sort(list({v})))[(95 * (count({v}) - 1) // 100 + 1)::BIGINT]"
 _LATENCY = f"""count(*) AS n, min(latency_ms) AS latency_min, round(quantile_cont(latency_ms, 0.5), 6) AS latency_median, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95,
-    {_LOWER.format(v='latency_ms')} AS latency_p95_lower, max(latency_ms) AS latency_max, round(avg(latency_ms), 4) AS latency_mean"""
+    {_LOWER.format(v='latency_ms')} AS latency_p95_lower, max(latency_ms) AS latency_max, round(avg(latency_ms), 8) AS latency_mean"""
 
 
-@query("cost_latency_by_call_type", o.with_ctes(f"SELECT call_type, round(sum(coalesce(cost_usd, 0)), 6) AS cost_usd, {_LATENCY} FROM rl GROUP BY 1"))
+@query("cost_latency_by_call_type", o.with_ctes(f"SELECT call_type, round(sum(coalesce(cost_usd, 0)), 8) AS cost_usd, {_LATENCY} FROM rl GROUP BY 1"))
 def cost_latency_by_call_type(t: Tables) -> DataFrame:
     return costs.by_call_type(log(t))
 
@@ -85,8 +85,8 @@ def latency_summary_overall(t: Tables) -> DataFrame:
 
 @query("token_cost_totals", o.with_ctes("""SELECT language, count(*) AS requests, sum(coalesce(input_tokens, 0))::BIGINT AS input_tokens, sum(coalesce(output_tokens, 0))::BIGINT AS output_tokens,
     sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0))::BIGINT AS total_tokens, round(avg(output_tokens), 6) AS mean_output_tokens, max(output_tokens) AS max_output_tokens,
-    round(sum(coalesce(cost_usd, 0)), 6) AS cost_usd, round(sum(coalesce(cost_usd, 0)) / count(*), 9) AS cost_per_comment_usd, round(sum(coalesce(cost_usd, 0)) / count(*) * 100, 7) AS cost_per_100_usd,
-    round(sum(coalesce(cost_usd, 0)) / count(*) * 1000, 6) AS cost_per_1000_usd FROM rl GROUP BY 1"""))
+    round(sum(coalesce(cost_usd, 0)), 8) AS cost_usd, round(sum(coalesce(cost_usd, 0)) / count(*), 12) AS cost_per_comment_usd, round(sum(coalesce(cost_usd, 0)) / count(*) * 100, 10) AS cost_per_100_usd,
+    round(sum(coalesce(cost_usd, 0)) / count(*) * 1000, 9) AS cost_per_1000_usd FROM rl GROUP BY 1"""))
 def token_cost_totals(t: Tables) -> DataFrame:
     return costs.token_totals(log(t), ["language"])
 

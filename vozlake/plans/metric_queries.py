@@ -16,7 +16,7 @@ from vozlake.plans.text_queries import comments, with_tokens
 # --- batch metrics ----------------------------------------------------------------
 
 o.define("bm0", """SELECT source, count(*) AS total, count(*) FILTER (sentiment = 'Negativo') AS neg_n, count(*) FILTER (sentiment = 'Neutro') AS neu_n,
-    count(*) FILTER (sentiment = 'Positivo') AS pos_n, avg(confidence) AS mean_c, quantile_cont(confidence, 0.75) AS p75 FROM scored GROUP BY 1""")
+    count(*) FILTER (sentiment = 'Positivo') AS pos_n, (2 * sum(round(confidence * 1000000)::BIGINT) + count(*)) // (2 * count(*)) / 1000000.0::DOUBLE AS mean_c, quantile_cont(confidence, 0.75) AS p75 FROM scored GROUP BY 1""")
 o.define("bm_metrics", """SELECT source, total, neg_n AS negative_count, neu_n AS neutral_count, pos_n AS positive_count,
     round(neg_n * 100.0::DOUBLE / total, 6) AS negative_percentage, round(neu_n * 100.0::DOUBLE / total, 6) AS neutral_percentage,
     round(pos_n * 100.0::DOUBLE / total, 6) AS positive_percentage,

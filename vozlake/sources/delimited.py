@@ -79,12 +79,17 @@ def read_delimited(spark: SparkSession, path: str, layout: Layout | None = None,
         quarantined = rows.limit(0).toDF("line")
     else:
         fields = ", ".join(f"`{c}` string" for c in (*layout.columns, CORRUPT))
-        parsed = reader.option("sep", layout.delimiter).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT) \
+        # every field is parsed even when few are asked for: a row with a surplus field
+        # would otherwise look sound to a query that reads one column
+        parsed = reader.option("columnPruning", False).option("sep", layout.delimiter).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT) \
             .option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("enforceSchema", True).schema(fields).csv(path)
-        rows = parsed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        # a bare null test on this column would be pushed into the parser, which runs it
+        # before the column is filled
+        broken = F.length(F.coalesce(F.col(CORRUPT), F.lit(""))) > 0
+        rows = parsed.filter(~broken).drop(CORRUPT)
         # naming a second column keeps the scan legal: a query may not read this one alone
         line = F.coalesce(F.col(CORRUPT), F.col(f"`{layout.columns[0]}`"))
-        quarantined = parsed.filter(F.col(CORRUPT).isNotNull()).select(line.alias("line"))
+        quarantined = parsed.filter(broken).select(line.alias("line"))
     if max_rows is not None and rows.limit(max_rows + 1).count() > max_rows:
         raise TableFormatError(f"the file has more than {max_rows:,} rows")
     return rows, quarantined
