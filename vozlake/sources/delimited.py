@@ -29,10 +29,16 @@ def clean_names(names: list[str]) -> list[str]:
 
 def _encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line does not decode; one scan that stops at the first."""
-    bad = spark.read.text(path).filter(F.col("value").contains("�")).limit(1).count()
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
     return "ISO-8859-1" if bad else "UTF-8"
 
 
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Decoded lines; the text reader hands over bytes as they are."""
+    lines = spark.read.text(path)
+    return lines if encoding == "UTF-8" else lines.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
+
+
 def _fields(line: str, delimiter: str) -> list[str]:
     return next(csv.reader([line], delimiter=delimiter, strict=True))
 
@@ -40,7 +46,7 @@ def _fields(line: str, delimiter: str) -> list[str]:
 def sniff(spark: SparkSession, path: str) -> Layout:
     """Layout from the first lines and one pass over the bytes for the encoding."""
     encoding = _encoding(spark, path)
-    lines = [r.value for r in spark.read.option("encoding", encoding).text(path).filter(F.length(F.trim("value")) > 0).limit(2).collect()]
+    lines = [r.value for r in _lines(spark, path, encoding).filter(F.length(F.trim("value")) > 0).limit(2).collect()]
     if not lines:
         raise TableFormatError("the file is empty")
     if len(lines) < 2:
@@ -58,7 +64,7 @@ def sniff(spark: SparkSession, path: str) -> Layout:
 
 def control_characters(spark: SparkSession, path: str, encoding: str = "UTF-8") -> int:
     """Lines holding control characters other than a tab."""
-    return spark.read.option("encoding", encoding).text(path).filter(F.col("value").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")).limit(1).count()
+    return _lines(spark, path, encoding).filter(F.col("value").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")).limit(1).count()
 
 
 def read_delimited(spark: SparkSession, path: str, layout: Layout | None = None, multi_line: bool = False,
@@ -84,12 +90,12 @@ def read_delimited(spark: SparkSession, path: str, layout: Layout | None = None,
         parsed = reader.option("columnPruning", False).option("sep", layout.delimiter).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT) \
             .option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("enforceSchema", True).schema(fields).csv(path)
         # a bare null test on this column would be pushed into the parser, which runs it
-        # before the column is filled
-        broken = F.length(F.coalesce(F.col(CORRUPT), F.lit(""))) > 0
+        # before the column is filled; naming a second column keeps a bare count legal,
+        # which may not read this one alone
+        first = F.col(f"`{layout.columns[0]}`")
+        broken = F.length(F.concat_ws("", F.col(CORRUPT), first)) > F.length(F.coalesce(first, F.lit("")))
         rows = parsed.filter(~broken).drop(CORRUPT)
-        # naming a second column keeps the scan legal: a query may not read this one alone
-        line = F.coalesce(F.col(CORRUPT), F.col(f"`{layout.columns[0]}`"))
-        quarantined = parsed.filter(broken).select(line.alias("line"))
+        quarantined = parsed.filter(broken).select(F.col(CORRUPT).alias("line"))
     if max_rows is not None and rows.limit(max_rows + 1).count() > max_rows:
         raise TableFormatError(f"the file has more than {max_rows:,} rows")
     return rows, quarantined
