@@ -13,6 +13,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vozlake import constants as C
+from vozlake.durable import cut
 from vozlake.functions import text as tx
 from vozlake.operators import ranking
 from vozlake.operators.scoring import MODEL_SCHEMA
@@ -30,11 +31,15 @@ def term_counts(df: DataFrame, keep: Sequence[str], terms: Column) -> DataFrame:
 
 def fit_tfidf(df: DataFrame, text_col: str = "text", min_df: int = C.TFIDF_MIN_DF,
               max_df: float = C.TFIDF_MAX_DF, max_features: int = C.TFIDF_MAX_FEATURES) -> DataFrame:
-    """Vocabulary table: feature, df, corpus_count, idf (smooth, plus one)."""
-    total = df.agg(F.count(F.lit(1)).alias("n"))
-    counts = term_counts(df, [], model_terms(F.col(text_col))).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("corpus_count"))
-    sized = counts.withColumn("_n", total.scalar())
+    """Vocabulary table: feature, df, corpus_count, idf (smooth, plus one).
+
+    Every comment also counts one empty feature, whose document frequency is the
+    number of comments, so the text is read once.
+    """
+    terms = F.concat(F.array(F.lit("")), model_terms(F.col(text_col)))
+    counts = cut(term_counts(df, [], terms).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("corpus_count")))
+    sized = counts.filter("feature <> ''").withColumn("_n", counts.filter("feature = ''").select(F.max("df")).scalar())
     kept = sized.filter((F.col("df") >= min_df) & (F.col("df") <= F.col("_n") * max_df))
     best = kept.orderBy(F.col("corpus_count").desc(), F.col("feature").asc()).limit(max_features)
     idf = F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + 1.0
@@ -101,7 +106,8 @@ def fit_logreg(df: DataFrame, vocabulary: DataFrame, text_col: str = "text", lab
 def language_weights(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 3) -> DataFrame:
     """(lang, word, count, weight): log ratio of a word inside a language to outside it."""
     tokens = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(tx.WORD_CLASS + "+"), F.lit(0))
-    per = term_counts(df, [lang_col], tokens).groupBy(lang_col, "feature").agg(F.sum("tf").alias("count"))
+    # four readers follow, so the counts are stored instead of the text being tokenised again
+    per = cut(term_counts(df, [lang_col], tokens).groupBy(lang_col, "feature").agg(F.sum("tf").alias("count")))
     words = per.groupBy("feature").agg(F.sum("count").alias("_word"))
     langs = per.groupBy(lang_col).agg(F.sum("count").alias("_lang"))
     distinct = words.agg(F.count(F.lit(1)).alias("v"), F.sum("_word").alias("n"))
