@@ -38,9 +38,14 @@ def _one_of(value: Column, allowed: Sequence[str]) -> Column:
     return value.isin(list(allowed))
 
 
-def pattern_rules(stripped_language: bool = False) -> list[Rule]:
-    rules = [(f"invalid_{f}", ~tx.strip(_col(f)).rlike(C.IDENTIFIER_PATTERN)) for f in ("case_id", "source_id", "family_id")]
-    return [*rules, ("invalid_language", ~_col("language").rlike(C.LANGUAGE_TAG_PATTERN))]
+def _full(value: Column, pattern: str) -> Column:
+    """Whole-value match; a bare ``$`` would let a trailing line break through."""
+    return value.rlike(pattern.removesuffix("$") + r"\z")
+
+
+def pattern_rules() -> list[Rule]:
+    rules = [(f"invalid_{f}", ~_full(tx.strip(_col(f)), C.IDENTIFIER_PATTERN)) for f in ("case_id", "source_id", "family_id")]
+    return [*rules, ("invalid_language", ~_full(_col("language"), C.LANGUAGE_TAG_PATTERN))]
 
 
 def text_rules() -> list[Rule]:

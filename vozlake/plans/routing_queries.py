@@ -402,6 +402,11 @@ def direct_batch(t: Tables) -> DataFrame:
     return direct(t).select(*_DIRECT)
 
 
+@query("direct_state_shares", o.with_ctes("SELECT source, direct_review_state AS state, count(*) AS count, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY source), 6) AS percentage FROM direct_rows GROUP BY 1, 2"))
+def direct_state_shares(t: Tables) -> DataFrame:
+    return metrics.state_shares(direct(t), "direct_review_state", BATCH)
+
+
 @query("direct_summary", o.with_ctes(f"""SELECT source, count(*) FILTER (granted) AS external_calls_used, count(*) FILTER (granted) AS direct_reviews_attempted, {CAP} AS external_call_limit,
     count(*) FILTER (direct_review_state = 'direct_review_failed') AS direct_review_fallbacks FROM direct_rows GROUP BY 1"""))
 def direct_summary(t: Tables) -> DataFrame:

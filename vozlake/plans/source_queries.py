@@ -71,7 +71,7 @@ o.define("contract_in", "SELECT d.doc_id, d.text, d.lang, t.expected FROM docume
 
 @query("dataset_contract", o.with_ctes("""SELECT c.check, c.observed, c.expected, c.observed = c.expected AS ok FROM (
     SELECT 'rows' AS check, count(*) AS observed, (SELECT count(*) FROM labels) AS expected FROM contract_in UNION ALL
-    SELECT 'bad_keys', count(*) - count(DISTINCT doc_id), 0 FROM contract_in UNION ALL SELECT 'short_texts', count(*) FILTER (length(trim(text)) < 2), 0 FROM contract_in UNION ALL
+    SELECT 'bad_keys', count(*) - count(DISTINCT doc_id), 0 FROM contract_in UNION ALL SELECT 'short_texts', count(*) FILTER (length(""" + o.strip("coalesce(text, '')") + """) < 2), 0 FROM contract_in UNION ALL
     SELECT 'class_Negativo', count(*) FILTER (expected = 'Negativo'), 74 FROM contract_in UNION ALL SELECT 'class_Neutro', count(*) FILTER (expected = 'Neutro'), 15 FROM contract_in UNION ALL
     SELECT 'class_Positivo', count(*) FILTER (expected = 'Positivo'), 15 FROM contract_in UNION ALL SELECT 'foreign_rows', count(*) FILTER (lang <> 'en'), 0 FROM contract_in) c"""))
 def dataset_contract(t: Tables) -> DataFrame:

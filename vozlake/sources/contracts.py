@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from vozlake.functions import text as tx
+
 
 def benchmark_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: exact ordered columns, no nulls, not empty."""
@@ -24,7 +26,7 @@ def dataset_contract(df: DataFrame, key: str, text: str, label: str, origin: str
     set in one task.
     """
     per_key = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.length(F.trim(F.coalesce(text, F.lit("")))) < min_chars).alias("short"),
+        F.count(F.lit(1)).alias("n"), F.count_if(F.length(tx.prepared(F.col(text))) < min_chars).alias("short"),
         *[F.count_if(F.col(label) == c).alias(f"c{k}") for k, c in enumerate(shares)],
         F.count_if(~F.col(origin).eqNullSafe(F.lit(constant))).alias("foreign"))
     seen = per_key.agg(
