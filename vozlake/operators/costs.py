@@ -66,11 +66,7 @@ def latency_summary(log: DataFrame, group_cols: Sequence[str] = (), latency: str
 
 
 def _lower_order_statistic(hist: DataFrame, groups: list[str], p: float) -> DataFrame:
-    """percentile_disc picks ceil(p * n); this position is floor(p * (n - 1)) + 1.
-
-    Both positions are turned into a fraction of n inside the same aggregate:
-    discrete quantile at exactly position/n.
-    """
+    """Smallest value whose running count reaches position floor(p * (n - 1)) + 1."""
     order = [F.col("_v").asc()]
     placed = ranking.place(hist, groups, order)
     run = ranking.scan(placed, groups, order, sums={"_upto": F.col("_n")})
