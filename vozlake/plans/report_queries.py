@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vozlake import constants as C
+from vozlake.durable import cut
 from vozlake.operators import report, scoring, selection
 from vozlake.plans import inputs
 from vozlake.plans import oracle as o
@@ -19,8 +20,9 @@ def tables(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def registry_of(t: Tables) -> DataFrame:
+    """Facts of every batch, stored: lineage, eligibility and payloads read them several times."""
     metrics, pareto = tables(t)
-    return report.facts(metrics, pareto, BATCH)
+    return cut(report.facts(metrics, pareto, BATCH), "facts")
 
 
 _FACT = "SELECT source, '{id}' AS fact_id, ({v})::DOUBLE AS value_num, {text} AS value_text, {num} AS numerator_fact, {den} AS denominator_fact FROM {table}"
