@@ -125,33 +125,23 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
     rank_of[order] = np.arange(len(order))
     sent = spark.sparkContext.broadcast(rank_of)
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, table = _width(tokens.of_worker(vocabulary)), sent.value
-        for batch in batches:
-            parts = [encode(table[np.frombuffer(v.as_buffer(), dtype=width)]) for v in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([
-                *(batch.column(c) for c in ("key", "n", "part", "pos")),
-                pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary()),
-            ], ["key", "n", "part", "pos", "control", "data"])
-
     kind = staged.schema["key"].dataType.simpleString()
-    coded = staged.mapInArrow(encoded, f"key {kind}, n long, part int, pos long, control binary, data binary")
     order_cols = [F.col("key").asc_nulls_first(), F.col("part"), F.col("pos")]
-    ranged = coded.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    # ids travel as they are and are coded where a shard is written, so finding the ranges codes nothing
+    ranged = staged.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, table = _width(tokens.of_worker(vocabulary)), sent.value
         shard, number, base = TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
         size = 0
-        # a code of four ids may end in the middle of a document, so a block is coded anew from ranks
 
         def block() -> pa.RecordBatch:
             nonlocal number, base, held, size
-            values = np.concatenate([decode(c, d, n) for _, n, c, d in held])
-            control, data = encode(values)
+            control, data = encode(table[np.frombuffer(b"".join(raw for *_, raw in held), dtype=width)])
             row = pa.RecordBatch.from_arrays([
                 pa.array([shard], pa.int32()), pa.array([number], pa.int32()),
-                pa.array([[k for k, *_ in held]], pa.list_(key_type)), pa.array([[n for _, n, *_ in held]], pa.list_(pa.int64())),
+                pa.array([[k for k, *_ in held]], pa.list_(key_type)), pa.array([[n for _, n, _ in held]], pa.list_(pa.int64())),
                 pa.array([size], pa.int64()), pa.array([base], pa.int64()),
                 pa.array([control], pa.binary()), pa.array([data], pa.binary()),
             ], ["shard", "block", "doc_ids", "lengths", "n_ids", "base", "control", "data"])
@@ -160,7 +150,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
 
         for batch in batches:
             key_type = batch.column("key").type
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "control", "data"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "ids"))):
                 if held and size + row[1] > block_ids:
                     yield block()
                 held.append(row)
