@@ -32,7 +32,7 @@ from vozlake.llm.dealing import EDGE_BITS, batch_of, by_bucket, pack_sorted, unp
 
 WINDOW = 35
 #: text whose hashes meet in one bucket, which is one task
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 _SPREAD = 16
 
 
@@ -80,7 +80,6 @@ def anchors(docs: DataFrame, window: int, bits: int, buckets: int) -> DataFrame:
         """Rows come by bucket: its index, then what probes it, then the owners of its blocks."""
         bucket, index, met, parts = None, None, None, []
         for batch in batches:
-            out = []
             for b, kind, hashes, texts, at, ordinals in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != bucket:
                     bucket, index, parts = b, None, []
@@ -102,8 +101,8 @@ def anchors(docs: DataFrame, window: int, bits: int, buckets: int) -> DataFrame:
                 twice = np.flatnonzero(found & (met[place] > 1))
                 where = np.frombuffer(at, dtype="<u4")[twice]
                 number = np.frombuffer(ordinals, dtype="<u4")[twice]
-                out += [(texts[16 * i:16 * i + 16], n) for i, n in zip(where.tolist(), number.tolist())]
-            yield batch_of(out, ["_key", "block"], [pa.binary(), pa.int32()])
+                yield batch_of([(texts[16 * i:16 * i + 16], n) for i, n in zip(where.tolist(), number.tolist())],
+                               ["_key", "block"], [pa.binary(), pa.int32()])
 
     dealt = docs.select("_key", "_text").mapInArrow(emit, _BLOCK_ROWS).repartitionById(buckets, F.col("bucket"))
     met = dealt.sortWithinPartitions("bucket", "kind").mapInArrow(probe, "_key binary, block int")
@@ -198,7 +197,6 @@ def repeated_windows(found: DataFrame, window: int, buckets: int) -> DataFrame:
         """Rows come by bucket: the windows of all chunks, then their owners."""
         bucket, parts, counts, size, repeated = None, [], [], 0, None
         for batch in batches:
-            out = []
             for b, kind, hashes, checks, texts, at, starts in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != bucket:
                     bucket, parts, counts, size, repeated = b, [], [], 0, None
@@ -217,15 +215,14 @@ def repeated_windows(found: DataFrame, window: int, buckets: int) -> DataFrame:
                 hit = np.flatnonzero(_among(pairs, repeated))
                 where, start = np.frombuffer(at, dtype="<u4")[hit], np.frombuffer(starts, dtype="<u4")[hit]
                 order = np.argsort(where, kind="stable")
-                where, start = where[order], start[order]
-                for i in np.unique(where).tolist():
-                    own = start[np.searchsorted(where, i):np.searchsorted(where, i, side="right")]
-                    out.append((texts[16 * i:16 * i + 16], own.tolist()))
-            yield batch_of(out, ["_key", "starts"], [pa.binary(), pa.list_(pa.int32())])
+                edges = 4 * np.searchsorted(where[order], np.arange(len(texts) // 16 + 1))
+                flat = start[order].astype("<u4").tobytes()
+                yield batch_of([(texts[16 * i:16 * i + 16], flat[edges[i]:edges[i + 1]])
+                                for i in np.flatnonzero(np.diff(edges)).tolist()], ["_key", "starts"], [pa.binary(), pa.binary()])
 
     dealt = found.select("_key", "_text", "_copies", "_blocks").mapInArrow(emit, _WINDOW_ROWS).repartitionById(buckets, F.col("bucket"))
-    met = dealt.sortWithinPartitions("bucket", "kind").mapInArrow(count, "_key binary, starts array<int>")
-    return met.groupBy("_key").agg(F.flatten(F.collect_list("starts")).alias("_starts"))
+    met = dealt.sortWithinPartitions("bucket", "kind").mapInArrow(count, "_key binary, starts binary")
+    return met.groupBy("_key").agg(F.collect_list("starts").alias("_starts"))
 
 
 def _cut_text(raw: bytes, starts: np.ndarray, window: int) -> tuple[int, bytes]:
@@ -261,7 +258,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
         for batch in batches:
             rows = []
             for name, value, starts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                gone, kept = _cut_text(value.as_buffer().to_pybytes(), starts.values.to_numpy(), window)
+                gone, kept = _cut_text(value.as_buffer().to_pybytes(), np.frombuffer(b"".join(starts.as_py()), dtype="<u4").astype(np.int64), window)
                 rows.append((name, gone, hashlib.sha256(kept).hexdigest()) + ((kept.decode(),) if with_text else ()))
             yield batch_of(rows, ["_key", "_gone", "_sha"] + ["_kept"] * with_text, [pa.binary(), pa.int64(), pa.string()] + [pa.string()] * with_text)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: bytes of text handled at once; a longer text is handled alone
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: words are hashed in stretches of about so many bytes
 _STRETCH = 1 << 20
 #: a longer word is hashed by itself
