@@ -90,8 +90,9 @@ def _prefix_rows(sets: list[np.ndarray], keys: list[bytes], percent: int, bucket
         n = len(s)
         if n:
             largest = n * 100 // percent
-            shown.append(s[:missing(n, percent) + missing(largest, percent) + 1])
-            counted.append(s[:2 * missing(n, percent) + 1])
+            # the smallest hashes, so they are mixed anew before their value deals them out
+            shown.append(ts.mix(s[:missing(n, percent) + missing(largest, percent) + 1]))
+            counted.append(ts.mix(s[:2 * missing(n, percent) + 1]))
             at.append(np.full(len(counted[-1]), i, dtype=np.uint32))
     if not shown:
         return []
@@ -312,10 +313,13 @@ def _group_pairs(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     group = F.unhex(F.sha2(F.concat_ws("|", F.hex("_label"), "_n", "_c", F.array_join("_cells", ",")), 256))
     members = cut(named.withColumn("_group", group), "members")
     groups = members.groupBy("_group", "_label", "_n", "_c").agg(F.any_value("_cells").alias("_cells"))
-    shown = groups.select("_group", "_label", "_n", "_c", F.explode("_cells").alias("_cell"))
-    side = lambda p: shown.select("_cell", *[F.col(f"_{c}").alias(f"{p}_{c}") for c in ("group", "label", "n", "c")])
+    # what a prefix shingle at this place leaves for an overlap, if it is the first that both have
+    shown = groups.select("*", F.posexplode("_cells").alias("_pos", "_cell")).withColumn("_c", F.col("_c") - F.col("_pos"))
+    side = lambda p: shown.select("_cell", *[F.col(f"_{c}").alias(f"{p}_{c}") for c in ("group", "label", "n", "c", "cells")])
     both = (F.col("l_group") < F.col("r_group")) & (F.col("l_label") != F.col("r_label")) & _may_link(percent, "l", "r")
-    pairs = side("l").join(side("r"), "_cell").filter(both).select("l_group", "r_group").distinct()
+    # prefixes are in one order, so a pair comes once, from the first shingle that both have
+    both = both & (F.get(F.array_intersect("l_cells", "r_cells"), F.lit(0)) == F.col("_cell"))
+    pairs = side("l").join(side("r"), "_cell").filter(both).select("l_group", "r_group")
     of = lambda p, name: members.select(F.col("_group").alias(f"{p}_group"), F.col("_set").alias(name))
     return pairs.join(of("l", "a"), "l_group").join(of("r", "b"), "r_group").select("a", "b")
 
