@@ -24,10 +24,12 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vozlake.durable import cut
@@ -145,20 +147,24 @@ class _Counter:
 
 
 def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """_key of the texts of which enough prefix shingles are in other prefixes too (step 1)."""
+    """(_key, _shared) of the texts with prefix shingles that are in other prefixes too, and how many (step 1).
+
+    A bucket answers each chunk in one row, and a chunk's answers are added up before texts get rows of their own."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk_id = TaskContext.get().partitionId() << 32
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for chunk in ts.chunks(batch.column(1)):
                 rows = _prefix_rows(shingle_sets(chunk, k), keys[chunk.first:chunk.first + chunk.count], percent, buckets)
-                yield batch_of(rows, _NAMES, _TYPES)
+                yield batch_of([(*row, chunk_id) for row in rows], [*_NAMES, "chunk"], [*_TYPES, pa.int64()])
+                chunk_id += 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, met = None, None
         for batch in batches:
             out = []
-            for b, kind, hashes, _, texts, at in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, kind, hashes, _, texts, at, chunk in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != bucket:
                     bucket, met = b, _Counter()
                 values = unpack_sorted(hashes)
@@ -166,12 +172,27 @@ def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame
                     met.add(values, np.ones(len(values), np.int64))
                     continue
                 shared = np.bincount(np.frombuffer(at, dtype="<u4"), met.look_up(values) > 1, minlength=len(texts) // 16)
-                out += [(texts[16 * i:16 * i + 16], int(shared[i])) for i in np.flatnonzero(shared).tolist()]
-            yield batch_of(out, ["_key", "shared"], [pa.binary(), pa.int64()])
-
-    dealt = docs.select("_key", "_text").mapInArrow(emit, _ROWS).repartitionById(buckets, F.col("bucket"))
-    return dealt.sortWithinPartitions("bucket", "kind").mapInArrow(count, "_key binary, shared long").groupBy("_key").agg(
-        F.sum("shared").alias("_shared"))
+                some = np.flatnonzero(shared)
+                out.append((chunk, b"".join(texts[16 * i:16 * i + 16] for i in some.tolist()), shared[some].astype("<u4").tobytes()))
+            yield batch_of(out, ["chunk", "texts", "shared"], [pa.int64(), pa.binary(), pa.binary()])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by chunk."""
+        chunk, sums = None, Counter()
+        types = [pa.binary(), pa.int64()]
+        for batch in batches:
+            for c, texts, shared in zip(*(x.to_pylist() for x in batch.columns)):
+                if c != chunk:
+                    yield batch_of(list(sums.items()), ["_key", "shared"], types)
+                    chunk, sums = c, Counter()
+                for i, n in enumerate(np.frombuffer(shared, dtype="<u4").tolist()):
+                    sums[texts[16 * i:16 * i + 16]] += n
+        yield batch_of(list(sums.items()), ["_key", "shared"], types)
+
+    dealt = docs.select("_key", "_text").mapInArrow(emit, f"{_ROWS}, chunk long").repartitionById(buckets, F.col("bucket"))
+    answers = dealt.sortWithinPartitions("bucket", "kind").mapInArrow(count, "chunk long, texts binary, shared binary")
+    summed = answers.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(add, "_key binary, shared long")
+    return summed.groupBy("_key").agg(F.sum("shared").alias("_shared"))
 
 
 def _sets(texts: DataFrame, k: int, percent: int) -> DataFrame:
