@@ -13,7 +13,7 @@ as one; keys of documents may repeat or be null; either table may be empty; othe
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -100,17 +100,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         # bounded by BLOCK_WINDOWS, as the hash spreads them
         rows = stored.filter(of_block == block).collect()
         sent = _Sent(spark.sparkContext.broadcast([(r.window, r["items"]) for r in rows]), f"{name}-{block}")
-        work = _pass(work, sent, block)
+        step = _pass(work, sent, block)
         if block < blocks - 1:
-            work = cut(work, "contamination")
-    found = work.mapInArrow(_spans, ", ".join(f"`{c}` {t}" for c, t in work.dtypes if c not in ("_text", "_hits"))
+            work = cut(work.mapInArrow(step, work.schema), "contamination")
+    # in one function, so that a task has one Python worker
+    found = work.mapInArrow(lambda batches: _spans(step(batches)), ", ".join(f"`{c}` {t}" for c, t in work.dtypes if c not in ("_text", "_hits"))
                             + ", n_hit long, spans array<struct<start:int,end:int>>")
     return found.select(F.col("_key").alias(key), *[F.col(f"_keep_{c}").alias(c) for c in keep], "n_words", "n_hit",
                         F.array_sort(F.array_distinct("_items")).alias("items"), "spans")
 
 
-def _pass(work: DataFrame, sent: _Sent, block: int) -> DataFrame:
-    """Adds the hits of one automaton, as ranges of words."""
+def _pass(work: DataFrame, sent: _Sent, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What adds the hits of one automaton, as ranges of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built, lengths, items = _automaton(sent, block)
@@ -138,7 +139,7 @@ def _pass(work: DataFrame, sent: _Sent, block: int) -> DataFrame:
             ], [*plain, "n_words", "_hits", "_items"])
 
     plain = [c for c in work.columns if c not in ("n_words", "_hits", "_items")]
-    return work.mapInArrow(run, work.schema)
+    return run
 
 
 def _merged(begin: np.ndarray, end: np.ndarray) -> list[dict]:

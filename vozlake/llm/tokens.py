@@ -18,7 +18,7 @@ import pyarrow as pa
 from vozlake.llm import textscan as ts
 
 #: pieces a worker remembers (about 40 bytes each) before it starts anew
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 1_000_000
 #: bytes of unseen pieces encoded in one call
 CALL_BYTES = 1 << 11
 END = "<|endoftext|>"
@@ -132,7 +132,7 @@ class PieceTokenizer:
 
     def texts(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(number of the first text, ids of some texts, count of each), with ``end_id`` after each text."""
-        for chunk in ts.chunks(column, 4 * ts.CHUNK_BYTES):
+        for chunk in ts.chunks(column, 2 * ts.CHUNK_BYTES):
             ids, counts = self.chunk_ids(chunk)
             yield chunk.first, np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
 
