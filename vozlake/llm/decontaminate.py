@@ -88,6 +88,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     code-point offsets in the original text (end exclusive)."""
     import uuid
 
+    ts.bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     stored = cut(windows(benchmark, item, item_texts, n), "windows")
     blocks = max(1, -(-stored.count() // BLOCK_WINDOWS))

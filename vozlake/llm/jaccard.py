@@ -347,6 +347,7 @@ def _group_pairs(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Per document: key, n_shingles and component_id, the smallest key that links reach."""
+    ts.bounded_batches(docs.sparkSession)
     given = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     keyed = given.withColumn("_key", F.unhex(F.md5("_text")))
     rows = _labelled(given, words)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vozlake.durable import cut
-from vozlake.llm import tokens
+from vozlake.llm import textscan as ts, tokens
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.json"
@@ -32,6 +32,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
            end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Stored stage: one row per piece of each document, with its rank among the pieces of its length
     in its task (``_part``, ``_rank``). Of a document above ``capacity`` the first piece is the short one."""
+    ts.bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, piece int, start long, length long, ids_crc32 long, _part int, _rank long"
     schema += ", ids binary" if with_ids else ""

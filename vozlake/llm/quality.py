@@ -109,6 +109,7 @@ def _common_index() -> tuple[np.ndarray, np.ndarray]:
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Stored stage: base counts, language tag and both histograms of each document."""
+    ts.bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -112,6 +112,7 @@ def fit_weights(rows: np.ndarray, columns: np.ndarray, grade: np.ndarray, size:
 
 def fit(docs: DataFrame, labels: DataFrame, grade: Column, key: str = "doc_id", text: str = "text",
         max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> Model:
+    ts.bounded_batches(docs.sparkSession)
     usable = labels.select(F.col(key).alias("_key"), grade.cast("int").alias("grade")).filter(
         F.col("_key").isNotNull() & F.col("grade").isNotNull())
     # at most max_labelled rows, so it may be broadcast
@@ -175,6 +176,7 @@ def _stable_order(table: pa.Table) -> np.ndarray:
 def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with expected_severity, p_toxic (chance of any grade above the lowest) and grade (the largest grade
     that is reached with a chance of a half or more)."""
+    ts.bounded_batches(docs.sparkSession)
     kept = docs.select(*keep)
     schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes) + ", expected_severity double, p_toxic double, grade int"
 

@@ -242,6 +242,7 @@ def _result_schema(with_text: bool) -> str:
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
                 bucket_bytes: int = BUCKET_BYTES, with_text: bool = False) -> DataFrame:
     """Per document: key, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
+    ts.bounded_batches(docs.sparkSession)
     given = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     keyed = given.withColumn("_key", F.unhex(F.md5("_text")))
     total = given.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0

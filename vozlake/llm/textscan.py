@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: bytes of text handled at once; a longer text is handled alone
 CHUNK_BYTES = 1 << 20
@@ -23,6 +24,17 @@ _STRETCH = 1 << 20
 #: a longer word is hashed by itself
 _LONG_WORD = 1 << 16
 
+#: bytes of rows handed to Python at once
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch: ten thousand rows of long texts fill Spark's own bound, and a task
+    holds a batch several times."""
+    if int(spark.conf.get(_BATCH_SETTING).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit over 64 bits (the splitmix64 finaliser)."""

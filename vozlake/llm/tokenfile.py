@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vozlake.durable import cut, scratch
-from vozlake.llm import tokens
+from vozlake.llm import textscan as ts, tokens
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -69,6 +69,7 @@ class TokenFiles:
 
 def tokenised(docs: DataFrame, key: str, text: str, vocabulary: str, end_id: int) -> DataFrame:
     """Stored stage: ids of each document (32-bit or, if the vocabulary allows, 16-bit), and its place in its task."""
+    ts.bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
