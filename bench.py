@@ -29,6 +29,8 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
         # a comment is slow to tokenise for its size, so scans are cut finer than the default
         .config("spark.sql.files.maxPartitionBytes", "4m").config("spark.sql.files.openCostInBytes", "512k")
+        # the bench tables are one file of one row group each
+        .config("vozlake.scan.partitions", cpus)
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -55,3 +55,22 @@ def test_budget_of_a_batch_that_holds_most_rows(spark):
     granted = routing.grant(df, F.lit(True), "k", 5, ["batch"]).filter("granted")
     hot = sorted(r.k for r in granted.filter("batch = 'hot'").collect())
     assert hot == [1, 2, 4, 5, 7] and granted.count() == 5 + 300
+
+
+def test_split_keeps_null_classes_keys_and_repeats(spark):
+    rows = [(i, None if i < 60 else "a") for i in range(100)] + [(None, "a")] * 3 + [(7, "b")] * 4
+    out = audit.stratified_split(spark.createDataFrame(rows, "id long, label string"), "id", "label")
+    got = out.collect()
+    assert len(got) == len(rows) and {r.split for r in got} == {"test", "train"}
+    assert sum(r.split == "test" for r in got if r.label is None) == 12
+    assert len({r.split for r in got if r.id is None}) == 1
+    # all rows of one key go together
+    assert {r.split for r in got if r.label == "b"} == {"test"}
+    assert audit.stratified_split(spark.createDataFrame([], "id long, label string"), "id", "label").count() == 0
+
+
+def test_table_digest_tells_nulls_and_borders_apart(spark):
+    def of(*row):
+        return audit.table_digest(spark.createDataFrame([row], "a string, b string"), ["a", "b"]).first().digest
+
+    assert len({of("x|y", "z"), of("x", "y|z"), of(None, "~"), of("~", None), of("~", "~"), of("", None), of("-", "")}) == 7

@@ -129,3 +129,18 @@ def test_abstention_on_uncovered_cases_is_null(spark):
     cases = spark.createDataFrame([("Negativo", "Negativo", 0.4)], "expected string, sentiment string, confidence double")
     found = ev.abstention_sweep(cases).orderBy("threshold").collect()
     assert [(r.covered_cases, r.selective_accuracy, r.selective_macro_f1, r.abstention_negative) for r in found] == [(0, None, None, 1.0)] * 4
+
+
+def test_latencies_below_a_hundredth_and_exact_positions(spark):
+    from vozlake.operators import costs
+
+    rows = [("tiny", v) for v in (0.001, 0.002, 0.004)] + [("gap", None)] + [("many", float(i)) for i in range(101) for _ in range(2)]
+    found = {r.g: r for r in costs.latency_summary(spark.createDataFrame(rows, "g string, latency_ms double"), ["g"]).collect()}
+    tiny, many = found["tiny"], found["many"]
+    assert (tiny.n, tiny.latency_min, tiny.latency_median, tiny.latency_max) == (3, 0.001, 0.002, 0.004)
+    assert tiny.latency_p95 == 0.0038 and tiny.latency_p95_lower == 0.002 and tiny.latency_mean == round(0.007 / 3, 8)
+    values = sorted(v for g, v in rows if g == "many")
+    at = 0.95 * (len(values) - 1)
+    low = int(at)
+    assert many.latency_p95_lower == values[low] and abs(many.latency_p95 - (values[low] + (values[low + 1] - values[low]) * (at - low))) < 1e-6
+    assert "gap" not in found

@@ -133,8 +133,9 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 
 def nfkc_clean(col: Column) -> Column:
-    """NFKC plus blank collapsing. The only step without a JVM built-in."""
-    return collapse_blanks(_nfkc(col))
+    """NFKC plus blank collapsing. The only step without a JVM built-in; ASCII text is its own NFKC and stays in the JVM."""
+    other = F.when(col.rlike(r"[^\x00-\x7F]"), col)
+    return collapse_blanks(F.coalesce(_nfkc(other), col))
 
 
 def sentence_parts(col: Column, min_words: int = 4) -> Column:

@@ -199,8 +199,10 @@ def agreement_matrix(pairs: DataFrame, labels: Sequence[str] = C.ANNOTATION_LABE
         for i, a in enumerate(labels) for j, b in enumerate(labels)])))
 
 
-def prevalence(pairs: DataFrame) -> DataFrame:
-    long = pairs.select(F.inline(F.array(
-        F.struct(F.lit("annotator_A").alias("annotator"), F.col("label_a").alias("label")),
-        F.struct(F.lit("annotator_B").alias("annotator"), F.col("label_b").alias("label")))))
-    return long.groupBy("annotator", "label").agg(F.count(F.lit(1)).alias("n"))
+def prevalence(pairs: DataFrame, labels: Sequence[str] = C.ANNOTATION_LABELS) -> DataFrame:
+    """Uses of every label by each annotator; a label that is never used counts zero."""
+    uses = [(who, x, f"{col}_{k}", F.count_if(F.col(col) == x)) for who, col in (("annotator_A", "label_a"), ("annotator_B", "label_b"))
+            for k, x in enumerate(labels)]
+    counts = pairs.agg(*[n.alias(name) for _, _, name, n in uses])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(who).alias("annotator"), F.lit(x).alias("label"), F.col(name).alias("n")) for who, x, name, _ in uses])))

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vozlake.durable import cut
 from vozlake.functions import text as tx
-from vozlake.operators import joins
+from vozlake.operators import joins, ranking
 
 
 def distributions(df: DataFrame, first: str, second: str) -> DataFrame:
@@ -40,24 +41,25 @@ def label_conflicts(df: DataFrame, value: Column, label: str) -> DataFrame:
 def stratified_split(df: DataFrame, key: str, strata: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Exact per-class hash split: the ceil(share * n) smallest digests are test.
 
-    A digest's first three hex digits are an even 4096-way bucket. Counting per
-    bucket finds the one bucket the cut falls in; only its rows are ranked, so a
-    class that holds most of the table is never sorted in one task.
+    Keys are counted by class and the first four hex digits of their digest, which
+    finds the bucket the cut falls in; one key in 65 536 is ranked, and a row is
+    compared with its class's last test digest, so no other column is shuffled.
+    A null class is a class. Rows of one key, and those without a key, share a side.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    rows = df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, 3))
-    counts = rows.groupBy(strata, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # at most 4096 rows per class
+    digest = F.md5(F.coalesce(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), F.lit(f"{seed}")))
+    narrow = df.select(strata, digest.alias("_digest")).withColumn("_bucket", F.substring("_digest", 1, 4))
+    counts = narrow.groupBy(strata, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # at most 65 536 rows per class
     upto = Window.partitionBy(strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sized = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(Window.partitionBy(strata)))
     want = F.ceil(F.col("_all") * F.lit(int(round(test_share * 100))) / 100)
-    plan = sized.select(strata, "_bucket", (want - (F.col("_upto") - F.col("_n"))).alias("_room"), "_n")
-    placed = rows.join(plan, [strata, "_bucket"])
-    edge = (F.col("_room") > 0) & (F.col("_room") < F.col("_n"))
-    inside = placed.filter(~edge).withColumn("split", F.when(F.col("_room") >= F.col("_n"), "test").otherwise("train"))
-    turn = Window.partitionBy(strata, "_bucket").orderBy("_digest", key)
-    cut = placed.filter(edge).withColumn("split", F.when(F.row_number().over(turn) <= F.col("_room"), "test").otherwise("train"))
-    return inside.unionByName(cut).drop("_digest", "_bucket", "_room", "_n")
+    room = want - (F.col("_upto") - F.col("_n"))
+    edge = cut(sized.select(strata, "_bucket", room.alias("_room"), "_n").filter("_room between 1 and _n"), "split-edge")
+    turn = Window.partitionBy(strata).orderBy("_digest")
+    placed = ranking.join_groups(narrow, edge, [strata, "_bucket"]).withColumn("_turn", F.row_number().over(turn))
+    last = cut(placed.filter(F.col("_turn") == F.col("_room")).select(strata, F.col("_digest").alias("_last")), "split-last")
+    side = F.when(digest <= F.col("_last"), "test").otherwise("train")
+    return ranking.join_groups(df, last, [strata], "left").withColumn("split", side).drop("_last")
 
 
 def leakage(df: DataFrame, key: str, split: str = "split", text_col: str = "text") -> DataFrame:
@@ -71,10 +73,12 @@ def leakage(df: DataFrame, key: str, split: str = "split", text_col: str = "text
 
 
 def table_digest(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
-    """Order-free fingerprint of rows: count plus a sum of 31-bit row digests.
+    """Order-free fingerprint of rows: count plus the sums of two 64-bit parts of row digests.
 
-    A sum keeps repeated rows visible, which an exclusive-or would cancel out.
+    A sum keeps repeated rows visible, which an exclusive-or would cancel out. Each
+    value goes with its length and a null has a mark of its own, so no two rows read alike.
     """
-    joined = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
-    value = F.conv(F.substring(F.md5(joined), 1, 7), 16, 10).cast("long")
-    return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("rows"), F.sum(value).alias("digest"))
+    marked = [F.coalesce(F.concat(F.char_length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    hashed = df.select(*group_cols, F.sha2(F.concat(*marked), 256).alias("_sha"))
+    parts = [F.sum(F.conv(F.substring("_sha", k, 16), 16, 10).cast("decimal(20,0)")).cast("string") for k in (1, 17)]
+    return hashed.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", *parts).alias("digest"))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vozlake import constants as C
 from vozlake.operators import quantiles as qt
-from vozlake.operators import ranking
 
 
 def request_cost(input_tokens: str = "input_tokens", output_tokens: str = "output_tokens") -> Column:
@@ -50,34 +49,17 @@ def by_call_type(log: DataFrame, group_cols: Sequence[str] = ("call_type",)) ->
 
 
 def latency_summary(log: DataFrame, group_cols: Sequence[str] = (), latency: str = "latency_ms") -> DataFrame:
-    """min, median, interpolated p95, lower p95, max, mean.
+    """min, median, interpolated p95, lower p95, max, mean of the values as logged.
 
-    The lower p95 is the order statistic at floor(0.95 * (n - 1)). It is read off
-    the histogram as the smallest value whose running count passes that position.
+    The lower p95 is the order statistic at floor(0.95 * (n - 1)).
     """
-    found = qt.quantiles(log, group_cols, F.col(latency), {"median": 0.5, "p95": 0.95}, qt.LATENCY_DECIMALS)
-    hist = qt.histogram(log, group_cols, F.col(latency), qt.LATENCY_DECIMALS)
-    lower = _lower_order_statistic(hist, list(group_cols), 0.95)
-    joined = ranking.join_groups(found, lower, list(group_cols), "left") if group_cols else found.withColumn("p95_lower", lower.scalar())
-    return joined.select(
+    found = qt.exact_quantiles(log, group_cols, F.col(latency), {"median": 50, "p95": 95}, {"p95_lower": 95})
+    return found.select(
         *group_cols, "n", F.col("minimum").alias("latency_min"), F.round("median", 6).alias("latency_median"),
         F.round("p95", 6).alias("latency_p95"), F.col("p95_lower").alias("latency_p95_lower"), F.col("maximum").alias("latency_max"),
         F.round(F.col("total") / F.col("n"), 8).alias("latency_mean"))
 
 
-def _lower_order_statistic(hist: DataFrame, groups: list[str], p: float) -> DataFrame:
-    """Smallest value whose running count reaches position floor(p * (n - 1)) + 1."""
-    order = [F.col("_v").asc()]
-    placed = ranking.place(hist, groups, order)
-    run = ranking.scan(placed, groups, order, sums={"_upto": F.col("_n")})
-    sizes = hist.groupBy(*groups).agg(F.sum("_n").alias("_all"))
-    sized = ranking.join_groups(run, sizes, groups) if groups else run.withColumn("_all", sizes.scalar())
-    # floor needs exact integers: 0.95 * (n - 1) as 95 * (n - 1) / 100
-    position = F.floor(F.lit(round(p * 100)) * (F.col("_all") - 1) / 100) + 1
-    reached = sized.filter(F.col("_upto") >= position)
-    return reached.groupBy(*groups).agg(F.min("_v").alias("p95_lower"))
-
-
 def token_totals(log: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """Token sums (null as 0), mean and max output, and cost per 1, 100 and 1000 comments."""
     zero, n = F.lit(0), F.count(F.lit(1))

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vozlake import constants as C
 from vozlake.operators import quantiles as qt
-from vozlake.operators import ranking
+from vozlake.operators import joins, ranking
 
 K = range(len(C.CLASSES))
 
 
 def details(scored: DataFrame, truth: DataFrame, key: str = "doc_id", threshold: float = C.GLOBAL_THRESHOLD) -> DataFrame:
-    """Scores joined with references after inference, with case flags."""
-    joined = scored.join(truth.select(key, "expected"), key)
+    """Scores joined one to one with references after inference, with case flags; a repeated key fails the job."""
+    joined = joins.one_to_one(scored, truth.select(key, "expected"), key)
     correct = F.col("sentiment") == F.col("expected")
     return joined.select(
         "*", correct.alias("is_correct"), (F.col("confidence") < threshold).alias("below_80_percent"),

@@ -1,8 +1,8 @@
 """Exact quantiles from value histograms.
 
-Values are rounded to a published precision and counted first (map-side), so
-the final aggregate sees distinct values only: at most 10**6 + 1 for 6-decimal
-probabilities, and timeout / precision for latencies.
+Probabilities are counted at their published precision first (map-side), so the
+final aggregate sees at most 10**6 + 1 values. Values of any precision, such as
+latencies, are counted as they are and read off by position in range partitions.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# latencies are kept to 0.01 ms; a provider timeout of 30 s gives 3e6 values
-LATENCY_DECIMALS = 2
+from vozlake.operators import ranking
 
 
 def histogram(df: DataFrame, group_cols: Sequence[str], value: Column, decimals: int) -> DataFrame:
@@ -34,3 +33,34 @@ def quantiles(df: DataFrame, group_cols: Sequence[str], value: Column,
         F.max("_v").alias("maximum"),
         *[F.percentile(F.col("_v"), F.lit(p), F.col("_n")).alias(k) for k, p in probabilities.items()],
     )
+
+
+def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value: Column,
+                    percents: Mapping[str, int], lower: Mapping[str, int]) -> DataFrame:
+    """As :func:`quantiles` for values of any precision and number; no task holds a whole group.
+
+    ``percents`` are interpolated, ``lower`` take the value at floor(percent / 100 * (n - 1)).
+    """
+    groups, order = list(group_cols), [F.col("_v").asc()]
+    hist = df.select(*groups, value.alias("_v")).filter(F.col("_v").isNotNull()) \
+        .groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = ranking.place(hist, groups, order)
+    run = ranking.scan(placed, groups, order, sums={"_upto": F.col("_n")})
+    sizes = placed.groupBy(*groups).agg(F.sum("_n").alias("_all"))
+    sized = ranking.join_groups(run, sizes, groups) if groups else run.withColumn("_all", sizes.scalar())
+
+    def hundredths(percent: int, size: Column) -> Column:
+        return F.lit(percent) * (size - 1)
+
+    def at(percent: int, step: int) -> Column:
+        position = F.least(F.floor(hundredths(percent, F.col("_all")) / 100) + step, F.col("_all") - 1)
+        return F.min(F.when(F.col("_upto") > position, F.col("_v")))
+
+    def interpolated(percent: int) -> Column:
+        share = (hundredths(percent, F.max("_all")) % 100) / 100
+        return at(percent, 0) + (at(percent, 1) - at(percent, 0)) * share
+
+    return sized.groupBy(*groups).agg(
+        F.sum("_n").alias("n"), F.sum(F.col("_v") * F.col("_n")).alias("total"),
+        F.min("_v").alias("minimum"), F.max("_v").alias("maximum"),
+        *[interpolated(p).alias(k) for k, p in percents.items()], *[at(p, 0).alias(k) for k, p in lower.items()])

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vozlake import constants as C
+from vozlake.durable import cut
 from vozlake.functions import payloads
 from vozlake.functions import text as tx
 from vozlake.operators import ranking
@@ -81,7 +82,8 @@ def grant(df: DataFrame, requested: Column, key: str, cap: int, group_cols: Sequ
     if not group_cols:
         limit = last.scalar()
         return df.withColumn(name, requested & F.coalesce(F.col(key) <= limit, F.lit(False)))
-    return ranking.join_groups(df, last, list(group_cols), "left") \
+    # stored, so that its real size decides the join and the table need not move
+    return ranking.join_groups(df, cut(last, "last-granted"), list(group_cols), "left") \
         .withColumn(name, requested & F.coalesce(F.col(key) <= F.col("last_key"), F.lit(False))).drop("last_key")
 
 

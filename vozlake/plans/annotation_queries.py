@@ -194,7 +194,9 @@ def agreement_matrix(t: Tables) -> DataFrame:
     return an.agreement_matrix(pairs(t))
 
 
-@query("agreement_prevalence", o.with_ctes("SELECT 'annotator_A' AS annotator, label_a AS label, count(*) AS n FROM pairs GROUP BY 2 UNION ALL SELECT 'annotator_B', label_b, count(*) FROM pairs GROUP BY 2"))
+@query("agreement_prevalence", o.with_ctes(" UNION ALL ".join(
+    f"SELECT 'annotator_{who}' AS annotator, l AS label, (SELECT count(*) FROM pairs p WHERE p.label_{who.lower()} = l) AS n FROM (SELECT unnest([{o.words(C.ANNOTATION_LABELS)}]) AS l)"
+    for who in "AB")))
 def agreement_prevalence(t: Tables) -> DataFrame:
     return an.prevalence(pairs(t))
 

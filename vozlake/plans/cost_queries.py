@@ -47,12 +47,12 @@ def failed_cases(t: Tables) -> DataFrame:
     return last.filter(~F.col("success")).select("case_id", "architecture", "error_code")
 
 
-@query("failed_cases_audit", o.with_ctes("""SELECT count(*) AS records, count(*) FILTER (NOT success) AS failed, count(DISTINCT CASE WHEN NOT success THEN case_id || architecture END) AS failed_ids FROM rl_last"""))
+@query("failed_cases_audit", o.with_ctes("""SELECT count(*) AS records, count(*) FILTER (NOT success) AS failed, count(DISTINCT CASE WHEN NOT success THEN case_id || ':' || architecture END) AS failed_ids FROM rl"""))
 def failed_cases_audit(t: Tables) -> DataFrame:
-    """The latest records are unique per key, so failures are counted, not de-duplicated."""
-    last = costs.latest_records(log(t), ["case_id", "architecture"], "event_id")
-    failed = F.count_if(~F.col("success"))
-    return last.agg(F.count(F.lit(1)).alias("records"), failed.alias("failed"), failed.alias("failed_ids"))
+    """Records and failures of the whole log, and the cases that failed, each counted once."""
+    per_case = log(t).groupBy("case_id", "architecture").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("success")).alias("failures"))
+    return per_case.agg(F.sum("n").alias("records"), F.sum("failures").alias("failed"), F.count_if(F.col("failures") > 0).alias("failed_ids"))
 
 
 @query("cost_by_architecture", o.with_ctes("""SELECT a.architecture, calls, round(calls::DOUBLE / n, 6) AS calls_per_comment, round(cost, 8) AS cost_usd, round(cost / n, 12) AS cost_per_comment_usd,

@@ -85,7 +85,7 @@ SELECT event_id, ts, concat('key', CAST(user_id AS STRING)) AS provider_key,
        WHEN error_code = 'completion_truncated' THEN 'length' ELSE 'stop' END AS finish_reason,
   CASE WHEN error_code IN ('timeout', 'rate_limited') THEN NULL ELSE 100 + k END AS input_tokens,
   CASE WHEN error_code IN ('timeout', 'rate_limited') THEN NULL ELSE 10 + k % 20 END AS output_tokens,
-  round(value * 10, 2) AS latency_ms, CAST(k % 60 AS DOUBLE) / 4 AS pacing_wait_seconds,
+  value * 10 AS latency_ms, CAST(k % 60 AS DOUBLE) / 4 AS pacing_wait_seconds,
   CASE user_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'pt' WHEN 2 THEN 'it' ELSE 'es' END AS language,
   expected AS expected_sentiment,
   CASE WHEN error_code IS NOT NULL THEN NULL

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vozlake import constants as C
 from vozlake.durable import cut
+from vozlake.operators import metrics as mt
 from vozlake.operators import report, scoring, selection
 from vozlake.plans import inputs
 from vozlake.plans import oracle as o
@@ -73,7 +74,7 @@ def eligible_ids(t: Tables) -> DataFrame:
 
 @query("opportunity_band", o.with_ctes("SELECT source, negative_percentage, CASE WHEN negative_percentage >= 40 THEN 'high' WHEN negative_percentage >= 20 THEN 'relevant' ELSE 'contained' END AS band FROM bm_metrics"))
 def opportunity_band(t: Tables) -> DataFrame:
-    metrics, _ = tables(t)
+    metrics = mt.sentiment_metrics(scoring.score(comments(t)), BATCH)
     return metrics.select("source", "negative_percentage", report.opportunity_band(F.col("negative_percentage")).alias("band"))
 
 

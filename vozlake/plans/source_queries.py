@@ -81,7 +81,8 @@ def dataset_contract(t: Tables) -> DataFrame:
     return contracts.dataset_contract(rows, "doc_id", "text", "expected", "lang", size, {C.NEGATIVE: 74, C.NEUTRAL: 15, C.POSITIVE: 15}, "en")
 
 
-_DIGEST = "sum(('0x' || md5(concat_ws('|', doc_id::VARCHAR, lang, source, text))[1:7])::BIGINT)::BIGINT"
+_ROW = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "lang", "source", "text"))
+_DIGEST = " || ':' || ".join(f"sum(('0x' || sha256({_ROW})[{k}:{k + 15}])::UBIGINT)::VARCHAR" for k in (1, 17))
 
 
 @query("frozen_manifest", f"SELECT source, count(*) AS rows, {_DIGEST} AS digest FROM documents GROUP BY 1")

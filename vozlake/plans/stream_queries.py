@@ -17,10 +17,26 @@ _DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bi
 @query("stream_journal", "SELECT event_id, user_id, event_type, value FROM events WHERE value >= 1")
 def stream_journal(t: Tables) -> DataFrame:
     """Arriving events, incomplete ones held back, appended exactly once."""
+    return _appended(t, jobs.journal(_records(t), _REQUIRED), "stream-journal")
+
+
+@query("stream_quarantine", """SELECT event_id, user_id, concat_ws('|', CASE WHEN event_type IS NULL THEN 'event_type' END, 'value') AS missing FROM events WHERE NOT coalesce(value >= 1, false)""")
+def stream_quarantine(t: Tables) -> DataFrame:
+    """The events that the journal holds back, and what they lack."""
+    return _appended(t, jobs.quarantine(_records(t), _REQUIRED).select("event_id", "user_id", "missing"), "stream-quarantine")
+
+
+_REQUIRED = ("event_id", "event_type", "value")
+
+
+def _records(t: Tables) -> DataFrame:
     events = jobs.read_stream(t.spark, t.folder, _EVENTS, "events.parquet")
-    record = events.select("event_id", "user_id", "event_type", F.when(F.col("value") >= 1, F.col("value")).alias("value"))
-    path = scratch(t.spark, "stream-journal")
-    jobs.finish(jobs.append(jobs.journal(record, ["event_id", "event_type", "value"]), path + "/data", path + "/checkpoint"))
+    return events.select("event_id", "user_id", "event_type", F.when(F.col("value") >= 1, F.col("value")).alias("value"))
+
+
+def _appended(t: Tables, stream: DataFrame, name: str) -> DataFrame:
+    path = scratch(t.spark, name)
+    jobs.finish(jobs.append(stream, path + "/data", path + "/checkpoint"))
     return t.spark.read.parquet(path + "/data")
 
 

@@ -91,11 +91,12 @@ def historical_clean(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.historical_clean(F.col("text")).alias("cleaned"))
 
 
-# composed characters only differ from the compatibility form on text that holds
-# ligatures, full-width letters and the like; the tables hold none
+# the tables hold no compatibility characters, so "fi" and digits are written as ligature
+# and full-width forms first, which NFKC must undo
 @query("nfkc_normalise", o.with_ctes(f"SELECT doc_id, {o.collapse('nfc_normalize(text)')} AS normalised FROM documents"))
 def nfkc_normalise(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.nfkc_clean(F.col("text")).alias("normalised"))
+    wide = F.translate(F.replace(F.col("text"), F.lit("fi"), F.lit("\ufb01")), "0123456789", "\uff10\uff11\uff12\uff13\uff14\uff15\uff16\uff17\uff18\uff19")
+    return t.documents.select("doc_id", tx.nfkc_clean(wide).alias("normalised"))
 
 
 def variants(df: DataFrame) -> DataFrame:

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: session setting of a caller whose tables are a few unsplittable files; unset, tables are read as they are
+SCAN_PARTITIONS = "vozlake.scan.partitions"
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a table of fewer files than cores one partition per core.
 
-    Text work costs far more than reading, so a table in a few unsplittable
-    files would leave most cores idle. Hash placement by key is repeatable after a
-    lost task. A table with enough files is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows by key into as many partitions as :data:`SCAN_PARTITIONS` asks for; without it nothing is shuffled."""
+    asked = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(asked), key) if asked else df
 
 
 def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """Parquet rows; ``key`` asks for :func:`spread`."""
+    """Parquet rows; ``key`` allows :func:`spread`."""
     df = spark.read.parquet(path)
     return spread(df, key) if key else df

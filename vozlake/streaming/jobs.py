@@ -32,12 +32,18 @@ def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         .outputMode("append").trigger(availableNow=True).start()
 
 
+def missing_fields(required: Sequence[str]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in required]))
+
+
 def journal(stream: DataFrame, required: Sequence[str]) -> DataFrame:
-    """Complete records only; the rest belongs to a quarantine stream."""
-    complete = F.lit(True)
-    for field in required:
-        complete = complete & F.col(field).isNotNull()
-    return stream.filter(complete)
+    """Complete records; :func:`quarantine` takes the others."""
+    return stream.filter(F.size(missing_fields(required)) == 0)
+
+
+def quarantine(stream: DataFrame, required: Sequence[str]) -> DataFrame:
+    """Records that :func:`journal` holds back, with the names of their missing fields."""
+    return stream.withColumn("missing", F.array_join(missing_fields(required), "|")).filter(F.col("missing") != "")
 
 
 def latest_state(stream: DataFrame, keys: Sequence[str], sequence: str, path: str, checkpoint: str) -> StreamingQuery:
