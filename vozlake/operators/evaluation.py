@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vozlake import constants as C
 from vozlake.operators import quantiles as qt
-from vozlake.operators import joins, ranking
+from vozlake.operators import joins, metrics, ranking
 
 K = range(len(C.CLASSES))
 
@@ -96,7 +96,7 @@ def error_flows(counts: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
 
 def confidence_diagnostics(cases: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     return cases.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("cases"), F.round(F.avg("confidence"), 6).alias("mean_confidence"),
+        F.count(F.lit(1)).alias("cases"), metrics.mean_confidence().alias("mean_confidence"),
         F.count_if("below_80_percent").alias("below_80_count"),
         F.round(F.count_if("below_80_percent") * 100.0 / F.count(F.lit(1)), 6).alias("below_80_percentage"),
         F.count_if("high_confidence_error").alias("high_confidence_errors"))

@@ -58,7 +58,12 @@ def sentiment_distribution(metrics: DataFrame, group_cols: Sequence[str] = ()) -
 
 
 def confidence_by_class(scored: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
-    return scored.groupBy(*group_cols, "sentiment").agg(F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return scored.groupBy(*group_cols, "sentiment").agg(mean_confidence().alias("mean_confidence"))
+
+
+def mean_confidence() -> Column:
+    """Mean of published confidences in whole millionths, half up, which no order of summing changes."""
+    return F.round(F.expr("(2 * sum(cast(round(confidence * 1000000) as bigint)) + count(confidence)) div (2 * count(confidence))") / 1e6, 6)
 
 
 def state_shares(results: DataFrame, state: str | Column, group_cols: Sequence[str] = ()) -> DataFrame:

@@ -41,7 +41,7 @@ def sentiment_distribution(t: Tables) -> DataFrame:
     return metrics.sentiment_distribution(batch_metrics(t), _BATCH)
 
 
-@query("confidence_by_class", o.with_ctes("SELECT source, sentiment, round(avg(confidence), 6) AS mean_confidence FROM scored GROUP BY 1, 2"))
+@query("confidence_by_class", o.with_ctes("SELECT source, sentiment, round((2 * sum(round(confidence * 1000000)::BIGINT) + count(*)) // (2 * count(*)) / 1000000.0::DOUBLE, 6) AS mean_confidence FROM scored GROUP BY 1, 2"))
 def confidence_by_class(t: Tables) -> DataFrame:
     return metrics.confidence_by_class(scored(t), _BATCH)
 
@@ -91,7 +91,7 @@ def evaluation_details(t: Tables) -> DataFrame:
                            "prediction_margin", "is_correct", "below_80_percent", "high_confidence_error")
 
 
-@query("confidence_diagnostics", o.with_ctes("""SELECT count(*) AS cases, round(avg(confidence), 6) AS mean_confidence, count(*) FILTER (below_80_percent) AS below_80_count,
+@query("confidence_diagnostics", o.with_ctes("""SELECT count(*) AS cases, round((2 * sum(round(confidence * 1000000)::BIGINT) + count(*)) // (2 * count(*)) / 1000000.0::DOUBLE, 6) AS mean_confidence, count(*) FILTER (below_80_percent) AS below_80_count,
     round(count(*) FILTER (below_80_percent) * 100.0::DOUBLE / count(*), 6) AS below_80_percentage, count(*) FILTER (high_confidence_error) AS high_confidence_errors FROM evaluated"""))
 def confidence_diagnostics(t: Tables) -> DataFrame:
     return ev.confidence_diagnostics(cases(t))
