@@ -21,6 +21,7 @@ def reasons(spark, router, sentiment, confidence, margin=1.0, signals=None):
 def test_thresholds_are_strict(spark):
     assert reasons(spark, Router(), "Neutro", 0.80) == []
     assert reasons(spark, Router(), "Neutro", 0.7999) == ["low_confidence"]
+    assert reasons(spark, Router(), "Neutro", 0.7999997) == ["low_confidence"] and reasons(spark, Router(), "Neutro", 0.8) == []
     assert reasons(spark, HYBRID_ROUTER, "Neutro", 0.65) == []
     assert reasons(spark, HYBRID_ROUTER, "Negativo", 0.70) == ["low_confidence:Negativo<0.80"]
 

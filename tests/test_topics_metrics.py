@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vozlake.operators import evaluation as ev
-from vozlake.operators import metrics, topics
+from vozlake.operators import metrics, scoring, topics
 
 
 def pareto_of(spark, counts, bounded):
@@ -144,3 +144,12 @@ def test_latencies_below_a_hundredth_and_exact_positions(spark):
     low = int(at)
     assert many.latency_p95_lower == values[low] and abs(many.latency_p95 - (values[low] + (values[low + 1] - values[low]) * (at - low))) < 1e-6
     assert "gap" not in found
+
+
+def test_scores_and_quantiles_keep_full_precision(spark):
+    model = scoring.LinearModel((("casi", 1.0, 0.0, 1e-7, 0.0),), (0.0, 0.0, 0.0))
+    row = scoring.score(spark.createDataFrame([("casi igual",)], "text string"), model).first()
+    assert row.sentiment == "Neutro" and 0 < row.prediction_margin < 1e-7 and row.second_best_class == "Negativo"
+    rows = [("b", "Negativo", 0.5 + k * 1e-9) for k in range(5)]
+    found = metrics.sentiment_metrics(spark.createDataFrame(rows, "batch string, sentiment string, confidence double"), ["batch"]).first()
+    assert (found.total, found.critical_negative_count) == (5, 2)

@@ -183,8 +183,8 @@ ELIGIBILITY_RULES = (
     ("insufficient", "no_business_targets", None, "always"),
 )
 
-# Published precision of probabilities. It makes every quantile histogram over
-# confidences at most 10**6 + 1 entries, whatever the number of comments.
+# Decimals of probabilities in the final rows of a registered query. Scores keep their
+# full precision through ranking, thresholds, budgets and statistics.
 PROBABILITY_DECIMALS = 6
 
 # Python's str.strip()/isspace() set, used wherever blanks are trimmed or split.

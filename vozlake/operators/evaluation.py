@@ -103,14 +103,14 @@ def confidence_diagnostics(cases: DataFrame, group_cols: Sequence[str] = ()) ->
 
 
 def margin_distribution(cases: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
-    found = qt.quantiles(cases, group_cols, F.col("prediction_margin"), {"p25": 0.25, "median": 0.5, "p75": 0.75}, C.PROBABILITY_DECIMALS)
+    found = qt.exact_quantiles(cases, group_cols, F.col("prediction_margin"), {"p25": 25, "median": 50, "p75": 75})
     return found.select(
-        *group_cols, F.col("minimum").alias("margin_min"), F.round("p25", 8).alias("p25"), F.round("median", 8).alias("median"),
-        F.round("p75", 8).alias("p75"), F.col("maximum").alias("margin_max"), F.round(F.col("total") / F.col("n"), 6).alias("margin_mean"))
+        *group_cols, F.round("minimum", 6).alias("margin_min"), F.round("p25", 8).alias("p25"), F.round("median", 8).alias("median"),
+        F.round("p75", 8).alias("p75"), F.round("maximum", 6).alias("margin_max"), F.round(F.col("total") / F.col("n"), 6).alias("margin_mean"))
 
 
 def confidence_by_outcome(cases: DataFrame) -> DataFrame:
-    found = qt.quantiles(cases, ["is_correct"], F.col("confidence"), {"median": 0.5}, C.PROBABILITY_DECIMALS)
+    found = qt.exact_quantiles(cases, ["is_correct"], F.col("confidence"), {"median": 50})
     return found.select("is_correct", "n", F.round(F.col("total") / F.col("n"), 6).alias("mean_confidence"), F.round("median", 8).alias("median_confidence"))
 
 

@@ -1,7 +1,7 @@
 """Starter tables: a small hand-weighted sentiment model and language profiles.
 
 They let every job run before a fitted table exists. Production use replaces
-them with the output of ``fitting.fit_model`` / ``fitting.fit_language_profiles``.
+them with the output of ``fitting.fit_logreg`` / ``fitting.fit_language_profiles``.
 """
 
 from __future__ import annotations

@@ -7,33 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vozlake import constants as C
-from vozlake.operators import ranking
+from vozlake.durable import cut
+from vozlake.operators import quantiles, ranking
 
 
 def sentiment_metrics(scored: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """One wide row per batch: counts, shares, ratio, confidence, critical rows.
 
-    Everything is derived from one histogram over (batch, class, confidence), so
+    Everything is derived from one stored histogram over (batch, class, confidence), so
     the comments themselves are read and scored once.
     """
     groups = list(group_cols)
-    hist = scored.select(*groups, "sentiment", F.round("confidence", C.PROBABILITY_DECIMALS).alias("confidence")) \
-        .groupBy(*groups, "sentiment", "confidence").agg(F.count(F.lit(1)).alias("_n"))
-    keyed = hist if groups else hist.withColumn("_all", F.lit(0))
     keys = groups or ["_all"]
+    single = scored if groups else scored.withColumn("_all", F.lit(0))
+    hist = cut(single.groupBy(*keys, "sentiment", "confidence").agg(F.count(F.lit(1)).alias("_n")), "confidences")
     n = F.col("_n")
-    totals = keyed.groupBy(*keys).agg(
+    totals = hist.groupBy(*keys).agg(
         F.sum("_n").alias("total"),
         *[F.coalesce(F.sum(F.when(F.col("sentiment") == c, n)), F.lit(0)).alias(f"{s}_count") for c, s in C.CLASS_SLUGS.items()],
-        # whole millionths, so the mean does not depend on the order of the sum
-        F.sum(F.round(F.col("confidence") * 10**C.PROBABILITY_DECIMALS).cast("long") * n).alias("_millionths"),
-        F.percentile("confidence", F.lit(0.75), n).alias("_p75"),
     )
-    # the class test sits inside the sum: as a filter it would sink below the counting,
-    # and the two readers of the histogram would no longer share one shuffle
+    # a row per batch, stored so that its real size decides the joins
+    found = quantiles.exact_quantiles(hist, keys, F.col("confidence"), {"_p75": 75}, weight=n)
+    limits = cut(found.select(*keys, "_p75", (F.col("total") / F.col("n")).alias("_mean")), "limits")
     strong = (F.col("sentiment") == C.NEGATIVE) & (F.col("confidence") >= F.col("_p75"))
-    critical = ranking.join_groups(keyed, totals.select(*keys, "_p75"), keys).groupBy(*keys).agg(
+    critical = ranking.join_groups(hist, limits.select(*keys, "_p75"), keys).groupBy(*keys).agg(
         F.sum(F.when(strong, F.col("_n"))).alias("_critical"))
+    totals = ranking.join_groups(totals, limits, keys, "left")
     positive, negative = F.col("positive_count"), F.col("negative_count")
     ratio = (
         F.when(negative > 0, positive / F.when(negative > 0, negative))
@@ -43,7 +42,7 @@ def sentiment_metrics(scored: DataFrame, group_cols: Sequence[str] = ()) -> Data
         *groups, "total", "negative_count", "neutral_count", "positive_count",
         *[F.round(F.col(f"{s}_count") * 100.0 / F.col("total"), 6).alias(f"{s}_percentage") for s in C.CLASS_SLUGS.values()],
         F.round(ratio, 6).alias("positive_negative_ratio"),
-        F.round(F.expr("(2 * _millionths + total) div (2 * total)") / float(10**C.PROBABILITY_DECIMALS), 6).alias("mean_confidence"),
+        F.round("_mean", 6).alias("mean_confidence"),
         F.round("_p75", 8).alias("critical_confidence_threshold"),
         F.coalesce("_critical", F.lit(0)).alias("critical_negative_count"),
     )
@@ -62,8 +61,7 @@ def confidence_by_class(scored: DataFrame, group_cols: Sequence[str] = ()) -> Da
 
 
 def mean_confidence() -> Column:
-    """Mean of published confidences in whole millionths, half up, which no order of summing changes."""
-    return F.round(F.expr("(2 * sum(cast(round(confidence * 1000000) as bigint)) + count(confidence)) div (2 * count(confidence))") / 1e6, 6)
+    return F.round(F.avg("confidence"), 6)
 
 
 def state_shares(results: DataFrame, state: str | Column, group_cols: Sequence[str] = ()) -> DataFrame:

@@ -1,9 +1,4 @@
-"""Exact quantiles from value histograms.
-
-Probabilities are counted at their published precision first (map-side), so the
-final aggregate sees at most 10**6 + 1 values. Values of any precision, such as
-latencies, are counted as they are and read off by position in range partitions.
-"""
+"""Exact quantiles of values of any precision, read off by position in range partitions."""
 
 from __future__ import annotations
 
@@ -14,36 +9,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vozlake.operators import ranking
 
 
-def histogram(df: DataFrame, group_cols: Sequence[str], value: Column, decimals: int) -> DataFrame:
-    return (
-        df.select(*group_cols, F.round(value, decimals).alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    )
-
-
-def quantiles(df: DataFrame, group_cols: Sequence[str], value: Column,
-              probabilities: Mapping[str, float], decimals: int) -> DataFrame:
-    """One row per group: interpolated quantiles plus count, sum, min and max."""
-    hist = histogram(df, group_cols, value, decimals)
-    return hist.groupBy(*group_cols).agg(
-        F.sum("_n").alias("n"),
-        F.sum(F.col("_v") * F.col("_n")).alias("total"),
-        F.min("_v").alias("minimum"),
-        F.max("_v").alias("maximum"),
-        *[F.percentile(F.col("_v"), F.lit(p), F.col("_n")).alias(k) for k, p in probabilities.items()],
-    )
-
-
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value: Column,
-                    percents: Mapping[str, int], lower: Mapping[str, int]) -> DataFrame:
-    """As :func:`quantiles` for values of any precision and number; no task holds a whole group.
+                    percents: Mapping[str, int], lower: Mapping[str, int] | None = None, weight: Column | None = None) -> DataFrame:
+    """One row per group: quantiles plus count, sum, min and max; no task holds a whole group.
 
-    ``percents`` are interpolated, ``lower`` take the value at floor(percent / 100 * (n - 1)).
+    ``percents`` are interpolated, ``lower`` take the value at floor(percent / 100 * (n - 1)). A row counts ``weight`` times.
     """
     groups, order = list(group_cols), [F.col("_v").asc()]
-    hist = df.select(*groups, value.alias("_v")).filter(F.col("_v").isNotNull()) \
-        .groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    unit = F.lit(1).cast("long") if weight is None else weight
+    hist = df.select(*groups, value.alias("_v"), unit.alias("_w")).filter(F.col("_v").isNotNull()) \
+        .groupBy(*groups, "_v").agg(F.sum("_w").alias("_n"))
     placed = ranking.place(hist, groups, order)
     run = ranking.scan(placed, groups, order, sums={"_upto": F.col("_n")})
     sizes = placed.groupBy(*groups).agg(F.sum("_n").alias("_all"))
@@ -63,4 +38,4 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value: Column,
     return sized.groupBy(*groups).agg(
         F.sum("_n").alias("n"), F.sum(F.col("_v") * F.col("_n")).alias("total"),
         F.min("_v").alias("minimum"), F.max("_v").alias("maximum"),
-        *[interpolated(p).alias(k) for k, p in percents.items()], *[at(p, 0).alias(k) for k, p in lower.items()])
+        *[interpolated(p).alias(k) for k, p in percents.items()], *[at(p, 0).alias(k) for k, p in (lower or {}).items()])

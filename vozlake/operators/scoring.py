@@ -86,15 +86,15 @@ class LinearModel:
             top = F.greatest(*[z[k] for k in names])
             return F.struct(z["n"].alias("n"), *[F.exp(z[k] - top).alias(k) for k in names])
 
-        def published(e: Column) -> Column:
+        def divided(e: Column) -> Column:
             total = e["a"] + e["b"] + e["c"]
-            probabilities = F.array(*[F.round(e[k] / total, C.PROBABILITY_DECIMALS) for k in names])
+            probabilities = F.array(*[e[k] / total for k in names])
             return tx.let(probabilities, lambda p: _result(p, e["n"]))
 
         counted = self.terms.counts(tx.with_bigrams(tx.model_tokens(text)))
         return tx.let(
             F.aggregate(counted, zero, step),
-            lambda acc: tx.let(logits(acc), lambda z: tx.let(softmax(z), published)),
+            lambda acc: tx.let(logits(acc), lambda z: tx.let(softmax(z), divided)),
         )
 
 
@@ -116,7 +116,7 @@ def _result(p: Column, n_features: Column) -> Column:
             *[F.get(p, F.lit(k)).alias(f"probability_{c.lower()}") for k, c in enumerate(C.CLASSES)],
             second["name"].alias("second_best_class"),
             (-second["neg"]).alias("second_best_probability"),
-            F.round(second["neg"] - first["neg"], C.PROBABILITY_DECIMALS).alias("prediction_margin"),
+            (second["neg"] - first["neg"]).alias("prediction_margin"),
             n_features.alias("n_features"),
         )
 
@@ -194,7 +194,7 @@ class LanguageProfiles:
 
         def decide(acc: Column) -> Column:
             entries = F.sort_array(F.array(*[
-                F.struct((-F.round(acc[n], 6)).alias("neg"), F.lit(lang).alias("lang"))
+                F.struct((-acc[n]).alias("neg"), F.lit(lang).alias("lang"))
                 for n, lang in zip(names, languages)
             ]))
             return tx.let(entries, outcome)

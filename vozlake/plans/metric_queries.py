@@ -16,7 +16,7 @@ from vozlake.plans.text_queries import comments, with_tokens
 # --- batch metrics ----------------------------------------------------------------
 
 o.define("bm0", """SELECT source, count(*) AS total, count(*) FILTER (sentiment = 'Negativo') AS neg_n, count(*) FILTER (sentiment = 'Neutro') AS neu_n,
-    count(*) FILTER (sentiment = 'Positivo') AS pos_n, (2 * sum(round(confidence * 1000000)::BIGINT) + count(*)) // (2 * count(*)) / 1000000.0::DOUBLE AS mean_c, quantile_cont(confidence, 0.75) AS p75 FROM scored GROUP BY 1""")
+    count(*) FILTER (sentiment = 'Positivo') AS pos_n, avg(confidence) AS mean_c, quantile_cont(confidence, 0.75) AS p75 FROM scored GROUP BY 1""")
 o.define("bm_metrics", """SELECT source, total, neg_n AS negative_count, neu_n AS neutral_count, pos_n AS positive_count,
     round(neg_n * 100.0::DOUBLE / total, 6) AS negative_percentage, round(neu_n * 100.0::DOUBLE / total, 6) AS neutral_percentage,
     round(pos_n * 100.0::DOUBLE / total, 6) AS positive_percentage,
@@ -41,7 +41,7 @@ def sentiment_distribution(t: Tables) -> DataFrame:
     return metrics.sentiment_distribution(batch_metrics(t), _BATCH)
 
 
-@query("confidence_by_class", o.with_ctes("SELECT source, sentiment, round((2 * sum(round(confidence * 1000000)::BIGINT) + count(*)) // (2 * count(*)) / 1000000.0::DOUBLE, 6) AS mean_confidence FROM scored GROUP BY 1, 2"))
+@query("confidence_by_class", o.with_ctes("SELECT source, sentiment, round(avg(confidence), 6) AS mean_confidence FROM scored GROUP BY 1, 2"))
 def confidence_by_class(t: Tables) -> DataFrame:
     return metrics.confidence_by_class(scored(t), _BATCH)
 
@@ -56,7 +56,7 @@ def counts(t: Tables, groups=()) -> DataFrame:
     return ev.confusion_counts(cases(t), groups)
 
 
-@query("join_references", o.with_ctes("SELECT doc_id, sentiment, confidence, expected FROM evaluated"))
+@query("join_references", o.with_ctes("SELECT doc_id, sentiment, confidence, expected FROM evaluated"), scores="confidence")
 def join_references(t: Tables) -> DataFrame:
     """Predictions with references; a repeated key on either side is an error."""
     return joins.one_to_one(scored(t).select("doc_id", "sentiment", "confidence"), t.derived("truth"), "doc_id")
@@ -85,20 +85,20 @@ def confusion_matrix(t: Tables) -> DataFrame:
 
 
 @query("evaluation_details", o.with_ctes("""SELECT doc_id, expected, sentiment, confidence, second_best_class, second_best_probability, prediction_margin, is_correct,
-    below_80_percent, high_confidence_error FROM evaluated"""))
+    below_80_percent, high_confidence_error FROM evaluated"""), scores="confidence second_best_probability prediction_margin")
 def evaluation_details(t: Tables) -> DataFrame:
     return cases(t).select("doc_id", "expected", "sentiment", "confidence", "second_best_class", "second_best_probability",
                            "prediction_margin", "is_correct", "below_80_percent", "high_confidence_error")
 
 
-@query("confidence_diagnostics", o.with_ctes("""SELECT count(*) AS cases, round((2 * sum(round(confidence * 1000000)::BIGINT) + count(*)) // (2 * count(*)) / 1000000.0::DOUBLE, 6) AS mean_confidence, count(*) FILTER (below_80_percent) AS below_80_count,
+@query("confidence_diagnostics", o.with_ctes("""SELECT count(*) AS cases, round(avg(confidence), 6) AS mean_confidence, count(*) FILTER (below_80_percent) AS below_80_count,
     round(count(*) FILTER (below_80_percent) * 100.0::DOUBLE / count(*), 6) AS below_80_percentage, count(*) FILTER (high_confidence_error) AS high_confidence_errors FROM evaluated"""))
 def confidence_diagnostics(t: Tables) -> DataFrame:
     return ev.confidence_diagnostics(cases(t))
 
 
-@query("margin_distribution", o.with_ctes("""SELECT min(prediction_margin) AS margin_min, round(quantile_cont(prediction_margin, 0.25), 8) AS p25,
-    round(quantile_cont(prediction_margin, 0.5), 8) AS median, round(quantile_cont(prediction_margin, 0.75), 8) AS p75, max(prediction_margin) AS margin_max,
+@query("margin_distribution", o.with_ctes("""SELECT round(min(prediction_margin), 6) AS margin_min, round(quantile_cont(prediction_margin, 0.25), 8) AS p25,
+    round(quantile_cont(prediction_margin, 0.5), 8) AS median, round(quantile_cont(prediction_margin, 0.75), 8) AS p75, round(max(prediction_margin), 6) AS margin_max,
     round(avg(prediction_margin), 6) AS margin_mean FROM evaluated"""))
 def margin_distribution(t: Tables) -> DataFrame:
     return ev.margin_distribution(cases(t))
@@ -109,7 +109,7 @@ def error_flows(t: Tables) -> DataFrame:
     return ev.error_flows(counts(t))
 
 
-@query("error_cases", o.with_ctes("SELECT doc_id, expected, sentiment AS obtained, confidence, high_confidence_error FROM evaluated WHERE expected <> sentiment"))
+@query("error_cases", o.with_ctes("SELECT doc_id, expected, sentiment AS obtained, confidence, high_confidence_error FROM evaluated WHERE expected <> sentiment"), scores="confidence")
 def error_cases(t: Tables) -> DataFrame:
     return cases(t).filter(~F.col("is_correct")).select("doc_id", "expected", F.col("sentiment").alias("obtained"), "confidence", "high_confidence_error")
 
@@ -201,7 +201,7 @@ def abstention_sweep(t: Tables) -> DataFrame:
 
 
 @query("representative_errors", o.with_ctes("""SELECT doc_id, expected, sentiment, confidence FROM (SELECT *, row_number() OVER (PARTITION BY expected, sentiment ORDER BY confidence DESC, doc_id) AS r
-    FROM evaluated WHERE NOT is_correct) WHERE r = 1"""))
+    FROM evaluated WHERE NOT is_correct) WHERE r = 1"""), scores="confidence")
 def representative_errors(t: Tables) -> DataFrame:
     return ev.representative_errors(cases(t))
 

@@ -38,25 +38,25 @@ def fit_logreg(t: Tables) -> DataFrame:
     return fitting.fit_logreg(labelled, fitting.fit_tfidf(labelled))
 
 
-@query("score_linear", o.with_ctes("""SELECT doc_id, sentiment, confidence, probability_negativo, probability_neutro, probability_positivo FROM scored"""))
+@query("score_linear", o.with_ctes("""SELECT doc_id, sentiment, confidence, probability_negativo, probability_neutro, probability_positivo FROM scored"""), scores="confidence probability_negativo probability_neutro probability_positivo")
 def score_linear(t: Tables) -> DataFrame:
     return scored(t).select("doc_id", "sentiment", "confidence", "probability_negativo", "probability_neutro", "probability_positivo")
 
 
-@query("top2_margin", o.with_ctes("SELECT doc_id, sentiment, confidence, second_best_class, second_best_probability, prediction_margin FROM scored"))
+@query("top2_margin", o.with_ctes("SELECT doc_id, sentiment, confidence, second_best_class, second_best_probability, prediction_margin FROM scored"), scores="confidence second_best_probability prediction_margin")
 def top2_margin(t: Tables) -> DataFrame:
     return scored(t).select("doc_id", "sentiment", "confidence", "second_best_class", "second_best_probability", "prediction_margin")
 
 
 @query("predictions_only", o.with_ctes("""SELECT doc_id, text, sentiment AS predicted_sentiment, confidence AS local_confidence, probability_negativo,
-    probability_neutro, probability_positivo FROM scored"""))
+    probability_neutro, probability_positivo FROM scored"""), scores="local_confidence probability_negativo probability_neutro probability_positivo")
 def predictions_only(t: Tables) -> DataFrame:
     return scoring.score(comments(t).select("doc_id", "text")).select(
         "doc_id", "text", F.col("sentiment").alias("predicted_sentiment"), F.col("confidence").alias("local_confidence"),
         "probability_negativo", "probability_neutro", "probability_positivo")
 
 
-@query("probability_long", o.with_ctes("SELECT doc_id, name AS class, pr AS probability FROM s0_long"))
+@query("probability_long", o.with_ctes("SELECT doc_id, name AS class, pr AS probability FROM s0_long"), scores="probability")
 def probability_long(t: Tables) -> DataFrame:
     return scored(t).select("doc_id", F.inline(F.array(*[
         F.struct(F.lit(c).alias("class"), F.col(f"probability_{c.lower()}").alias("probability")) for c in C.CLASSES])))

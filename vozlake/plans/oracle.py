@@ -39,7 +39,7 @@ def negation(expr: str) -> str:
     return f"regexp_matches(lower({expr}), '(^|{NW})({'|'.join(C.NEGATION_WORDS)})($|{NW})')"
 
 
-_COEF = ",\n  ".join(f"('{f}', {i}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for f, i, a, b, c in lexicon.STARTER_MODEL)
+_COEF = ",\n  ".join(f"({n}, '{f}', {i}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for n, (f, i, a, b, c) in enumerate(lexicon.STARTER_MODEL))
 _PROFILE = ", ".join(
     f"('{lang}', '{w}')" for lang, text in sorted(lexicon.STARTER_PROFILES.items()) for w in text.split()
 )
@@ -54,24 +54,24 @@ def score_ctes(source: str, key: str, text: str, prefix: str) -> dict[str, str]:
         f"{p}_tok": f"SELECT {key}, regexp_extract_all(lower({text}), '{W}{{2,}}') AS t FROM {source}",
         f"{p}_feat": f"""SELECT {key}, unnest(t) AS feature FROM {p}_tok
             UNION ALL SELECT {key}, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM {p}_tok""",
-        f"{p}_tf": f"""SELECT {key}, w0, w1, w2, idf * count(*) AS x FROM {p}_feat JOIN coef USING (feature)
-            GROUP BY {key}, feature, idf, w0, w1, w2""",
-        f"{p}_sum": f"""SELECT {key}, count(*) AS n, sqrt(sum(x * x)) AS norm, sum(w0 * x) AS a, sum(w1 * x) AS b, sum(w2 * x) AS c
+        f"{p}_tf": f"""SELECT {key}, i, w0, w1, w2, idf * count(*) AS x FROM {p}_feat JOIN coef USING (feature)
+            GROUP BY {key}, i, idf, w0, w1, w2""",
+        f"{p}_sum": f"""SELECT {key}, count(*) AS n, sqrt(sum(x * x ORDER BY i)) AS norm, sum(w0 * x ORDER BY i) AS a, sum(w1 * x ORDER BY i) AS b, sum(w2 * x ORDER BY i) AS c
             FROM {p}_tf GROUP BY {key}""",
         f"{p}_z": f"""SELECT s.{key}, coalesce(n, 0) AS n_features, {_B0} + coalesce(a / norm, 0) AS z0,
             {_B1} + coalesce(b / norm, 0) AS z1, {_B2} + coalesce(c / norm, 0) AS z2
             FROM {source} s LEFT JOIN {p}_sum USING ({key})""",
         f"{p}_e": f"""SELECT {key}, n_features, exp(z0 - greatest(z0, z1, z2)) AS e0, exp(z1 - greatest(z0, z1, z2)) AS e1,
             exp(z2 - greatest(z0, z1, z2)) AS e2 FROM {p}_z""",
-        f"{p}_p": f"""SELECT {key}, n_features, round(e0 / (e0 + e1 + e2), 6) AS p0, round(e1 / (e0 + e1 + e2), 6) AS p1,
-            round(e2 / (e0 + e1 + e2), 6) AS p2 FROM {p}_e""",
+        f"{p}_p": f"""SELECT {key}, n_features, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1,
+            e2 / (e0 + e1 + e2) AS p2 FROM {p}_e""",
         f"{p}_long": f"""SELECT {key}, v.k, v.name, CASE v.k WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS pr
             FROM {p}_p, (VALUES {_CLASSES}) v(k, name)""",
         f"{p}_rank": f"SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY pr DESC, k) AS r FROM {p}_long",
         p: f"""SELECT q.{key}, max(CASE WHEN r = 1 THEN name END) AS sentiment, max(CASE WHEN r = 1 THEN pr END) AS confidence,
             any_value(p0) AS probability_negativo, any_value(p1) AS probability_neutro, any_value(p2) AS probability_positivo,
             max(CASE WHEN r = 2 THEN name END) AS second_best_class, max(CASE WHEN r = 2 THEN pr END) AS second_best_probability,
-            round(max(CASE WHEN r = 1 THEN pr END) - max(CASE WHEN r = 2 THEN pr END), 6) AS prediction_margin,
+            max(CASE WHEN r = 1 THEN pr END) - max(CASE WHEN r = 2 THEN pr END) AS prediction_margin,
             any_value(n_features)::INTEGER AS n_features
             FROM {p}_p q JOIN {p}_rank USING ({key}) GROUP BY q.{key}""",
     }
@@ -81,11 +81,11 @@ _CTES: dict[str, str] = {
     "classes": f"SELECT k, name FROM (VALUES {_CLASSES}) v(k, name)",
     "prep": f"""SELECT doc_id, source, lang, t AS text FROM
         (SELECT doc_id, source, lang, {strip("coalesce(text, '')")} AS t FROM documents) WHERE length(t) >= 2""",
-    "coef": f"SELECT * FROM (VALUES\n  {_COEF}) v(feature, idf, w0, w1, w2)",
+    "coef": f"SELECT * FROM (VALUES\n  {_COEF}) v(i, feature, idf, w0, w1, w2)",
     **score_ctes("prep", "doc_id", "text", "s0"),
     "scored": "SELECT p.doc_id, p.source, p.lang, p.text, s.* EXCLUDE (doc_id) FROM prep p JOIN s0 s USING (doc_id)",
     "profile": f"SELECT lang AS plang, word FROM (VALUES {_PROFILE}) v(lang, word)",
-    "lang_hits": f"""SELECT doc_id, plang, round(count(*)::DOUBLE, 6) AS score FROM
+    "lang_hits": f"""SELECT doc_id, plang, count(*)::DOUBLE AS score FROM
         (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}+')) AS word FROM prep) JOIN profile USING (word) GROUP BY 1, 2""",
     "lang_best": "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, plang) AS r FROM lang_hits",
     "lang_detected": f"""SELECT p.doc_id, p.lang, b.plang AS detected_language, coalesce(b.score, 0) AS language_score,

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vozlake import constants as C
 from vozlake.plans import inputs
 from vozlake.sources.tables import read_table
 
@@ -41,13 +42,19 @@ class Tables:
         return self.spark.sql(sql, **used)
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under ``name`` with its SQL check."""
+def query(name: str, sql: str | None = None, scores: str = ""):
+    """Register ``fn(tables) -> DataFrame`` under ``name`` with its SQL check.
+
+    ``scores`` names the probabilities among its columns; the last step of query and check rounds them alike.
+    """
+    columns, digits = scores.split(), C.PROBABILITY_DECIMALS
+    if sql is not None and columns:
+        sql = f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) AS {c}' for c in columns)}) FROM ({sql.strip()})"
 
     def wrap(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder)).withColumns({c: F.round(c, digits) for c in columns})
         if sql is not None:
             ORACLES[name] = sql.strip()
         return fn

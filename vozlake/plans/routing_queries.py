@@ -70,7 +70,7 @@ def route_signals(t: Tables) -> DataFrame:
     return routed.select("doc_id", F.array_join("reasons", "|").alias("reasons"), F.array_join(bad, "|").alias("unsupported"))
 
 
-@query("route_decision", o.with_ctes("""SELECT doc_id, reasons <> '' AS should_review, reasons, confidence AS local_confidence, prediction_margin, sentiment AS local_class, second_best_class FROM routed"""))
+@query("route_decision", o.with_ctes("""SELECT doc_id, reasons <> '' AS should_review, reasons, confidence AS local_confidence, prediction_margin, sentiment AS local_class, second_best_class FROM routed"""), scores="local_confidence prediction_margin")
 def route_decision(t: Tables) -> DataFrame:
     return routing.route(scored(t)).select(
         "doc_id", "should_review", F.array_join("reasons", "|").alias("reasons"), F.col("confidence").alias("local_confidence"),
@@ -236,7 +236,7 @@ def consolidate_hybrid(t: Tables) -> DataFrame:
     return hybrid(t).groupBy("review_state", "review_error_code", "fallback_used", kept).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("hybrid_batch", o.with_ctes(f"SELECT {', '.join(_HYBRID)} FROM hybrid_rows"))
+@query("hybrid_batch", o.with_ctes(f"SELECT {', '.join(_HYBRID)} FROM hybrid_rows"), scores="confidence local_confidence")
 def hybrid_batch(t: Tables) -> DataFrame:
     return hybrid(t).select(*_HYBRID)
 
@@ -348,7 +348,7 @@ def prepare_multilingual(t: Tables) -> DataFrame:
 _MULTI = [c for c in _HYBRID] + ["detected_language", "translation_state", "translation_error_code"]
 
 
-@query("multilingual_batch", o.with_ctes(f"SELECT {', '.join(_MULTI)} FROM ml_rows"))
+@query("multilingual_batch", o.with_ctes(f"SELECT {', '.join(_MULTI)} FROM ml_rows"), scores="confidence local_confidence")
 def multilingual_batch(t: Tables) -> DataFrame:
     return multilingual(t).select(*_MULTI)
 
@@ -397,7 +397,7 @@ def direct_consolidate(t: Tables) -> DataFrame:
     return direct(t).groupBy("direct_review_state", "direct_review_error_code", "language_state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("direct_batch", o.with_ctes(f"SELECT {', '.join(_DIRECT)} FROM direct_rows"))
+@query("direct_batch", o.with_ctes(f"SELECT {', '.join(_DIRECT)} FROM direct_rows"), scores="confidence")
 def direct_batch(t: Tables) -> DataFrame:
     return direct(t).select(*_DIRECT)
 

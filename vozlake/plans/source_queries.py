@@ -115,7 +115,7 @@ def jsonl_scan(t: Tables) -> DataFrame:
     return journal.read_records(t.spark, path, _LOG)
 
 
-@query("results_export", o.with_ctes("SELECT doc_id, source, sentiment, confidence, probability_negativo FROM scored"))
+@query("results_export", o.with_ctes("SELECT doc_id, source, sentiment, confidence, probability_negativo FROM scored"), scores="confidence probability_negativo")
 def results_export(t: Tables) -> DataFrame:
     """Scored rows exported per batch and read back with their types."""
     path = _export(t, scored(t).select("doc_id", "sentiment", "confidence", "probability_negativo", "source"), "results", partition_by=["source"])

@@ -59,7 +59,7 @@ def stream_rate(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path + "/data").select("user_id", F.unix_timestamp("window_start").alias("window_start"), "requests")
 
 
-@query("stream_scoring", o.with_ctes("SELECT doc_id, sentiment, confidence, reasons <> '' AS should_review FROM routed"))
+@query("stream_scoring", o.with_ctes("SELECT doc_id, sentiment, confidence, reasons <> '' AS should_review FROM routed"), scores="confidence")
 def stream_scoring(t: Tables) -> DataFrame:
     arriving = jobs.read_stream(t.spark, t.folder, _DOCUMENTS, "documents.parquet").select("doc_id", "text")
     scored = routing.route(jobs.score_stream(arriving)).select("doc_id", "sentiment", "confidence", "should_review")

@@ -42,7 +42,7 @@ def length_guard(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.length(text).cast("long").alias("n_chars"), tx.reject_reason(text).alias("reject_reason"))
 
 
-@query("keep_source_columns", o.with_ctes("SELECT doc_id, source, lang, text, sentiment, confidence FROM scored"))
+@query("keep_source_columns", o.with_ctes("SELECT doc_id, source, lang, text, sentiment, confidence FROM scored"), scores="confidence")
 def keep_source_columns(t: Tables) -> DataFrame:
     return scoring.score(comments(t)).select("doc_id", "source", "lang", "text", "sentiment", "confidence")
 
