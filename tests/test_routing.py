@@ -54,6 +54,27 @@ def test_review_contract(spark):
                    "invalid_sentiment", "invalid_confidence", "invalid_confidence", None, "invalid_rationale", None]
 
 
+def test_last_of_repeated_keys_counts(spark):
+    rows = [('{"sentiment":"Malo","sentiment":"Neutro"}', "Neutro", None), ('{"sentiment":"Neutro","sentiment":"Malo"}', None, "invalid_sentiment"),
+            ('{"sentiment":"Neutro","confidence":2,"confidence":0.5}', "Neutro", None), ('{"sentiment":"Neutro","sentiment":"Neutro"', None, "invalid_json")]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, raw string")
+    got = df.select("i", payloads.review(F.lit(True), F.lit(None).cast("string"), F.col("raw")).alias("x")).orderBy("i").collect()
+    assert [(r.x.sentiment, r.x.error_code) for r in got] == [r[1:] for r in rows]
+
+
+def test_pipeline_off_or_without_detector_reports_no_language(spark):
+    docs = spark.createDataFrame([(1, "the service was good and great")], "doc_id long, text string")
+    responses = spark.createDataFrame([], "order_key long, kind string, raw string, finish_reason string, transport_error string, "
+                                          "provider string, model string, latency_ms double, prompt_tokens int, completion_tokens int")
+    columns = ["detected_language", "language_supported", "translation_requested", "translation_state", "translation_error_code"]
+    on = batches.multilingual_batch(docs, responses).select(columns).first()
+    off = batches.multilingual_batch(docs, responses, enabled=False).select(columns).first()
+    missing = batches.multilingual_batch(docs, responses, detector_available=False).select(columns).first()
+    assert tuple(on) == ("en", True, True, "fallback_original", "unavailable")
+    assert tuple(off) == (None, False, False, "not_needed", None)
+    assert tuple(missing) == (None, False, False, "detection_error", "unavailable")
+
+
 def test_missing_row_and_transport_error_come_first(spark):
     df = spark.createDataFrame([(False, None), (True, "timeout")], "present boolean, transport string")
     got = df.select(payloads.review(F.col("present"), F.col("transport"), F.lit("{")).alias("x")).collect()

@@ -17,14 +17,15 @@ _NUMBER = "^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 
 def _parsed(raw: Column) -> Column:
-    """struct<v variant, keys array<string>, valid boolean>."""
+    """struct<v variant, keys array<string>, valid boolean>; of a repeated key the last value counts."""
     keys = F.json_object_keys(raw)
-    value = F.try_parse_json(raw)
-    repeated = F.size(F.array_distinct(keys)) < F.size(keys)
-    return F.struct(
-        value.alias("v"), keys.alias("keys"),
-        (value.isNotNull() | F.coalesce(repeated, F.lit(False))).alias("valid"),
-    )
+    repeated = F.coalesce(F.size(F.array_distinct(keys)) < F.size(keys), F.lit(False))
+    # the strict parser refuses repeated keys; a map keeps them all, in order
+    entries = F.map_entries(F.from_json(raw, "map<string,variant>"))
+    names = F.transform(entries, lambda e: e["key"])
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"]))
+    value = F.coalesce(F.try_parse_json(raw), F.when(repeated, F.to_variant_object(F.map_from_entries(last))))
+    return F.struct(value.alias("v"), keys.alias("keys"), value.isNotNull().alias("valid"))
 
 
 def _string(p: Column, field: str) -> Column:

@@ -41,22 +41,26 @@ def _empty_translation(df: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def multilingual_batch(comments: DataFrame, responses: DataFrame, key: str = "doc_id", group_cols: Sequence[str] = (),
-                       cap: int = C.MAX_REVIEWS_PER_BATCH, enabled: bool = True, translator_available: bool = True,
-                       reviewer_available: bool = True, hybrid_enabled: bool = True, router: Router = HYBRID_ROUTER,
+                       cap: int = C.MAX_REVIEWS_PER_BATCH, enabled: bool = True, detector_available: bool = True,
+                       translator_available: bool = True, reviewer_available: bool = True, hybrid_enabled: bool = True, router: Router = HYBRID_ROUTER,
                        model: LinearModel | None = None, profiles: LanguageProfiles | None = None,
                        keep: Sequence[str] = ()) -> DataFrame:
     """Detect, translate, score, review under one shared budget.
 
     Only the first ``cap`` rows with demand in a batch can receive a call, and
     who has demand is known from the original text alone. Translations are
-    attached and scored for those rows only.
+    attached and scored for those rows only. Where the pipeline is off or has no
+    detector, no language is reported and none counts as supported.
     """
     groups = list(group_cols)
     model = model or LinearModel.starter()
     router = router if hybrid_enabled else Router(confidence_threshold=None)
     kept = list(dict.fromkeys([key, *groups, *keep]))
-    scored = scoring.score(scoring.detect_language(scoring.prepare(comments), profiles), model)
     languages = ["detected_language", "language_status"]
+    prepared = scoring.prepare(comments)
+    seen = scoring.detect_language(prepared, profiles) if enabled and detector_available else \
+        prepared.withColumns({c: F.lit(None).cast("string") for c in languages})
+    scored = scoring.score(seen, model)
     base = routing.route(scored.select(*kept, *languages, *scoring.SCORE_COLUMNS), router)
     can_translate = routing.wants_translation(enabled) & F.lit(translator_available)
     can_review = F.col("should_review") & F.lit(reviewer_available)
@@ -86,10 +90,10 @@ def multilingual_batch(comments: DataFrame, responses: DataFrame, key: str = "do
     together = judged.unionByName(rest)
     given = F.col("translation_granted")
     state, code = routing.preparation_state(
-        enabled, True, translator_available, given, F.coalesce(F.col("_translation.success"), F.lit(False)), F.col("_translation.error_code"))
+        enabled, detector_available, translator_available, given, F.coalesce(F.col("_translation.success"), F.lit(False)), F.col("_translation.error_code"))
     seen = given & F.col("t_present")
     ready = together.withColumns({
-        "language_supported": F.col("language_status") == "detected",
+        "language_supported": F.coalesce(F.col("language_status") == "detected", F.lit(False)),
         "translation_requested": F.coalesce(routing.wants_translation(enabled), F.lit(False)),
         "translation_state": state, "translation_error_code": code,
         "translation_provider": F.when(seen, F.col("t_provider")), "translation_model": F.when(seen, F.col("t_model")),
