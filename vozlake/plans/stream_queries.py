@@ -59,6 +59,17 @@ def stream_rate(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path + "/data").select("user_id", F.unix_timestamp("window_start").alias("window_start"), "requests")
 
 
+@query("stream_rate_lookback", """WITH w AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts)
+      - count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS requests FROM events)
+    SELECT user_id, epoch_us(ts) AS at_us, requests FROM w WHERE requests > 1 AND time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
+def stream_rate_lookback(t: Tables) -> DataFrame:
+    """Every event that another of its user precedes by less than an hour; only hours the watermark has closed."""
+    events = jobs.read_stream(t.spark, t.folder, _EVENTS, "events.parquet").select("user_id", "ts")
+    path = scratch(t.spark, "stream-lookback")
+    jobs.finish(jobs.append(jobs.rate_lookback(events, "user_id", "ts", 1, 3600), path + "/data", path + "/checkpoint"))
+    return t.spark.read.parquet(path + "/data").select("user_id", F.unix_micros("ts").alias("at_us"), "requests")
+
+
 @query("stream_scoring", o.with_ctes("SELECT doc_id, sentiment, confidence, reasons <> '' AS should_review FROM routed"), scores="confidence")
 def stream_scoring(t: Tables) -> DataFrame:
     arriving = jobs.read_stream(t.spark, t.folder, _DOCUMENTS, "documents.parquet").select("doc_id", "text")

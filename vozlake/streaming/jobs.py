@@ -70,6 +70,32 @@ def rate_alerts(stream: DataFrame, key: str, ts: str, limit: int = C.PACING_REQU
         .select(key, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "requests"))
 
 
+def rate_lookback(stream: DataFrame, key: str, ts: str, limit: int = C.PACING_REQUESTS,
+                  seconds: float = C.PACING_WINDOW_SECONDS + C.PACING_MARGIN_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """Requests that come when ``limit`` or more others of their key are less than ``seconds`` old; of equal times one comes first.
+
+    ``requests`` counts those and the request itself. A window is two look-backs long and judges the requests of its second half,
+    so each request has its whole look-back in one window and is judged once; late rows drop past the watermark.
+    """
+    span = round(seconds * 1_000_000)
+    times = F.array_sort(F.collect_list(F.unix_micros(ts)))
+    found = stream.withWatermark(ts, delay).groupBy(F.window(ts, f"{2 * span} microseconds", f"{span} microseconds"), key).agg(times.alias("_times"))
+
+    def judged(at: Column, i: Column) -> Column:
+        # binary search for the number of times that have expired
+        def halve(x: Column, _: Column) -> Column:
+            middle = F.floor((x["low"] + x["high"]) / 2).cast("int")
+            gone, open_ = F.get(F.col("_times"), middle) <= at - span, x["low"] < x["high"]
+            return F.struct(F.when(open_ & gone, middle + 1).otherwise(x["low"]).alias("low"),
+                            F.when(open_ & ~gone, middle).otherwise(x["high"]).alias("high"))
+
+        expired = F.aggregate(F.sequence(F.lit(0), F.length(F.bin(i))), F.struct(F.lit(0).alias("low"), i.alias("high")), halve)["low"]
+        return F.struct(F.timestamp_micros(at).alias(ts), (i + 1 - expired).cast("long").alias("requests"))
+
+    counted = F.filter(F.transform("_times", judged), lambda x: (x["requests"] > limit) & (F.unix_micros(x[ts]) >= F.unix_micros("window.start") + span))
+    return found.select(key, F.inline(counted))
+
+
 def score_stream(stream: DataFrame, model: LinearModel | None = None, text_col: str = "text") -> DataFrame:
     """Stateless scoring with the very same code as the batch job."""
     return scoring.score(scoring.prepare(stream, text_col), model, text_col)
