@@ -3,8 +3,9 @@
 Three strong patterns (assigned values, access keys, long hex) are reported wherever they are. Weak candidates, namely account
 identifiers, bare random-looking tokens and endpoints, are common in clean text, so they are reported only when complementary parts
 co-occur: an interval join within a scope of ``SCOPE`` characters links an identifier with a secret, and an endpoint with both.
-The join is on (text, scope cell), where a cell is ``SCOPE`` characters long and each part looks into its own cell and
-the two beside it; a cell holds a bounded number of parts because parts don't overlap within a kind.
+The scope is the gap between the end of one part and the start of the other, whatever their lengths. The join is on (text, side,
+scope cell), where a cell is ``SCOPE`` characters long: a part looks for ends in the cell of its start and the one before, and for
+starts in the cell of its end and the one after; a cell holds a bounded number of parts because parts don't overlap within a kind.
 
 Offsets come from the text between matches: the lengths of gaps and matches are summed in order. Texts are told apart by
 SHA-256, so copies are linked once.
@@ -32,7 +33,8 @@ _PATTERNS = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]+", 0, 24),
     "account": (r"""(?i)\b(?:user(?:_?name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", 0, 1),
-    "token": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])(?=[0-9A-Z+/_-]*[a-z])[A-Za-z0-9+/_-]{20,100}(?![A-Za-z0-9+/_=-])", 0, 1),
+    # '=' may stand before a token and pads it; a name right before '=value' is none. Possessive, so that long tokens take linear time
+    "token": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9a-z+/_-]*+[A-Z])(?=[0-9A-Z+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_-])", 0, 1),
     "endpoint": (r"""(?i)\b[a-z][a-z0-9+]{1,9}://[^\s"'<>]{4,}""", 0, 1),
 }
 #: what cheaply shows that a pattern may match
@@ -67,17 +69,18 @@ def _kind_in(names: Sequence[str], column: str = "kind") -> Column:
 
 
 def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The weak spans that have their complementary parts within ``scope`` characters, and overlap no strong span."""
+    """The weak spans that have their complementary parts apart from them, at most ``scope`` characters away."""
     cell = lambda at: F.floor(F.col(at) / scope)
     weak = spans.filter(_kind_in(KINDS[3:]))
-    near = weak.select("*", F.explode(F.sequence(cell("start") - 1, cell("start") + 1)).alias("_cell"))
-    other = spans.filter(~_kind_in(["endpoint"])).select(
-        "_digest", F.col("kind").alias("_kind"), F.col("start").alias("_start"), F.col("end").alias("_end"), cell("start").alias("_cell"))
-    close = F.abs(F.col("start") - F.col("_start")) <= scope
-    apart = (F.col("end") <= F.col("_start")) | (F.col("_end") <= F.col("start"))
+    side = lambda name, *cells: [F.struct(F.lit(name).alias("_side"), c.alias("_cell")) for c in cells]
+    near = weak.select("*", F.inline(F.array(
+        *side("before", cell("start") - 1, cell("start")), *side("after", cell("end"), cell("end") + 1))))
+    other = spans.filter(~_kind_in(["endpoint"])).select("_digest", F.col("kind").alias("_kind"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    other = other.select("*", F.inline(F.array(*side("before", cell("_end")), *side("after", cell("_start")))))
+    gap = F.when(F.col("_side") == "before", F.col("start") - F.col("_end")).otherwise(F.col("_start") - F.col("end"))
     flag = lambda c: F.max(F.when(c, 1).otherwise(0))
-    seen = near.join(other, ["_digest", "_cell"]).filter(close).groupBy("_digest", "kind", "start", "end").agg(
-        flag(apart & _kind_in(_IDENTIFIERS, "_kind")).alias("_id"), flag(apart & _kind_in(_SECRETS, "_kind")).alias("_secret"))
+    seen = near.join(other, ["_digest", "_side", "_cell"]).filter(gap.between(0, scope)).groupBy("_digest", "kind", "start", "end").agg(
+        flag(_kind_in(_IDENTIFIERS, "_kind")).alias("_id"), flag(_kind_in(_SECRETS, "_kind")).alias("_secret"))
     complete = (
         (_kind_in(["account"]) & (F.col("_secret") == 1)) | (_kind_in(["token"]) & (F.col("_id") == 1))
         | (_kind_in(["endpoint"]) & (F.col("_id") == 1) & (F.col("_secret") == 1))
