@@ -4,7 +4,9 @@ Two histograms describe a text: classes of its characters, and its common words
 languages, and all others as one bin). The reference of a language is the sum over all documents tagged with it that
 pass the base rule. A text is compared with each reference by Jensen-Shannon distance; it is kept if one reference is
 near in both histograms. A short histogram strays from its own source by chance, so each limit grows by the expected
-stray, (bins - 1) / (8 n ln 2) of divergence for n counts, and a histogram of fewer than ``MIN_COUNT`` counts is not judged.
+stray, and a histogram of fewer than ``MIN_COUNT`` counts is not judged. That is (bins - 1) / (8 n ln 2) of divergence for n
+counts of characters. Most common words are of other languages, so theirs is the stray of the reference's own shares
+(:func:`word_stray`); text without a common word then fails from ``MIN_COUNT`` words on.
 
 Rows: a null text has no words and fails the base rule; keys may repeat or be null; a null or unknown language tag adds to no
 reference but the text is judged like any other; with no reference at all (no tagged text passes) the base rule decides;
@@ -30,6 +32,8 @@ MIN_COUNT = 50
 #: largest Jensen-Shannon distances (square roots of divergence in bits) of a kept text
 MAX_CHARACTER_DISTANCE = 0.22
 MAX_WORD_DISTANCE = 0.12
+#: standard deviations above the mean stray of a language's own words that are allowed (the mean alone fails a quarter of clean short texts)
+WORD_SPREADS = 2.0
 
 # Frequent function words of the languages judged.
 COMMON_WORDS = {
@@ -175,8 +179,18 @@ def references(measured: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return {r.lang: (share(r.classes), share(r.common)) for r in sorted(rows)}
 
 
-def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance (0 to 1) of each row of counts from one distribution, less the expected stray."""
+def word_stray(n: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Divergence by which n counts drawn from ``reference`` stray from it: the mean and ``WORD_SPREADS`` deviations.
+
+    A bin of share r strays by (1 - r) / (8 n ln 2), a rare one by no more than r."""
+    unit = 1 / (8 * np.log(2) * np.maximum(n, 1))
+    mean = np.minimum((1 - reference) * unit[:, None], reference).sum(axis=1)
+    return mean + WORD_SPREADS * np.sqrt(2 * mean * unit)
+
+
+def distance(counts: np.ndarray, reference: np.ndarray, stray: np.ndarray | None = None) -> np.ndarray:
+    """Jensen-Shannon distance (0 to 1) of each row of counts from one distribution, less the expected stray (by default that of
+    a reference with mass in every bin)."""
     n = counts.sum(axis=1, keepdims=True)
     p = counts / np.maximum(n, 1)
     middle = (p + reference) / 2
@@ -186,7 +200,8 @@ def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
             return np.where(a > 0, a * np.log2(a / middle), 0.0).sum(axis=1)
 
     divergence = (part(p) + part(np.broadcast_to(reference, p.shape))) / 2
-    stray = (counts.shape[1] - 1) / (8 * np.log(2) * np.maximum(n[:, 0], 1))
+    if stray is None:
+        stray = (counts.shape[1] - 1) / (8 * np.log(2) * np.maximum(n[:, 0], 1))
     return np.sqrt(np.maximum(divergence - stray, 0.0))
 
 
@@ -204,7 +219,8 @@ def judge(measured: DataFrame, known: dict[str, tuple[np.ndarray, np.ndarray]])
             nearest = np.full(size, -1)
             best = np.full((2, size), np.inf)
             for i, (char_reference, word_reference) in enumerate(known.values()):
-                found = np.stack([distance(classes, char_reference), distance(common, word_reference)])
+                stray = word_stray(common.sum(axis=1), word_reference)
+                found = np.stack([distance(classes, char_reference), distance(common, word_reference, stray)])
                 found[0, classes.sum(axis=1) < MIN_COUNT] = 0.0
                 found[1, common.sum(axis=1) < MIN_COUNT] = 0.0
                 excess = (found / np.array([[MAX_CHARACTER_DISTANCE], [MAX_WORD_DISTANCE]])).max(axis=0)
