@@ -159,3 +159,44 @@ def unknown_ids(selections: DataFrame, eligible: DataFrame, group_cols: Sequence
         for kind, field in (("recommendation", "recommendation_ids"), ("insufficient", "insufficient_evidence_ids"))])))
     ids = picked.select(key, *group_cols, "kind", F.explode("ids").alias("id"))
     return ids.join(eligible, [*group_cols, "kind", "id"], "left_anti")
+
+
+def catalog_violations(selections: DataFrame, allowed: DataFrame, group_cols: Sequence[str], key: str, raw: str = "raw") -> DataFrame:
+    """(key, batch, kind, id, ref, rule): every id of any list, fact reference and validation that the catalog or the batch's facts don't allow.
+
+    ``allowed`` has one row per batch. An entry that is no string has a null id or ref. :func:`audit` judges the layout."""
+    none = F.lit(None).cast("string")
+    empty = F.array().cast("array<struct<kind:string,id:string,ref:string,rule:string>>")
+    among = lambda values, v: F.coalesce(F.array_contains(F.array_compact(values), v), F.lit(False))
+
+    def row(kind: str, name: Column, ref: Column, rule: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), name.alias("id"), ref.alias("ref"), rule.alias("rule"))
+
+    def ids(kind: str, values: Column, catalog: Column) -> Column:
+        return F.transform(values, lambda v: row(kind, v, none, F.when(~among(catalog, v), "ineligible_id")))
+
+    def entries(kind: str, items: Column, refs_of: dict[str, Sequence[str]]) -> Column:
+        def entry(item: Column, name: Column) -> Column:
+            refs, checked = _strings(_items(item, "fact_refs")), _text(item, "$.validation_needed_id")
+            rows = [
+                ids(kind, F.array(name), F.col(f"allowed_{kind}")),
+                F.when(F.size(refs) > 0, F.transform(refs, lambda r: row(kind, name, r, F.when(
+                    ~among(F.col("known_facts"), r), "unknown_fact").when(~among(_allowed(refs_of, name), r), "ref_not_allowed"))))
+                .otherwise(F.array(row(kind, name, none, F.lit("without_refs"))))]
+            if kind == "hypothesis":
+                rows.append(F.array(row(kind, name, checked, F.when(
+                    ~among(_allowed(C.HYPOTHESIS_VALIDATIONS, name), checked), "validation_not_allowed"))))
+            return F.concat(*rows)
+
+        return F.flatten(F.transform(items, lambda item: let(_text(item, f"$.{kind}_id"), lambda name: entry(item, name))))
+
+    def found(doc: Column) -> Column:
+        lists = [
+            entries("interpretation", _items(doc, "interpretations"), C.INTERPRETATION_FACTS),
+            entries("hypothesis", _items(doc, "hypotheses"), C.HYPOTHESIS_FACTS),
+            ids("recommendation", _strings(_items(doc, "recommendation_ids")), F.col("allowed_recommendation")),
+            ids("evidence", _strings(_items(doc, "evidence_needed_ids")), F.array(*[F.lit(x) for x in C.EVIDENCE_NEEDED_IDS])),
+            ids("insufficient", _strings(_items(doc, "insufficient_evidence_ids")), F.col("allowed_insufficient"))]
+        return F.filter(F.concat(*[F.coalesce(x, empty) for x in lists]), lambda x: x["rule"].isNotNull())
+
+    return selections.join(allowed, list(group_cols), "left").select(key, *group_cols, F.inline(let(F.try_parse_json(raw), found)))

@@ -227,3 +227,34 @@ def selection_codes(t: Tables) -> DataFrame:
     WHERE (source, kind, id) NOT IN (SELECT (source, kind, id) FROM eligible_rows)"""))
 def catalog_check(t: Tables) -> DataFrame:
     return selection.unknown_ids(t.derived("selections"), report.eligible(registry_of(t), BATCH), BATCH, "event_id")
+
+
+def _string_of(value: str, path: str) -> str:
+    return f"CASE WHEN json_type({value}, '{path}') = 'VARCHAR' THEN json_extract_string({value}, '{path}') END"
+
+
+def _entries_sql(kind: str, field: str, refs: dict) -> str:
+    return f"""SELECT event_id, source, '{kind}' AS kind, it, id, a_{kind} AS catalog, {_by_name(refs, 'id')} AS refs, known FROM (SELECT *, {_string_of('it', f'$.{kind}_id')} AS id
+      FROM (SELECT event_id, source, unnest(json_extract(raw::JSON, '$.{field}[*]')) AS it FROM selections WHERE json_valid(raw))) LEFT JOIN allowed_lists USING (source)"""
+
+
+def _plain_sql(kind: str, field: str, catalog: str) -> str:
+    return f"""SELECT event_id, source, '{kind}', id, NULL, 'ineligible_id' FROM (SELECT event_id, source, {_string_of('v', '$')} AS id
+      FROM (SELECT event_id, source, unnest(json_extract(raw::JSON, '$.{field}[*]')) AS v FROM selections WHERE json_valid(raw))) LEFT JOIN allowed_lists USING (source) WHERE NOT coalesce(list_contains({catalog}, id), false)"""
+
+
+o.define("selected_entries", _entries_sql("interpretation", "interpretations", C.INTERPRETATION_FACTS) + " UNION ALL " + _entries_sql("hypothesis", "hypotheses", C.HYPOTHESIS_FACTS))
+o.define("selected_refs", f"""SELECT * REPLACE ({_string_of('r', '$')} AS r) FROM (SELECT event_id, source, kind, id, refs, known, unnest(json_extract(it, '$.fact_refs[*]')) AS r FROM selected_entries)""")
+
+
+@query("catalog_check_all", o.with_ctes(f"""SELECT event_id, source, kind, id, NULL::VARCHAR AS ref, 'ineligible_id' AS rule FROM selected_entries WHERE NOT coalesce(list_contains(catalog, id), false)
+    UNION ALL SELECT event_id, source, kind, id, r, CASE WHEN coalesce(list_contains(known, r), false) THEN 'ref_not_allowed' ELSE 'unknown_fact' END FROM selected_refs
+      WHERE NOT (coalesce(list_contains(known, r), false) AND coalesce(list_contains(refs, r), false))
+    UNION ALL SELECT event_id, source, kind, id, NULL, 'without_refs' FROM selected_entries WHERE coalesce(json_type(it, '$.fact_refs'), '') <> 'ARRAY' OR json_array_length(it, '$.fact_refs') = 0
+    UNION ALL SELECT event_id, source, kind, id, v, 'validation_not_allowed' FROM (SELECT *, {_string_of('it', '$.validation_needed_id')} AS v FROM selected_entries WHERE kind = 'hypothesis')
+      WHERE NOT coalesce(list_contains({_by_name(C.HYPOTHESIS_VALIDATIONS, 'id')}, v), false)
+    UNION ALL {_plain_sql('recommendation', 'recommendation_ids', 'a_recommendation')} UNION ALL {_plain_sql('evidence', 'evidence_needed_ids', _list(C.EVIDENCE_NEEDED_IDS))}
+    UNION ALL {_plain_sql('insufficient', 'insufficient_evidence_ids', 'a_insufficient')}"""))
+def catalog_check_all(t: Tables) -> DataFrame:
+    """Ids of every list, fact references and validations that the catalog or the facts of their batch don't allow."""
+    return selection.catalog_violations(t.derived("selections"), report.eligible_arrays(registry_of(t), BATCH), BATCH, "event_id")
