@@ -429,6 +429,35 @@ def translation_violations() -> F.Column:
         F.when(F.least(F.col("prompt_tokens"), F.col("completion_tokens")) < 0, "negative_usage")))
 
 
+def detection_violations() -> F.Column:
+    """Broken rules of a language detection row, in rule order."""
+    status, code = F.coalesce(F.col("status"), F.lit("")), F.col("error_code")
+    success, supported = (F.coalesce(F.col(c), F.lit(False)) for c in ("success", "supported"))
+    names = F.create_map(*[F.lit(x) for pair in C.SUPPORTED_LANGUAGES.items() for x in pair])
+    expected = F.try_element_at(names, F.coalesce(F.col("detected_language"), F.lit("")))
+    return F.array_compact(F.array(
+        F.when(~status.isin(*C.LANGUAGE_STATUSES), "unsupported_status"),
+        F.when(~F.col("confidence").between(0, 1), "confidence_out_of_range"),
+        F.when(success != status.isin("detected", "unsupported"), "success_against_status"),
+        F.when((status == "detected") & (~supported | ~expected.eqNullSafe(F.col("language_name"))), "detected_without_supported_language"),
+        F.when((status != "detected") & supported, "supported_without_detection"),
+        F.when(success & code.isNotNull(), "success_with_error"),
+        F.when(~success & (F.coalesce(code, F.lit("")) == ""), "failure_without_error")))
+
+
+def preparation_violations() -> F.Column:
+    """Broken rules of a preparation row (language and translation before inference), in rule order."""
+    state, text, analysed = F.coalesce(F.col("translation_state"), F.lit("")), F.col("translated_text"), F.col("analysis_text")
+    done, requested = state == "translated", F.coalesce(F.col("translation_requested"), F.lit(False))
+    return F.array_compact(F.array(
+        F.when(~state.isin(*C.TRANSLATION_STATES), "unsupported_state"),
+        F.when(F.coalesce(analysed, F.lit("")) == "", "empty_analysis_text"),
+        F.when(done & (~requested | (F.coalesce(text, F.lit("")) == "")), "translated_without_request_or_text"),
+        F.when(done & ~analysed.eqNullSafe(text), "translation_not_analysed"),
+        F.when(~done & text.isNotNull(), "text_without_translated_state"),
+        F.when(state.isin("fallback_original", "unsupported_language", "detection_error") & ~analysed.eqNullSafe(F.col("original_text")), "fallback_changed_text")))
+
+
 _INVARIANT_ROWS = """SELECT order_key, CASE WHEN order_key % 4 = 0 THEN 'es' ELSE 'en' END AS source_language, 'es' AS target_language,
     CASE WHEN order_key % 5 = 0 THEN NULL WHEN order_key % 7 = 0 THEN ' ' ELSE 'texto' END AS translated_text, transport_error IS NULL AS success,
     CASE WHEN order_key % 6 = 0 THEN 'invalid_json' ELSE transport_error END AS error_code, CASE WHEN order_key % 59 = 0 THEN -1.0 ELSE latency_ms END AS latency_ms,
@@ -442,3 +471,33 @@ _INVARIANT_ROWS = """SELECT order_key, CASE WHEN order_key % 4 = 0 THEN 'es' ELS
 def result_invariants(t: Tables) -> DataFrame:
     rows = t.spark.sql(_INVARIANT_ROWS, responses=t.derived("responses"))
     return rows.select(F.explode(translation_violations()).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DETECTION_ROWS = """SELECT CASE order_key % 5 WHEN 0 THEN 'detected' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'unknown' WHEN 3 THEN 'error' ELSE 'other' END AS status, order_key % 3 <> 0 AS success, order_key % 2 = 0 AS supported,
+    CASE WHEN order_key % 4 = 0 THEN 'es' WHEN order_key % 4 = 1 THEN 'de' ELSE 'en' END AS detected_language, CASE WHEN order_key % 7 < 4 THEN 'Español' ELSE 'Inglés' END AS language_name,
+    CASE WHEN order_key % 11 = 0 THEN 1.5 WHEN order_key % 11 > 3 THEN 0.5 END AS confidence, CASE WHEN order_key % 13 = 0 THEN '' WHEN order_key % 13 < 5 THEN 'timeout' END AS error_code FROM {responses}"""
+_PREPARATION_ROWS = """SELECT CASE order_key % 6 WHEN 0 THEN 'translated' WHEN 1 THEN 'not_needed' WHEN 2 THEN 'fallback_original' WHEN 3 THEN 'unsupported_language' WHEN 4 THEN 'detection_error' ELSE 'other' END AS translation_state,
+    order_key % 5 <> 0 AS translation_requested, 'original' AS original_text, CASE WHEN order_key % 7 = 0 THEN '' WHEN order_key % 7 < 4 THEN 'texto' END AS translated_text,
+    CASE WHEN order_key % 11 = 0 THEN '' WHEN order_key % 11 < 6 THEN 'texto' ELSE 'original' END AS analysis_text FROM {responses}"""
+o.define("detection_results", _DETECTION_ROWS.replace("{responses}", "responses"))
+o.define("preparation_results", _PREPARATION_ROWS.replace("{responses}", "responses"))
+
+
+@query("preparation_invariants", o.with_ctes("""SELECT result, rule, count(*) AS n FROM (SELECT 'detection' AS result, unnest([
+    CASE WHEN status NOT IN ('detected', 'unsupported', 'unknown', 'error') THEN 'unsupported_status' END, CASE WHEN confidence < 0 OR confidence > 1 THEN 'confidence_out_of_range' END,
+    CASE WHEN success <> (status IN ('detected', 'unsupported')) THEN 'success_against_status' END,
+    CASE WHEN status = 'detected' AND (NOT supported OR CASE detected_language WHEN 'es' THEN 'Español' WHEN 'en' THEN 'Inglés' END IS DISTINCT FROM language_name) THEN 'detected_without_supported_language' END,
+    CASE WHEN status <> 'detected' AND supported THEN 'supported_without_detection' END, CASE WHEN success AND error_code IS NOT NULL THEN 'success_with_error' END,
+    CASE WHEN NOT success AND coalesce(error_code, '') = '' THEN 'failure_without_error' END]) AS rule FROM detection_results
+    UNION ALL SELECT 'preparation', unnest([CASE WHEN translation_state = 'other' THEN 'unsupported_state' END, CASE WHEN analysis_text = '' THEN 'empty_analysis_text' END,
+    CASE WHEN translation_state = 'translated' AND (NOT translation_requested OR coalesce(translated_text, '') = '') THEN 'translated_without_request_or_text' END,
+    CASE WHEN translation_state = 'translated' AND analysis_text IS DISTINCT FROM translated_text THEN 'translation_not_analysed' END,
+    CASE WHEN translation_state <> 'translated' AND translated_text IS NOT NULL THEN 'text_without_translated_state' END,
+    CASE WHEN translation_state IN ('fallback_original', 'unsupported_language', 'detection_error') AND analysis_text <> original_text THEN 'fallback_changed_text' END]) FROM preparation_results)
+    WHERE rule IS NOT NULL GROUP BY ALL"""))
+def preparation_invariants(t: Tables) -> DataFrame:
+    """Broken rules of detection and preparation results; :func:`result_invariants` has those of translations."""
+    found = [
+        t.spark.sql(sql, responses=t.derived("responses")).select(F.lit(name).alias("result"), F.explode(rules).alias("rule"))
+        for name, sql, rules in (("detection", _DETECTION_ROWS, detection_violations()), ("preparation", _PREPARATION_ROWS, preparation_violations()))]
+    return found[0].unionByName(found[1]).groupBy("result", "rule").agg(F.count(F.lit(1)).alias("n"))
