@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     in its task (``_part``, ``_rank``). Of a document above ``capacity`` the first piece is the short one."""
     ts.bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, piece int, start long, length long, ids_crc32 long, _part int, _rank long"
+    schema = f"{ts.quoted(key)} {kind}, piece int, start long, length long, ids_crc32 long, _part int, _rank long"
     schema += ", ids binary" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -139,7 +139,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 ], [key, "_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_classes", "_common"])
 
     measured = docs.select(F.col(key), F.col(text).cast("string"), F.col(lang).cast("string").alias("_lang")).mapInArrow(
-        run, f"{key} {kind}, _lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+        run, f"{ts.quoted(key)} {kind}, _lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
              "n_repeat_words long, _classes array<int>, _common array<int>")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return cut(measured.withColumn("base_failed", failed), "quality")

@@ -131,9 +131,14 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, key: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([
                     batch.column(1).slice(chunk.first, chunk.count),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(found.view(np.int64))),
-                ], ["grade", "features"])
-
-    stored = cut(sample.select("_text", "grade").mapInArrow(gather, "grade int, features array<long>"), "labelled")
+                    batch.column(2).slice(chunk.first, chunk.count), batch.column(3).slice(chunk.first, chunk.count),
+                ], ["grade", "features", "_h", "_d"])
+
+    digests = F.xxhash64("_key"), F.xxhash64("_text")
+    kept_columns = sample.select("_text", "grade", digests[0].alias("_h"), digests[1].alias("_d"))
+    stored = cut(kept_columns.mapInArrow(gather, "grade int, features array<long>, _h long, _d long"), "labelled")
+    if stored.count() > max_labelled:  # labelled keys with several rows
+        stored = cut(stored.orderBy("_h", "_d", "grade").limit(max_labelled), "labelled")
     totals = stored.agg(F.count(F.lit(1)), F.count(F.when(F.col("grade") > 0, 1))).first()
     n, positive = totals[0], totals[1]
     counted = stored.select(F.explode("features").alias("feature"), (F.col("grade") > 0).cast("int").alias("_p")).groupBy("feature").agg(
@@ -154,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(at[hit].astype(np.int32)))], ["grade", "at"])
 
-    got = stored.mapInArrow(select, "grade int, at array<int>").toArrow()  # at most max_labelled rows of a few features
+    got = stored.select("grade", "features").mapInArrow(select, "grade int, at array<int>").toArrow()  # at most max_labelled rows of a few features
     lists = got.column("at").combine_chunks()
     order = _stable_order(got)
     lengths = np.diff(lists.offsets.to_numpy())
@@ -178,7 +183,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str]
     that is reached with a chance of a half or more)."""
     ts.bounded_batches(docs.sparkSession)
     kept = docs.select(*keep)
-    schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes) + ", expected_severity double, p_toxic double, grade int"
+    schema = ", ".join(f"{ts.quoted(c)} {t}" for c, t in kept.dtypes) + ", expected_severity double, p_toxic double, grade int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,14 +1,16 @@
 """Words of many texts at once, as numpy arrays over the UTF-8 bytes of an Arrow column.
 
 Separators are ASCII in every contract here, so a word is a run of bytes of one
-class and nothing needs decoding. A word gets a 64-bit hash of its bytes: a
-polynomial over random byte values, mixed. Equal words have equal hashes in every
-task; different words collide with a chance near 2**-60.
+class and nothing needs decoding. A word gets a 64-bit hash of its bytes: its length
+and then eight bytes at a time go through a mixing function, and spans above 256 bytes
+go through BLAKE2. Equal words have equal hashes in every task; different words
+collide with a chance near 2**-64, whatever the pattern of their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,23 +21,36 @@ from pyspark.sql import SparkSession
 
 #: bytes of text handled at once; a longer text is handled alone
 CHUNK_BYTES = 1 << 20
-#: words are hashed in stretches of about so many bytes
-_STRETCH = 1 << 20
-#: a longer word is hashed by itself
-_LONG_WORD = 1 << 16
+#: a longer span is hashed by itself
+LONG_SPAN = 256
 
 #: bytes of rows handed to Python at once
 BATCH_BYTES = 8 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+_UNITS = {"": 1, "b": 1, **{u + b: 1 << (10 * i) for i, u in enumerate("kmgtp", 1) for b in ("", "b")}}
+
+
+def size_of(setting: str) -> int:
+    """Bytes of a size as settings have it, such as ``64m``, ``64MB`` or ``67108864``; negative for no bound."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", setting.lower()).groups()
+    return int(number) * _UNITS[unit]
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Lower the session's bound on the bytes of an Arrow batch: ten thousand rows of long texts fill Spark's own bound, and a task
-    holds a batch several times."""
-    if int(spark.conf.get(_BATCH_SETTING).rstrip("bB")) > BATCH_BYTES:
+    holds a batch several times. The plans run later than this call, so the setting stays as it is then."""
+    now = size_of(spark.conf.get(_BATCH_SETTING))
+    if now > BATCH_BYTES or now <= 0:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
+def quoted(name: str) -> str:
+    """A column's name as expressions and schema strings take it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit over 64 bits (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -45,17 +60,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _random(count: int, seed: int) -> np.ndarray:
-    steps = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return mix(steps + np.uint64(seed))
-
-
-_BASE = 0xD6E8FEB86659FD93
-_UNBASE = pow(_BASE, -1, 1 << 64)
 _STEP = 0xA0761D6478BD642F
-_PLAIN = _random(256, 17)
-_FOLDED = _PLAIN.copy()
-_FOLDED[65:91] = _PLAIN[97:123]
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
+#: the lowest bytes of a lane of eight
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 #: bytes of words separated by white space: all but 0x09-0x0D and 0x20
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -64,22 +73,6 @@ NOT_SPACE[[*range(9, 14), 32]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(_STRETCH, 1 << (n - 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        tables = []
-        for base in (_BASE, _UNBASE):
-            t = np.full(size, base, dtype=np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
-        _powers[size] = tuple(tables)
-    return _powers[size]
-
-
 @dataclass
 class Chunk:
     """Some texts: their bytes end to end and where each begins (one more offset than texts)."""
@@ -151,27 +144,25 @@ def spans(chunk: Chunk, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False) -> np.ndarray:
-    """Hash of the bytes of each span; ``folded`` takes A-Z as a-z. Spans are in order and don't overlap."""
-    values = _FOLDED if folded else _PLAIN
-    out = np.empty(len(starts), dtype=np.uint64)
-    low = 0
-    while low < len(starts):
-        high = max(int(np.searchsorted(ends, starts[low] + _STRETCH, side="right")), low + 1)
-        begin, end = starts[low], ends[high - 1]
-        if end - begin > _STRETCH:  # one word, too long for the tables
-            raw = data[begin:end].tobytes()
-            raw = raw.lower() if folded else raw
-            out[low] = np.frombuffer(hashlib.blake2b(raw, digest_size=8).digest(), dtype=np.uint64)[0]
-            low = high
-            continue
-        up, down = _power_tables(int(end - begin))
-        sums = np.zeros(end - begin + 1, dtype=np.uint64)
-        np.cumsum(values[data[begin:end]] * up[:end - begin], out=sums[1:])
-        s, e = starts[low:high] - begin, ends[low:high] - begin
-        out[low:high] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
-        low = high
-    return mix(out)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False, seed: int = 0) -> np.ndarray:
+    """Hash of the bytes of each span; ``folded`` takes A-Z as a-z."""
+    if folded:
+        data = _FOLDED[data]
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[:len(data)] = data
+    lanes = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # eight bytes from each place on
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (seed + 1) % (1 << 64)))
+    out = mix(out ^ (lanes[starts] & _LOWEST[np.minimum(lengths, 8)]))
+    at, done = np.flatnonzero((lengths > 8) & (lengths <= LONG_SPAN)), 8
+    while len(at):
+        left = lengths[at] - done
+        out[at] = mix(out[at] ^ (lanes[starts[at] + done] & _LOWEST[np.minimum(left, 8)]))
+        at, done = at[left > 8], done + 8
+    for i in np.flatnonzero(lengths > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(data[starts[i]:ends[i]], digest_size=8, key=seed.to_bytes(8, "little"))
+        out[i] = np.frombuffer(digest.digest(), dtype="<u8")[0]
+    return out
 
 
 def words(chunk: Chunk, kind: np.ndarray = NOT_SPACE, folded: bool = False) -> Words:
@@ -182,7 +173,9 @@ def words(chunk: Chunk, kind: np.ndarray = NOT_SPACE, folded: bool = False) -> W
 
 
 def grams(hashes: np.ndarray, n: int, step: int = _STEP) -> np.ndarray:
-    """Hash of every run of ``n`` hashes (by doubling, so a run of 35 takes seven passes)."""
+    """Hash of every run of ``n`` hashes (by doubling, so a run of 35 takes seven passes).
+
+    Runs above 64 are mixed at each doubling, as plain powers have patterns of that length with equal sums."""
     size = len(hashes) - n + 1
     if size <= 0:
         return np.zeros(0, dtype=np.uint64)
@@ -200,6 +193,8 @@ def grams(hashes: np.ndarray, n: int, step: int = _STEP) -> np.ndarray:
                 break
             keep = len(run) - length
             run = run[:keep] * np.uint64(pow(step, length, 1 << 64)) + run[length:length + keep]
+            if n > 64:
+                run = mix(run)
             length *= 2
     return mix(total[:size])
 

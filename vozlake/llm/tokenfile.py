@@ -202,7 +202,7 @@ def read(spark: SparkSession, files: TokenFiles, key: str = "doc_id", with_ids:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return placed.mapInArrow(
-        run, f"{key} {kind}, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
+        run, f"{ts.quoted(key)} {kind}, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 def round_trip(docs: DataFrame, **options) -> DataFrame:
