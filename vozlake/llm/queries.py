@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vozlake.durable import scratch
 from vozlake.llm import (
-    decontaminate, fixity, jaccard, packing, quality, secrets, severity, substring, tokenfile, urls,
+    decontaminate, fixity, jaccard, packing, periodic, quality, secrets, severity, substring, tokenfile, urls,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_token_files")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, folder, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.find(table(spark, folder, "documents"), arrange=periodic.looped)
