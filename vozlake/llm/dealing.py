@@ -11,6 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from vozlake.durable import cut
 
 #: leading bits of a hash that name its bucket
 EDGE_BITS = 24
@@ -64,3 +67,22 @@ def with_repeats(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def batch_of(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
+
+
+#: a key with more than one in so many rows is hot
+HOT_SHARE = 1000
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The rows with the other columns of ``table``, which has one row per non-null ``key`` and in ``_n`` how many rows have it.
+
+    Fewer than HOT_SHARE keys can have more than one in HOT_SHARE of the rows; these are broadcast, so no task gets all rows of one."""
+    stored = cut(table, "attached")
+    total = stored.agg(F.sum("_n")).first()[0] or 0
+    values = [c for c in stored.columns if c not in (key, "_n")]
+    is_hot = F.col("_n") * HOT_SHARE > total
+    hot = stored.filter(is_hot).select(key, *values, F.lit(True).alias("_hot"))
+    cold = stored.filter(~is_hot).select(key, *values)
+    met = rows.join(F.broadcast(hot), key, "left")
+    rest = met.filter(F.col("_hot").isNull()).select(*rows.columns).join(cold, key, "left")
+    return met.filter(F.col("_hot")).select(*rows.columns, *values).unionByName(rest.select(*rows.columns, *values))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vozlake.durable import scratch
 from vozlake.llm import (
-    decontaminate, fixity, jaccard, packing, periodic, quality, secrets, severity, substring, tokenfile, urls,
+    decontaminate, fixity, jaccard, packing, periodic, quality, secrets, severity, simhash, substring, tokenfile, urls,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_periodic_runs")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.find(table(spark, folder, "documents"), arrange=periodic.looped)
+
+
+@query("op12_gray_simhash")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.classes(table(spark, folder, "documents"))
