@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vozlake.durable import scratch
 from vozlake.llm import (
-    decontaminate, fixity, jaccard, packing, periodic, quality, secrets, severity, simhash, substring, tokenfile, urls,
+    decontaminate, fixity, jaccard, lexical, packing, periodic, quality, secrets, severity, simhash, substring, tokenfile, urls,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,28 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_gray_simhash")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"))
+
+
+@query("op13_pair_maxscore")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLES["op13_pair_maxscore"] = f"""
+WITH held AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+     lengths AS (SELECT doc_id, count(*)::BIGINT AS n FROM held GROUP BY doc_id),
+     totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM lengths),
+     counts AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM held GROUP BY doc_id, term),
+     asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+     weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+                 FROM counts, totals GROUP BY term),
+     scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+                FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals
+                GROUP BY item_id, doc_id),
+     ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+                FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
