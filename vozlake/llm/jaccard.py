@@ -24,7 +24,6 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vozlake.durable import cut
 from vozlake.llm import textscan as ts
 from vozlake.llm.components import components
-from vozlake.llm.dealing import batch_of, by_bucket, pack_sorted, unpack_sorted, with_repeats
+from vozlake.llm.dealing import attach, batch_of, by_bucket, pack_sorted, unpack_sorted, with_repeats
 
 #: shingle hashes that meet in one bucket, which is one task
 BUCKET_HASHES = 2_000_000
@@ -80,12 +79,14 @@ def _labelled(docs: DataFrame, k: int) -> DataFrame:
     return cut(docs.select("_id", "_text").mapInArrow(run, f"_id {kind}, n_shingles long, _set binary"), "shingled")
 
 
-_ROWS = "bucket int, kind int, hashes binary, counts binary, texts binary, at binary"
-_NAMES = ["bucket", "kind", "hashes", "counts", "texts", "at"]
-_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+#: what a task sends to a bucket: hashes that count, hashes that ask (with each one's number in its chunk), and once a chunk its names
+_ROWS = "bucket int, kind int, chunk long, hashes binary, counts binary, at binary"
+_NAMES = ["bucket", "kind", "chunk", "hashes", "counts", "at"]
+_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+_COUNT, _ASK, _NAME = 0, 1, 2
 
 
-def _prefix_rows(sets: list[np.ndarray], keys: list[bytes], percent: int, buckets: int) -> list[tuple]:
+def _prefix_rows(chunk: int, sets: list[np.ndarray], keys: list[bytes], percent: int, buckets: int) -> list[tuple]:
     """Prefixes that others may count on, and those whose shared shingles this set counts."""
     shown, counted, at = [], [], []
     for i, s in enumerate(sets):
@@ -98,16 +99,14 @@ def _prefix_rows(sets: list[np.ndarray], keys: list[bytes], percent: int, bucket
             at.append(np.full(len(counted[-1]), i, dtype=np.uint32))
     if not shown:
         return []
+    rows = [(chunk % buckets, _NAME, chunk, b"".join(keys), np.array([len(s) for s in sets], dtype="<u4").tobytes(), None)]
     distinct, again = with_repeats(np.sort(np.concatenate(shown)))
-    rows = []
     for values in (distinct, again):
-        rows += [(b, 0, pack_sorted(values[own]), None, None, None) for b, own in by_bucket(values, 64, buckets)]
+        rows += [(b, _COUNT, chunk, pack_sorted(values[own]), None, None) for b, own in by_bucket(values, 64, buckets)]
     values, of = np.concatenate(counted), np.concatenate(at)
     order = np.argsort(values, kind="stable")
     values, of = values[order], of[order]
-    for b, own in by_bucket(values, 64, buckets):
-        named, where = np.unique(of[own], return_inverse=True)
-        rows.append((b, 1, pack_sorted(values[own]), None, b"".join(keys[i] for i in named.tolist()), where.astype("<u4").tobytes()))
+    rows += [(b, _ASK, chunk, pack_sorted(values[own]), None, of[own].astype("<u4").tobytes()) for b, own in by_bucket(values, 64, buckets)]
     return rows
 
 
@@ -147,69 +146,74 @@ class _Counter:
 
 
 def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """(_key, _shared) of the texts with prefix shingles that are in other prefixes too, and how many (step 1).
+    """(_key) of the texts of which more prefix shingles are in other prefixes too than a partner may lack (step 1).
 
-    A bucket answers each chunk in one row, and a chunk's answers are added up before texts get rows of their own."""
+    A bucket answers each chunk in one row by numbers within the chunk; a chunk's answers are added up before texts get rows
+    of their own. Texts with copies always pass."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk_id = TaskContext.get().partitionId() << 32
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for chunk in ts.chunks(batch.column(1)):
-                rows = _prefix_rows(shingle_sets(chunk, k), keys[chunk.first:chunk.first + chunk.count], percent, buckets)
-                yield batch_of([(*row, chunk_id) for row in rows], [*_NAMES, "chunk"], [*_TYPES, pa.int64()])
+                yield batch_of(_prefix_rows(chunk_id, shingle_sets(chunk, k), keys[chunk.first:chunk.first + chunk.count], percent, buckets), _NAMES, _TYPES)
                 chunk_id += 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, met = None, None
         for batch in batches:
             out = []
-            for b, kind, hashes, _, texts, at, chunk in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, kind, chunk, hashes, counts, at in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != bucket:
                     bucket, met = b, _Counter()
+                if kind == _NAME:
+                    out.append((chunk, hashes, counts, None, None))
+                    continue
                 values = unpack_sorted(hashes)
-                if kind == 0:
+                if kind == _COUNT:
                     met.add(values, np.ones(len(values), np.int64))
                     continue
-                shared = np.bincount(np.frombuffer(at, dtype="<u4"), met.look_up(values) > 1, minlength=len(texts) // 16)
+                shared = np.bincount(np.frombuffer(at, dtype="<u4"), met.look_up(values) > 1)
                 some = np.flatnonzero(shared)
-                out.append((chunk, b"".join(texts[16 * i:16 * i + 16] for i in some.tolist()), shared[some].astype("<u4").tobytes()))
-            yield batch_of(out, ["chunk", "texts", "shared"], [pa.int64(), pa.binary(), pa.binary()])
+                if len(some):
+                    out.append((chunk, None, None, some.astype("<u4").tobytes(), shared[some].astype("<u4").tobytes()))
+            yield batch_of(out, ["chunk", "names", "sizes", "at", "shared"], [pa.int64()] + [pa.binary()] * 4)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by chunk."""
-        chunk, sums = None, Counter()
-        types = [pa.binary(), pa.int64()]
+        """Rows come by chunk, names first."""
+        now, names, sizes, sums = None, b"", None, None
+
+        def passing() -> pa.RecordBatch:
+            some = np.flatnonzero(sums > missing(sizes, percent)).tolist() if now is not None else []
+            return pa.RecordBatch.from_arrays([pa.array([names[16 * i:16 * i + 16] for i in some], pa.binary())], ["_key"])
+
         for batch in batches:
-            for c, texts, shared in zip(*(x.to_pylist() for x in batch.columns)):
-                if c != chunk:
-                    yield batch_of(list(sums.items()), ["_key", "shared"], types)
-                    chunk, sums = c, Counter()
-                for i, n in enumerate(np.frombuffer(shared, dtype="<u4").tolist()):
-                    sums[texts[16 * i:16 * i + 16]] += n
-        yield batch_of(list(sums.items()), ["_key", "shared"], types)
+            for chunk, named, counts, at, shared in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk != now:
+                    yield passing()
+                    now, names, sizes = chunk, named, np.frombuffer(counts, dtype="<u4").astype(np.int64)
+                    sums = np.zeros(len(sizes), dtype=np.int64)
+                else:
+                    sums[np.frombuffer(at, dtype="<u4")] += np.frombuffer(shared, dtype="<u4")
+        yield passing()
 
-    dealt = docs.select("_key", "_text").mapInArrow(emit, f"{_ROWS}, chunk long").repartitionById(buckets, F.col("bucket"))
-    answers = dealt.sortWithinPartitions("bucket", "kind").mapInArrow(count, "chunk long, texts binary, shared binary")
-    summed = answers.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(add, "_key binary, shared long")
-    return summed.groupBy("_key").agg(F.sum("shared").alias("_shared"))
+    dealt = docs.select("_key", "_text").mapInArrow(emit, _ROWS).repartitionById(buckets, F.col("bucket"))
+    answers = dealt.sortWithinPartitions("bucket", "kind").mapInArrow(
+        count, "chunk long, names binary, sizes binary, at binary, shared binary")
+    by_chunk = answers.repartition("chunk").sortWithinPartitions(F.col("chunk"), F.col("names").isNull())
+    return by_chunk.mapInArrow(add, "_key binary").distinct()
 
 
-def _sets(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Stored stage: distinct sets (_set, _n, _hashes) of the candidate texts (_text, _copies, _shared)."""
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """Stored stage: distinct sets (_set, _n, _hashes) of the candidate texts (_text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # a text with copies counts its own shingles once for each, up to two
-            copies, shared = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for chunk in ts.chunks(batch.column(0)):
-                rows = []
-                for i, s in enumerate(shingle_sets(chunk, k)):
-                    if len(s) and (copies[chunk.first + i] > 1 or shared[chunk.first + i] > missing(len(s), percent)):
-                        rows.append((set_key(s), len(s), s.astype("<u8").tobytes()))
+                rows = [(set_key(s), len(s), s.astype("<u8").tobytes()) for s in shingle_sets(chunk, k) if len(s)]
                 yield batch_of(rows, ["_set", "_n", "_hashes"], [pa.binary(), pa.int64(), pa.binary()])
 
-    found = texts.select("_text", "_copies", "_shared").mapInArrow(run, "_set binary, _n long, _hashes binary")
+    found = texts.select("_text").mapInArrow(run, "_set binary, _n long, _hashes binary")
     return cut(found.groupBy("_set", "_n").agg(F.any_value("_hashes").alias("_hashes")), "sets")
 
 
@@ -217,6 +221,7 @@ def _classes(sets: DataFrame, buckets: int) -> DataFrame:
     """(_set, _classes): for each hash of a set in order, the number of bits of its frequency less one (0: its own alone)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             keys, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             low = 0
@@ -227,43 +232,59 @@ def _classes(sets: DataFrame, buckets: int) -> DataFrame:
                     high += 1
                 values = np.frombuffer(b"".join(raw[low:high]), dtype="<u8")
                 of = np.repeat(np.arange(high - low, dtype=np.uint32), [len(r) // 8 for r in raw[low:high]])
-                low, first = high, low
                 order = np.lexsort((of, values))
                 values, of = values[order], of[order]
-                rows = []
+                rows = [(chunk % buckets, _NAME, chunk, b"".join(keys[low:high]), None, None)]
                 for b, own in by_bucket(values, 64, buckets):
                     distinct, n = np.unique(values[own], return_counts=True)
-                    rows.append((b, 0, pack_sorted(distinct), n.astype("<u4").tobytes(), None, None))
-                    named, where = np.unique(of[own], return_inverse=True)
-                    rows.append((b, 1, pack_sorted(values[own]), None, b"".join(keys[first + i] for i in named.tolist()),
-                                 where.astype("<u4").tobytes()))
+                    rows.append((b, _COUNT, chunk, pack_sorted(distinct), n.astype("<u4").tobytes(), None))
+                    rows.append((b, _ASK, chunk, pack_sorted(values[own]), None, of[own].astype("<u4").tobytes()))
                 yield batch_of(rows, _NAMES, _TYPES)
+                low, chunk = high, chunk + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, met = None, None
         for batch in batches:
             out = []
-            for b, kind, hashes, counts, texts, at in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, kind, chunk, hashes, counts, at in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != bucket:
                     bucket, met = b, _Counter()
+                if kind == _NAME:
+                    out.append((chunk, -1, hashes, None))
+                    continue
                 values = unpack_sorted(hashes)
-                if kind == 0:
+                if kind == _COUNT:
                     met.add(values, np.frombuffer(counts, dtype="<u4").astype(np.int64))
                     continue
                 often = np.ceil(np.log2(np.maximum(met.look_up(values), 1))).astype(np.uint8)
-                where = np.frombuffer(at, dtype="<u4")
-                order = np.argsort(where, kind="stable")  # keeps hashes of a set ascending
-                edges = np.searchsorted(where[order], np.arange(len(texts) // 16 + 1))
-                flat = often[order].tobytes()
-                out += [(texts[16 * i:16 * i + 16], b, flat[edges[i]:edges[i + 1]]) for i in range(len(texts) // 16)]
-            yield batch_of(out, ["_set", "bucket", "classes"], [pa.binary(), pa.int32(), pa.binary()])
+                out.append((chunk, b, at, often.tobytes()))
+            yield batch_of(out, ["chunk", "bucket", "at", "classes"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
+
+    def line_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by chunk, names first, then by bucket; a bucket is a range of hashes, so each set's hashes are ascending."""
+        now, names, at, often = None, b"", [], []
+
+        def sets_of() -> pa.RecordBatch:
+            of = np.frombuffer(b"".join(at), dtype="<u4")
+            order = np.argsort(of, kind="stable")
+            flat = np.frombuffer(b"".join(often), dtype=np.uint8)[order].tobytes()
+            edges = np.searchsorted(of[order], np.arange(len(names) // 16 + 1))
+            rows = [(names[16 * i:16 * i + 16], flat[edges[i]:edges[i + 1]]) for i in range(len(names) // 16)]
+            return batch_of(rows, ["_set", "_classes"], [pa.binary(), pa.binary()])
+
+        for batch in batches:
+            for chunk, bucket, where, classes in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk != now:
+                    yield sets_of()
+                    now, names, at, often = chunk, where, [], []
+                else:
+                    at.append(where)
+                    often.append(classes)
+        yield sets_of()
 
     dealt = sets.select("_set", "_hashes").mapInArrow(emit, _ROWS).repartitionById(buckets, F.col("bucket"))
-    met = dealt.sortWithinPartitions("bucket", "kind").mapInArrow(count, "_set binary, bucket int, classes binary")
-    # a bucket is a range of hashes, so its stretches follow each other
-    parts = F.array_sort(F.collect_list(F.struct("bucket", "classes")))
-    return met.groupBy("_set").agg(parts.alias("_parts")).select("_set", F.aggregate(
-        "_parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["classes"])).alias("_classes"))
+    met = dealt.sortWithinPartitions("bucket", "kind").mapInArrow(count, "chunk long, bucket int, at binary, classes binary")
+    return met.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(line_up, "_set binary, _classes binary")
 
 
 def _prefixes(sets: DataFrame, classes: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
@@ -331,16 +352,19 @@ def _group_pairs(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     """(a, b): members of pairs of groups that may link across components (step 4)."""
     named = found.join(labels, found["_set"] == labels["node"], "left").select(
         "_set", "_n", "_c", "_cells", F.coalesce("component", "_set").alias("_label"))
-    group = F.unhex(F.sha2(F.concat_ws("|", F.hex("_label"), "_n", "_c", F.array_join("_cells", ",")), 256))
+    group = F.unhex(F.md5(F.concat_ws("|", F.hex("_label"), "_n", "_c", F.array_join("_cells", ","))))
     members = cut(named.withColumn("_group", group), "members")
     groups = members.groupBy("_group", "_label", "_n", "_c").agg(F.any_value("_cells").alias("_cells"))
     # what a prefix shingle at this place leaves for an overlap, if it is the first that both have
-    shown = groups.select("*", F.posexplode("_cells").alias("_pos", "_cell")).withColumn("_c", F.col("_c") - F.col("_pos"))
-    side = lambda p: shown.select("_cell", *[F.col(f"_{c}").alias(f"{p}_{c}") for c in ("group", "label", "n", "c", "cells")])
+    shown = cut(groups.select("_group", "_label", "_n", "_c", F.posexplode("_cells").alias("_pos", "_cell")).select(
+        "_group", "_label", "_n", (F.col("_c") - F.col("_pos")).alias("_c"), "_cell"), "shown")
+    # most shingles are in one component only
+    across = shown.groupBy("_cell").agg(F.min("_label").alias("_x"), F.max("_label").alias("_y")).filter(F.col("_x") != F.col("_y"))
+    shown = cut(shown.join(across.select("_cell"), "_cell", "left_semi"), "shown")
+    side = lambda p: shown.select("_cell", *[F.col(f"_{c}").alias(f"{p}_{c}") for c in ("group", "label", "n", "c")])
     both = (F.col("l_group") < F.col("r_group")) & (F.col("l_label") != F.col("r_label")) & _may_link(percent, "l", "r")
-    # prefixes are in one order, so a pair comes once, from the first shingle that both have
-    both = both & (F.get(F.array_intersect("l_cells", "r_cells"), F.lit(0)) == F.col("_cell"))
-    pairs = side("l").join(side("r"), "_cell").filter(both).select("l_group", "r_group")
+    # a pair may come from each shingle that both have
+    pairs = side("l").join(side("r"), "_cell").filter(both).select("l_group", "r_group").distinct()
     of = lambda p, name: members.select(F.col("_group").alias(f"{p}_group"), F.col("_set").alias(name))
     return pairs.join(of("l", "a"), "l_group").join(of("r", "b"), "r_group").select("a", "b")
 
@@ -348,15 +372,15 @@ def _group_pairs(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Per document: key, n_shingles and component_id, the smallest key that links reach."""
     ts.bounded_batches(docs.sparkSession)
-    given = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    given = docs.select(F.col(ts.quoted(key)).alias("_id"), F.coalesce(F.col(ts.quoted(text)).cast("string"), F.lit("")).alias("_text"))
     keyed = given.withColumn("_key", F.unhex(F.md5("_text")))
     rows = _labelled(given, words)
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     hashes = max(1, total * 2 * (100 - percent) // 100)
     shared = candidates(keyed, words, percent, max(1, -(-hashes // BUCKET_HASHES)))
     # copies meet here once per map task
-    texts = keyed.groupBy("_key").agg(F.any_value("_text").alias("_text"), F.count(F.lit(1)).alias("_copies"))
-    sets = _sets(texts.join(shared, "_key"), words, percent)
+    texts = keyed.groupBy("_key").agg(F.any_value("_text").alias("_text"))
+    sets = _sets(texts.join(shared, "_key"), words)
     size = sets.agg(F.sum("_n")).first()[0] or 0
     copies = rows.filter(F.col("_set").isNotNull()).groupBy("_set").agg(F.count(F.lit(1)).alias("_copies"))
     found = _prefixes(sets, _classes(sets, max(1, -(-size // BUCKET_HASHES))), copies, percent)
@@ -366,7 +390,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     named = components(links, "a", "b")
     own = rows.join(named, rows["_set"] == named["node"], "left").select(
         "_id", "n_shingles", F.coalesce("component", "_set").alias("_component"))
-    least = own.filter(F.col("_component").isNotNull()).groupBy("_component").agg(F.min("_id").alias("_least"))
-    return own.join(least, "_component", "left").select(
-        F.col("_id").alias(key), "n_shingles",
-        F.when(F.col("_component").isNull(), F.col("_id")).otherwise(F.col("_least")).alias("component_id"))
+    own = cut(own, "named")
+    some = own.filter(F.col("_component").isNotNull())
+    least = some.groupBy("_component").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    out = attach(some, least, "_component").select("_id", "n_shingles", "_least").unionByName(
+        own.filter(F.col("_component").isNull()).select("_id", "n_shingles", F.col("_id").alias("_least")))
+    return out.select(F.col("_id").alias(key), "n_shingles", F.col("_least").alias("component_id"))
