@@ -35,17 +35,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays, that with the smallest doc_id.
+    """One document of each component of near duplicates stays: that with the smallest doc_id (a null one counts as larger than all
+    others), and of several with that doc_id the one whose text has the smallest digest.
 
-    Rows of equal doc_id and text are one document. Rows with a null doc_id stay only if no row of their component has one."""
+    Rows of equal doc_id and text are one document."""
     plain, c = _plain(docs)
-    key, text = c["doc_id"], c["text"]
-    found = cut(jaccard.join(plain, key=key, text=text, words=NEAR_WORDS, percent=NEAR_PERCENT).select(key, "component_id"), "near")
-    stays = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_stays")).agg(F.count(F.lit(1)).alias("_n"))
-    kept = plain.join(stays, F.col(key).eqNullSafe(F.col("_stays")), "inner")
-    # only rows that share a doc_id can be repeats
+    key, text = F.col(c["doc_id"]), F.col(c["text"])
+    # nulls of a struct come first, so a flag before each part puts them last
+    name = F.struct(key.isNull().alias("no_id"), key.alias("id"), text.isNull().alias("no_text"), F.unhex(F.md5(text)).alias("digest"))
+    named = plain.withColumn("_name", name)
+    found = jaccard.join(named, key="_name", text=c["text"], words=NEAR_WORDS, percent=NEAR_PERCENT)
+    stays = cut(found.filter(F.col("_name") == F.col("component_id")).groupBy("_name").agg(F.count(F.lit(1)).alias("_n")), "near")
+    kept = named.join(stays, "_name")
+    # only rows that share a doc_id and a text can be repeats
     single = kept.filter(F.col("_n") == 1).select(*c.values())
-    shared = kept.filter(F.col("_n") > 1).select(*c.values()).dropDuplicates([key, text])
+    shared = kept.filter(F.col("_n") > 1).dropDuplicates(["_name"]).select(*c.values())
     return single.unionByName(shared).toDF(*c)
 
 
