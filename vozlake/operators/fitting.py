@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vozlake import constants as C
 from vozlake.durable import cut
 from vozlake.functions import text as tx
-from vozlake.operators import ranking
+from vozlake.operators import ranking, regression
+from vozlake.operators.indexed import FeatureIndex
 from vozlake.operators.scoring import MODEL_SCHEMA
 
 
@@ -46,61 +41,51 @@ def fit_tfidf(df: DataFrame, text_col: str = "text", min_df: int = C.TFIDF_MIN_D
     return best.select("feature", "df", "corpus_count", F.round(idf, 9).alias("idf"))
 
 
-def _stages(vocabulary: DataFrame, limit: int) -> tuple[list, list[tuple[str, float]]]:
+def _entries(vocabulary: DataFrame, limit: int) -> list[tuple[str, float]]:
     rows = vocabulary.select("feature", "idf").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"vocabulary exceeds {limit} features")
-    entries = sorted((r.feature, float(r.idf)) for r in rows)
-    stages = [
-        CountVectorizerModel.from_vocabulary([f for f, _ in entries], inputCol="terms", outputCol="tf", minTF=1.0),
-        ElementwiseProduct(scalingVec=Vectors.dense([i for _, i in entries]), inputCol="tf", outputCol="tfidf"),
-        Normalizer(p=2.0, inputCol="tfidf", outputCol="features"),
-    ]
-    return stages, entries
-
-
-def _training(df: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    index = F.create_map(*[x for k, c in enumerate(C.CLASSES) for x in (F.lit(c), F.lit(float(k)))])
-    rows = df.select(model_terms(F.col(text_col)).alias("terms"), F.try_element_at(index, F.col(label_col)).alias("label"))
-    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_c"))
-    # at most one row per class, so it always fits a broadcast
-    weighted = rows.join(F.broadcast(sizes.withColumn("_n", rows.agg(F.count(F.lit(1))).scalar())), "label")
-    return weighted.select("terms", "label", (F.col("_n") / (len(C.CLASSES) * F.col("_c"))).alias("weight"))
+    return sorted((r.feature, float(r.idf)) for r in rows)
 
 
 def fit_logreg(df: DataFrame, vocabulary: DataFrame, text_col: str = "text", label_col: str = "expected",
                inverse_strength: float = 1.0, folds: int | None = None,
                grid: Sequence[float] = (0.1, 1.0, 10.0),
-               limit: int = C.TFIDF_MAX_FEATURES) -> DataFrame:
+               limit: int = C.TFIDF_MAX_FEATURES, key_col: str | None = None) -> DataFrame:
     """Balanced multinomial regression; returns a coefficient table.
 
     ``folds`` chooses the inverse strength from ``grid`` by cross-validated
-    accuracy. The fitted table has one row per feature plus the intercept row.
+    accuracy; a comment's fold is a digest bucket of its key (or text). The fitted
+    table has one row per feature plus the intercept row.
     """
-    spark = df.sparkSession
-    stages, entries = _stages(vocabulary, limit)
-    training = _training(df, text_col, label_col).persist()
-    try:
-        rows = training.count()
-        regression = LogisticRegression(
-            family="multinomial", weightCol="weight", standardization=False, maxIter=100, tol=1e-7,
-            regParam=1.0 / (inverse_strength * rows))
-        pipeline = Pipeline(stages=[*stages, regression])
-        if folds:
-            search = CrossValidator(
-                estimator=pipeline, numFolds=folds, seed=42,
-                evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-                estimatorParamMaps=ParamGridBuilder().addGrid(
-                    regression.regParam, [1.0 / (c * rows) for c in grid]).build())
-            fitted = search.fit(training).bestModel.stages[-1]
-        else:
-            fitted = pipeline.fit(training).stages[-1]
-    finally:
-        training.unpersist()
-    weights, base = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
-    table = [("", 0.0, *map(float, base))]
-    table += [(f, i, *map(float, weights[:, k])) for k, (f, i) in enumerate(entries)]
-    return spark.createDataFrame(table, MODEL_SCHEMA)
+    entries = _entries(vocabulary, limit)
+    rows = regression.rows_of(df, FeatureIndex.of(entries), text_col, label_col, F.col(key_col or text_col), folds or 1)
+    weights = regression.fit(rows, len(entries), tuple(grid) if folds else (inverse_strength,), folds or 1).weights
+    table = [("", 0.0, *map(float, weights[-1]))]
+    table += [(f, i, *map(float, weights[k])) for k, (f, i) in enumerate(entries)]
+    return df.sparkSession.createDataFrame(table, MODEL_SCHEMA)
+
+
+def fit_ratio(df: DataFrame, vocabulary: DataFrame, text_col: str = "text", label_col: str = "expected") -> DataFrame:
+    """A coefficient table in closed form: log ratio of a term's share inside a class to its share outside, added-one, in one pass."""
+    labelled = df.filter(F.col(label_col).isin(list(C.CLASSES)))
+    terms = term_counts(labelled, [label_col], model_terms(F.col(text_col)))
+    mine = lambda c: F.sum(F.when(F.col(label_col) == c, F.col("tf")).otherwise(0))
+    names = [c.lower() for c in C.CLASSES]
+    # at most TFIDF_MAX_FEATURES rows
+    known = vocabulary.select("feature", "idf")
+    per = cut(terms.groupBy("feature").agg(*[mine(c).alias(f"n_{k}") for c, k in zip(C.CLASSES, names)]).join(F.broadcast(known), "feature"), "ratios")
+    every = sum((F.col(f"n_{k}") for k in names[1:]), F.col(f"n_{names[0]}"))
+    totals = per.agg(F.count(F.lit(1)).alias("_v"), F.sum(every).alias("_n"), *[F.sum(f"n_{k}").alias(f"_n_{k}") for k in names])
+
+    def weight(k: str) -> Column:
+        inside = (F.col(f"n_{k}") + 1.0) / (F.col(f"_n_{k}") + F.col("_v"))
+        outside = (every - F.col(f"n_{k}") + 1.0) / (F.col("_n") - F.col(f"_n_{k}") + F.col("_v"))
+        return F.round(F.log(inside / outside), 6).alias(f"w_{k}")
+
+    table = per.join(F.broadcast(totals)).select("feature", "idf", *[weight(k) for k in names])
+    base = df.sparkSession.createDataFrame([("", 0.0, *[0.0] * len(names))], MODEL_SCHEMA)
+    return base.unionByName(table)
 
 
 def language_weights(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 3) -> DataFrame:

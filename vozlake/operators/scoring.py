@@ -89,7 +89,7 @@ class LinearModel:
         def divided(e: Column) -> Column:
             total = e["a"] + e["b"] + e["c"]
             probabilities = F.array(*[e[k] / total for k in names])
-            return tx.let(probabilities, lambda p: _result(p, e["n"]))
+            return tx.let(probabilities, lambda p: result(p, e["n"]))
 
         counted = self.terms.counts(tx.with_bigrams(tx.model_tokens(text)))
         return tx.let(
@@ -107,7 +107,9 @@ def ranked_classes(probabilities: Column) -> Column:
     return F.sort_array(entries)
 
 
-def _result(p: Column, n_features: Column) -> Column:
+def result(p: Column, n_features: Column) -> Column:
+    """struct with ``SCORE_COLUMNS`` of the class probabilities in class order."""
+
     def build(ranked: Column) -> Column:
         first, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
         return F.struct(

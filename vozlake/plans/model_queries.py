@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vozlake import constants as C
+from vozlake.durable import cut
 from vozlake.functions import text as tx
 from vozlake.operators import evaluation as ev
-from vozlake.operators import fitting, scoring
+from vozlake.operators import fitting, indexed, regression, scoring
 from vozlake.plans import oracle as o
 from vozlake.plans.registry import Tables, query
 from vozlake.plans.text_queries import comments
@@ -31,11 +32,74 @@ def fit_tfidf(t: Tables) -> DataFrame:
     return fitting.fit_tfidf(comments(t))
 
 
-@query("fit_logreg")
+def labelled(t: Tables) -> DataFrame:
+    return comments(t).join(t.derived("truth"), "doc_id").select("doc_id", "text", "expected")
+
+
+o.define("rl_prep", "SELECT p.doc_id, p.text, t.expected FROM prep p JOIN truth t USING (doc_id)")
+
+
+@query("fit_logreg", o.with_ctes("""SELECT expected AS class, count(*) AS cases, round(any_value(n) / (3.0::DOUBLE * count(*)), 6) AS class_weight,
+    round((any_value(n) / (3.0::DOUBLE * count(*))) * count(*) / any_value(n), 4) AS mean_probability, 0.0::DOUBLE AS largest_gradient
+    FROM rl_prep, (SELECT count(*) AS n FROM rl_prep) GROUP BY 1"""))
 def fit_logreg(t: Tables) -> DataFrame:
-    """Coefficients fitted on the labelled comments (iterative, so no SQL twin)."""
-    labelled = comments(t).join(t.derived("truth"), "doc_id").select("doc_id", "text", "expected")
-    return fitting.fit_logreg(labelled, fitting.fit_tfidf(labelled))
+    """The optimality condition of the regression at its fitted weights: no gradient is left, so each class's weighted mean
+    probability is its weighted share."""
+    rows = labelled(t)
+    table = fitting.fit_logreg(rows, fitting.fit_tfidf(rows), key_col="doc_id")
+    return regression.certificate(rows, table, "doc_id").select(
+        "class", "cases", F.round("class_weight", 6).alias("class_weight"), F.round("mean_probability", 4).alias("mean_probability"),
+        F.round("largest_gradient", 4).alias("largest_gradient"))
+
+
+o.define("rl_tok", f"SELECT doc_id, expected, regexp_extract_all(lower(text), '{o.W}{{2,}}') AS t FROM rl_prep")
+o.define("rl_feat", "SELECT doc_id, expected, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS feature FROM rl_tok")
+o.define("rl_tf", "SELECT doc_id, expected, feature, count(*) AS tf FROM rl_feat GROUP BY 1, 2, 3")
+o.define("rl_fit", "SELECT feature, count(*) AS df, sum(tf)::BIGINT AS corpus_count, (SELECT count(*) FROM rl_prep) AS n_all FROM rl_tf GROUP BY 1")
+o.define("rl_vocab", """SELECT feature, round(ln((1.0::DOUBLE + n_all) / (1.0::DOUBLE + df)) + 1, 9) AS idf FROM rl_fit
+    WHERE df >= 3 AND df <= n_all * 0.9 ORDER BY corpus_count DESC, feature LIMIT 5000""")
+_COUNTS = ", ".join(f"sum(CASE WHEN expected = '{c}' THEN tf ELSE 0 END)::BIGINT AS n{k}" for k, c in enumerate(C.CLASSES))
+o.define("rl_count", f"SELECT feature, any_value(idf) AS idf, {_COUNTS} FROM rl_tf JOIN rl_vocab USING (feature) GROUP BY 1")
+o.define("rl_total", "SELECT count(*) AS v, sum(n0 + n1 + n2)::BIGINT AS mass, sum(n0)::BIGINT AS t0, sum(n1)::BIGINT AS t1, sum(n2)::BIGINT AS t2 FROM rl_count")
+_RATIOS = ", ".join(
+    f"round(ln(((n{k} + 1.0::DOUBLE) / (t{k} + v)) / ((n0 + n1 + n2 - n{k} + 1.0::DOUBLE) / (mass - t{k} + v))), 6) AS w{k}" for k in range(3))
+o.define("rl_coef", f"SELECT row_number() OVER (ORDER BY feature) AS i, feature, idf, {_RATIOS} FROM rl_count, rl_total")
+for _key, _cte in o.score_ctes("prep", "doc_id", "text", "rs", "rl_coef", (0.0, 0.0, 0.0)).items():
+    o.define(_key, _cte)
+o.define("rl_long", "SELECT feature, u.class, u.weight FROM (SELECT feature, unnest([" + ", ".join(
+    f"{{'class': '{c}', 'weight': w{k}}}" for k, c in enumerate(C.CLASSES)) + "]) AS u FROM rl_coef)")
+
+
+def fitted(t: Tables) -> DataFrame:
+    """Coefficients fitted on the labelled comments, written as a table and read back."""
+    rows = labelled(t)
+    return cut(fitting.fit_ratio(rows, fitting.fit_tfidf(rows)), "coefficients")
+
+
+@query("score_fitted", o.with_ctes("""SELECT doc_id, sentiment, confidence, probability_negativo, probability_neutro, probability_positivo, second_best_class,
+    prediction_margin, n_features FROM rs"""), scores="confidence probability_negativo probability_neutro probability_positivo prediction_margin")
+def score_fitted(t: Tables) -> DataFrame:
+    """Every comment scored by a table that was fitted, frozen and read back."""
+    return indexed.score(comments(t), fitted(t)).select(
+        "doc_id", "sentiment", "confidence", "probability_negativo", "probability_neutro", "probability_positivo", "second_best_class",
+        "prediction_margin", "n_features")
+
+
+@query("fitted_top_coefficients", o.with_ctes("""SELECT class, 'highest' AS side, rank::INTEGER AS rank, feature, weight FROM
+    (SELECT *, row_number() OVER (PARTITION BY class ORDER BY weight DESC, feature) AS rank FROM rl_long) WHERE rank <= 25
+    UNION ALL SELECT class, 'lowest', rank::INTEGER, feature, weight FROM
+    (SELECT *, row_number() OVER (PARTITION BY class ORDER BY weight, feature) AS rank FROM rl_long) WHERE rank <= 25"""))
+def fitted_top_coefficients(t: Tables) -> DataFrame:
+    return fitting.extreme_coefficients(fitting.coefficients_long(fitted(t)), "class", "feature")
+
+
+_FITTED_TERMS = (*C.COMMERCIAL_TERMS, "the", "of the", "und", "les", "para", "clown")
+
+
+@query("fitted_term_coefficients", o.with_ctes(f"""SELECT a.term, {', '.join(f'c.w{k} AS "{c}"' for k, c in enumerate(C.CLASSES))}
+    FROM (SELECT DISTINCT unnest([{o.words(_FITTED_TERMS)}]) AS term) a LEFT JOIN rl_coef c ON c.feature = a.term"""))
+def fitted_term_coefficients(t: Tables) -> DataFrame:
+    return fitting.term_coefficients(fitting.coefficients_long(fitted(t)), _FITTED_TERMS, "class", "feature", C.CLASSES)
 
 
 @query("score_linear", o.with_ctes("""SELECT doc_id, sentiment, confidence, probability_negativo, probability_neutro, probability_positivo FROM scored"""), scores="confidence probability_negativo probability_neutro probability_positivo")

@@ -43,23 +43,22 @@ _COEF = ",\n  ".join(f"({n}, '{f}', {i}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE, {c}::
 _PROFILE = ", ".join(
     f"('{lang}', '{w}')" for lang, text in sorted(lexicon.STARTER_PROFILES.items()) for w in text.split()
 )
-_B0, _B1, _B2 = lexicon.STARTER_INTERCEPTS
 _CLASSES = ", ".join(f"({k}, '{c}')" for k, c in enumerate(C.CLASSES))
 
 
-def score_ctes(source: str, key: str, text: str, prefix: str) -> dict[str, str]:
+def score_ctes(source: str, key: str, text: str, prefix: str, coef: str = "coef", base: tuple[float, ...] = lexicon.STARTER_INTERCEPTS) -> dict[str, str]:
     """Scores ``source(key, text)`` into ``{prefix}(key, sentiment, ...)``."""
     p = prefix
     return {
         f"{p}_tok": f"SELECT {key}, regexp_extract_all(lower({text}), '{W}{{2,}}') AS t FROM {source}",
         f"{p}_feat": f"""SELECT {key}, unnest(t) AS feature FROM {p}_tok
             UNION ALL SELECT {key}, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM {p}_tok""",
-        f"{p}_tf": f"""SELECT {key}, i, w0, w1, w2, idf * count(*) AS x FROM {p}_feat JOIN coef USING (feature)
+        f"{p}_tf": f"""SELECT {key}, i, w0, w1, w2, idf * count(*) AS x FROM {p}_feat JOIN {coef} USING (feature)
             GROUP BY {key}, i, idf, w0, w1, w2""",
         f"{p}_sum": f"""SELECT {key}, count(*) AS n, sqrt(sum(x * x ORDER BY i)) AS norm, sum(w0 * x ORDER BY i) AS a, sum(w1 * x ORDER BY i) AS b, sum(w2 * x ORDER BY i) AS c
             FROM {p}_tf GROUP BY {key}""",
-        f"{p}_z": f"""SELECT s.{key}, coalesce(n, 0) AS n_features, {_B0} + coalesce(a / norm, 0) AS z0,
-            {_B1} + coalesce(b / norm, 0) AS z1, {_B2} + coalesce(c / norm, 0) AS z2
+        f"{p}_z": f"""SELECT s.{key}, coalesce(n, 0) AS n_features, {base[0]}::DOUBLE + coalesce(a / norm, 0) AS z0,
+            {base[1]}::DOUBLE + coalesce(b / norm, 0) AS z1, {base[2]}::DOUBLE + coalesce(c / norm, 0) AS z2
             FROM {source} s LEFT JOIN {p}_sum USING ({key})""",
         f"{p}_e": f"""SELECT {key}, n_features, exp(z0 - greatest(z0, z1, z2)) AS e0, exp(z1 - greatest(z0, z1, z2)) AS e1,
             exp(z2 - greatest(z0, z1, z2)) AS e2 FROM {p}_z""",
