@@ -14,7 +14,7 @@ HEADLINE = (
     "hybrid_batch", "multilingual_batch", "direct_batch", "anonymize", "topic_document_frequency", "fit_tfidf",
     "fit_language_profiles", "train_test_leakage", "duplicate_audit", "label_conflicts", "router_sweep", "abstention_sweep",
     "variant_comparison", "report_facts", "selection_audit", "validate_table", "agreement", "request_schedule", "rate_audit",
-    "latency_summary", "quality_gate", "pareto", "stream_scoring",
+    "latency_summary", "quality_gate", "pareto", "stream_scoring", "fit_logreg", "score_fitted", "language_posterior",
 )
 
 

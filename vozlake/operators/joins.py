@@ -48,6 +48,21 @@ def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return joined.filter((F.col("_ok_left") == "") & (F.col("_ok_right") == "")).drop("_ok_left", "_ok_right")
 
 
+#: keys that may be broadcast (some tens of megabytes)
+MAX_KEYS = 1_000_000
+
+
+def only_keys(df: DataFrame, references: DataFrame, key: str, limit: int = MAX_KEYS) -> DataFrame:
+    """The rows whose key has a reference, so that costly work on a row is done for these only.
+
+    The keys are counted first. Beyond ``limit`` all rows stay, as the text would have to move to meet the keys; the join with the
+    references that follows gives the same answer then."""
+    keys = references.select(key).filter(F.col(key).isNotNull()).distinct()
+    if keys.count() > limit:
+        return df
+    return df.join(F.broadcast(keys), key, "left_semi")
+
+
 def compare_packets(first: DataFrame, second: DataFrame, key: str = "case_id",
                     fields: Sequence[str] = C.PACKET_SHARED_FIELDS) -> DataFrame:
     """Cases missing from B, added in B, or whose shared fields differ."""

@@ -48,8 +48,13 @@ def confidence_by_class(t: Tables) -> DataFrame:
 
 # --- evaluation against references ---------------------------------------------------
 
+def referenced(t: Tables) -> DataFrame:
+    """Comments that have a reference; the others need no score here."""
+    return joins.only_keys(comments(t), t.derived("truth"), "doc_id")
+
+
 def cases(t: Tables) -> DataFrame:
-    return ev.details(scored(t), t.derived("truth"))
+    return ev.details(scoring.score(referenced(t)).drop("text"), t.derived("truth"))
 
 
 def counts(t: Tables, groups=()) -> DataFrame:
@@ -59,7 +64,7 @@ def counts(t: Tables, groups=()) -> DataFrame:
 @query("join_references", o.with_ctes("SELECT doc_id, sentiment, confidence, expected FROM evaluated"), scores="confidence")
 def join_references(t: Tables) -> DataFrame:
     """Predictions with references; a repeated key on either side is an error."""
-    return joins.one_to_one(scored(t).select("doc_id", "sentiment", "confidence"), t.derived("truth"), "doc_id")
+    return joins.one_to_one(scoring.score(referenced(t)).select("doc_id", "sentiment", "confidence"), t.derived("truth"), "doc_id")
 
 
 @query("accuracy", o.with_ctes("SELECT count(*) AS cases, round(avg(is_correct::INT), 6) AS accuracy FROM evaluated"))
@@ -130,7 +135,7 @@ _SUBSET = " UNION ALL ".join(f"""SELECT '{name}' AS subset, count(*) AS cases, c
 def flagged_cases(t: Tables) -> DataFrame:
     """Text flags are taken beside the score, so the join carries no text."""
     text = F.col("text")
-    flagged = scoring.score(comments(t)).select(
+    flagged = scoring.score(referenced(t)).select(
         "doc_id", "source", "lang", *scoring.SCORE_COLUMNS, tx.negation_flag(text).alias("is_negation"),
         (tx.token_count(text) <= C.SHORT_TEXT_TOKENS).alias("is_short"))
     return ev.details(flagged, t.derived("truth"))

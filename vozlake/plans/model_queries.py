@@ -8,7 +8,7 @@ from vozlake import constants as C
 from vozlake.durable import cut
 from vozlake.functions import text as tx
 from vozlake.operators import evaluation as ev
-from vozlake.operators import fitting, indexed, regression, scoring
+from vozlake.operators import fitting, indexed, joins, regression, scoring
 from vozlake.plans import oracle as o
 from vozlake.plans.registry import Tables, query
 from vozlake.plans.text_queries import comments
@@ -195,7 +195,8 @@ def variant_comparison(t: Tables) -> DataFrame:
     model = scoring.LinearModel.starter()
     text = F.col("text")
     shapes = {"current_str_strip": tx.prepared(text), "historical_clean": tx.historical_clean(text), "nfkc_whitespace": tx.nfkc_clean(text)}
-    texts = t.documents.select("doc_id", *[c.alias(f"t_{k}") for k, c in shapes.items()])
+    documents = joins.only_keys(t.documents.select("doc_id", "text"), t.derived("truth"), "doc_id")
+    texts = documents.select("doc_id", *[c.alias(f"t_{k}") for k, c in shapes.items()])
     scores = texts.select("doc_id", F.inline_outer(F.array(F.struct(*[model.score(F.col(f"t_{k}")).alias(k) for k in shapes]))))
     rows = scores.select("doc_id", F.col("current_str_strip.sentiment").alias("base_sentiment"), F.inline(F.array(*[
         F.struct(F.lit(k).alias("variant"), F.col(f"{k}.sentiment").alias("sentiment"), F.col(f"{k}.n_features").alias("n_features")) for k in shapes])))
