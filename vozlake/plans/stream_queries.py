@@ -70,6 +70,16 @@ def stream_rate_lookback(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path + "/data").select("user_id", F.unix_micros("ts").alias("at_us"), "requests")
 
 
+@query("stream_rate_ring", """SELECT user_id, epoch_us(ts) AS at_us, epoch_us(before + INTERVAL 24 HOUR) AS until_us FROM
+    (SELECT user_id, ts, lag(ts, 2) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) WHERE before > ts - INTERVAL 24 HOUR""")
+def stream_rate_ring(t: Tables) -> DataFrame:
+    """Every event that comes when two others of its user are less than a day old, also the last ones."""
+    events = jobs.read_stream(t.spark, t.folder, _EVENTS, "events.parquet").select("user_id", "ts")
+    path = scratch(t.spark, "stream-ring")
+    jobs.finish(jobs.append_keyed(jobs.rate_ring(events, "user_id", "ts", 2, 86_400), path + "/data", path + "/checkpoint"))
+    return t.spark.read.parquet(path + "/data").select("user_id", F.unix_micros("ts").alias("at_us"), F.unix_micros("until").alias("until_us"))
+
+
 @query("stream_scoring", o.with_ctes("SELECT doc_id, sentiment, confidence, reasons <> '' AS should_review FROM routed"), scores="confidence")
 def stream_scoring(t: Tables) -> DataFrame:
     arriving = jobs.read_stream(t.spark, t.folder, _DOCUMENTS, "documents.parquet").select("doc_id", "text")

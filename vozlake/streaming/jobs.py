@@ -6,10 +6,12 @@ the same code serves a schedule or, with another trigger, a standing query.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from vozlake import constants as C
 from vozlake.operators import scoring
@@ -96,6 +98,70 @@ def rate_lookback(stream: DataFrame, key: str, ts: str, limit: int = C.PACING_RE
     return found.select(key, F.inline(counted))
 
 
+class _Ring(StatefulProcessor):
+    """Per key the last ``limit`` request times; a timer forgets a key that has been quiet for a whole look-back."""
+
+    def __init__(self, limit: int, span: int) -> None:
+        self.limit, self.span = limit, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("times", "times array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = np.array(self.state.get()[0] if self.state.exists() else [], dtype=np.int64)
+        # the second column; derived ones come without their names
+        come = np.concatenate([p.iloc[:, 1].to_numpy(dtype=np.int64) for p in rows])
+        times = np.concatenate([held, come])
+        order = np.argsort(times, kind="stable")
+        times, new = times[order], order >= len(held)
+        before = np.full(len(times), np.iinfo(np.int64).min)
+        before[self.limit:] = times[:-self.limit]
+        over = new & (before > times - self.span)
+        if over.any():
+            yield pd.DataFrame({"key": [key[0]] * int(over.sum()), "at": times[over], "until": before[over] + self.span})
+        self.state.update((times[-self.limit:].tolist(),))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(times[-1] + self.span) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def rate_ring(stream: DataFrame, key: str, ts: str, limit: int = C.PACING_REQUESTS,
+              seconds: float = C.PACING_WINDOW_SECONDS + C.PACING_MARGIN_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """Requests that come when ``limit`` others of their key are less than ``seconds`` old, and when the first of these expires.
+
+    Requests are judged as they arrive, each micro-batch in order of time, also those after the last watermark. The state of a key is
+    ``limit`` times at any rate. A request that arrives after a later one of an earlier micro-batch is judged by the times still held;
+    beyond the watermark it is dropped. A task holds eight bytes for each request of a key in one micro-batch.
+    """
+    span = round(seconds * 1_000_000)
+    timed = stream.filter(F.col(key).isNotNull()).withWatermark(ts, delay).select(F.col(key).alias("_key"), F.unix_micros(ts).alias("_us"), ts)
+    kind = stream.schema[key].dataType.simpleString()
+    found = timed.groupBy("_key").transformWithStateInPandas(
+        _Ring(limit, span), f"key {kind}, at long, until long", "Append", "EventTime")
+    return found.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts), F.timestamp_micros("until").alias("until"))
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def append_keyed(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """:func:`append` for jobs with keyed state, which need the RocksDB store; a query keeps the settings it was started with."""
+    conf = stream.sparkSession.conf
+    before = conf.get(_STORE)
+    conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return append(stream, path, checkpoint)
+    finally:
+        conf.set(_STORE, before)
+
+
 def score_stream(stream: DataFrame, model: LinearModel | None = None, text_col: str = "text") -> DataFrame:
     """Stateless scoring with the very same code as the batch job."""
     return scoring.score(scoring.prepare(stream, text_col), model, text_col)
