@@ -1,6 +1,6 @@
 """Ranked lexical search: an inverted index in shards of documents, searched by MaxScore with bounds of term pairs.
 
-Index. A shard is some 16 MB of documents; each of its terms has one row with the documents that hold it and how often. Queries come in
+Index. A shard is some 8 MB of documents; each of its terms has one row with the documents that hold it and how often. Queries come in
 blocks of bounded size. For a block, its terms' rows are brought together by shard (one row each), with impacts, which are exact
 integers. Neighbouring terms of a query, in order of their number of documents, make pairs (terms that many documents have stay alone). The
 intersection list of each pair is computed once per shard: the documents that hold both, and the joint maximum impact of a document.
@@ -34,8 +34,8 @@ from vozlake.durable import cut
 from vozlake.llm import textscan as ts
 
 TOP = 10
-#: text of a shard, unless one document has more
-SHARD_BYTES = 16 << 20
+#: text of a shard, unless one document has more; a worker holds a shard several times
+SHARD_BYTES = 8 << 20
 #: text of the queries of a block, unless one has more
 BLOCK_BYTES = 1 << 20
 #: a term that more than one in so many documents hold is in no pair
