@@ -48,6 +48,13 @@ def test_nfkc(spark):
     assert one(spark, "ﬁn １２ ½", tx.nfkc_clean(F.col("text"))) == "fin 12 1⁄2"
 
 
+def test_contrast(spark):
+    assert one(spark, "Buena atención, PERO llegó tarde", tx.contrast_flag(F.col("text")))
+    assert one(spark, "good; however late", tx.contrast_flag(F.col("text")))
+    assert not one(spark, "pero bueno", tx.contrast_flag(F.col("text")))
+    assert not one(spark, "el perrero tarda", tx.contrast_flag(F.col("text")))
+
+
 def test_negation(spark):
     assert one(spark, "Nunca llegó", tx.negation_flag(F.col("text")))
     assert one(spark, "JAMÁS", tx.negation_flag(F.col("text")))

@@ -26,6 +26,9 @@ LONG_ID_PATTERN = r"\b\d{6,}\b"
 # --- FIXED VALUES: Spanish negation words ----------------------------------
 NEGATION_WORDS = ("no", "nunca", "nadie", "sin", "tampoco", "ni", "jamas", "jamás")
 
+#: words that set one part of a comment against another
+CONTRAST_WORDS = ("pero", "aunque", "sin embargo", "no obstante", "but", "although", "however", "aber", "obwohl", "mais", "cependant")
+
 # --- FIXED VALUES: stop words of the topic report --------------------------
 TOPIC_STOP_WORDS = tuple(
     """

@@ -146,6 +146,12 @@ def sentence_parts(col: Column, min_words: int = 4) -> Column:
     )
 
 
+def contrast_flag(col: Column, words: Iterable[str] = C.CONTRAST_WORDS) -> Column:
+    """A word of contrast inside the comment: with a word before it and one after it."""
+    body = "|".join(words)
+    return col.rlike(rf"(?iu){WORD_CLASS}[^\p{{L}}\p{{N}}_]+(?:{body})[^\p{{L}}\p{{N}}_]+{WORD_CLASS}")
+
+
 def negation_flag(col: Column, words: Iterable[str] = C.NEGATION_WORDS) -> Column:
     body = "|".join(words)
     return col.rlike(rf"(?iu)(?<!{WORD_CLASS})(?:{body})(?!{WORD_CLASS})")

@@ -125,18 +125,18 @@ def confidence_correct_vs_error(t: Tables) -> DataFrame:
     return ev.confidence_by_outcome(cases(t))
 
 
-o.define("flagged", f"""SELECT v.*, {o.negation('v.text')} AS is_negation, b.n <= 4 AS is_short FROM evaluated v JOIN blank_split b USING (doc_id)""")
+o.define("flagged", f"""SELECT v.*, {o.negation('v.text')} AS is_negation, {o.contrast('v.text')} AS is_contrast, b.n <= 4 AS is_short FROM evaluated v JOIN blank_split b USING (doc_id)""")
 _SUBSET = " UNION ALL ".join(f"""SELECT '{name}' AS subset, count(*) AS cases, count(*) FILTER (is_correct) AS correct, count(*) FILTER (NOT is_correct) AS errors,
     round(avg(is_correct::INT), 6) AS accuracy, count(*) FILTER (sentiment = 'Negativo') AS predicted_negative, count(*) FILTER (sentiment = 'Neutro') AS predicted_neutral,
     count(*) FILTER (sentiment = 'Positivo') AS predicted_positive FROM flagged WHERE {test}""" for name, test in (
-    ("factual_neutral", "expected = 'Neutro'"), ("negation", "is_negation"), ("short", "is_short"), ("none", "false")))
+    ("factual_neutral", "expected = 'Neutro'"), ("negation", "is_negation"), ("short", "is_short"), ("contrast", "is_contrast")))
 
 
 def flagged_cases(t: Tables) -> DataFrame:
     """Text flags are taken beside the score, so the join carries no text."""
     text = F.col("text")
     flagged = scoring.score(referenced(t)).select(
-        "doc_id", "source", "lang", *scoring.SCORE_COLUMNS, tx.negation_flag(text).alias("is_negation"),
+        "doc_id", "source", "lang", *scoring.SCORE_COLUMNS, tx.negation_flag(text).alias("is_negation"), tx.contrast_flag(text).alias("is_contrast"),
         (tx.token_count(text) <= C.SHORT_TEXT_TOKENS).alias("is_short"))
     return ev.details(flagged, t.derived("truth"))
 
@@ -145,7 +145,7 @@ def flagged_cases(t: Tables) -> DataFrame:
 def subset_accuracy(t: Tables) -> DataFrame:
     return ev.subset_accuracy(flagged_cases(t), {
         "factual_neutral": F.col("expected") == C.NEUTRAL, "negation": F.col("is_negation"),
-        "short": F.col("is_short"), "none": F.lit(False)})
+        "short": F.col("is_short"), "contrast": F.col("is_contrast")})
 
 
 @query("class_label_distribution", o.with_ctes("SELECT name AS class, support::BIGINT AS expected_count, chosen::BIGINT AS predicted_count FROM prf0"))

@@ -39,6 +39,10 @@ def negation(expr: str) -> str:
     return f"regexp_matches(lower({expr}), '(^|{NW})({'|'.join(C.NEGATION_WORDS)})($|{NW})')"
 
 
+def contrast(expr: str) -> str:
+    return f"regexp_matches(lower({expr}), '{W}{NW}+({'|'.join(C.CONTRAST_WORDS)}){NW}+{W}')"
+
+
 _COEF = ",\n  ".join(f"({n}, '{f}', {i}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for n, (f, i, a, b, c) in enumerate(lexicon.STARTER_MODEL))
 _PROFILE = ", ".join(
     f"('{lang}', '{w}')" for lang, text in sorted(lexicon.STARTER_PROFILES.items()) for w in text.split()
