@@ -27,7 +27,7 @@ def sentiment_metrics(scored: DataFrame, group_cols: Sequence[str] = ()) -> Data
         *[F.coalesce(F.sum(F.when(F.col("sentiment") == c, n)), F.lit(0)).alias(f"{s}_count") for c, s in C.CLASS_SLUGS.items()],
     )
     # a row per batch, stored so that its real size decides the joins
-    found = quantiles.exact_quantiles(hist, keys, F.col("confidence"), {"_p75": 75}, weight=n)
+    found = quantiles.exact_quantiles(hist, keys, F.col("confidence"), {"_p75": 75}, weight=n, stored=True)
     limits = cut(found.select(*keys, "_p75", (F.col("total") / F.col("n")).alias("_mean")), "limits")
     strong = (F.col("sentiment") == C.NEGATIVE) & (F.col("confidence") >= F.col("_p75"))
     critical = ranking.join_groups(hist, limits.select(*keys, "_p75"), keys).groupBy(*keys).agg(

@@ -43,27 +43,23 @@ def select_topics(counts: DataFrame, group_cols: Sequence[str] = (),
     """Best topics per group without unigrams covered by an equally frequent bigram.
 
     A unigram is passed over exactly when some bigram holding it has the same
-    frequency. Bigrams are never passed over, so the frequency of the
-    ``max_topics``-th bigram bounds what can be selected: only terms at or above
-    it take part in the cover test.
+    frequency. Bigrams are never passed over and come before unigrams of their
+    frequency, so with k = ``max_topics`` only unigrams more frequent than the k-th
+    bigram can be selected. Bigrams that cover those are among the first k and hold two
+    words each, so at most 2k unigrams are passed over before the k-th selected one:
+    the first k bigrams and 3k unigrams of a group decide it. Spark keeps those of each
+    partition before it moves them; no other count leaves its partition.
     """
     groups = list(group_cols)
-    bigrams = _best(counts.filter(F.col("n_words") == 2), groups, max_topics)
-    floor = bigrams.groupBy(*groups).agg(
-        F.when(F.count(F.lit(1)) >= max_topics, F.min("frequency")).alias("_floor")
-    )
-    if groups:
-        bounded = ranking.join_groups(counts, floor, groups, "left")
-    else:
-        bounded = counts.withColumn("_floor", floor.scalar())
-    contenders = bounded.filter(F.col("frequency") >= F.coalesce("_floor", F.lit(0))).drop("_floor")
+    leading = ranking.first_per_group(counts, [*groups, "n_words"], [F.col("frequency").desc(), F.col("topic").asc()], 3 * max_topics, "_place")
+    contenders = leading.filter((F.col("n_words") == 1) | (F.col("_place") <= max_topics)).drop("_place")
     words = F.when(F.col("n_words") == 2, F.concat(F.array("topic"), F.split("topic", " "))).otherwise(F.array("topic"))
-    covered = (
+    uncovered = (
         contenders.select(*groups, "topic", "frequency", "n_words", F.explode(words).alias("word"))
         .groupBy(*groups, "word")
         .agg(
             F.max(F.when(F.col("word") == F.col("topic"), F.col("frequency"))).alias("frequency"),
-            F.max("n_words").alias("_spans"),
+            # a bigram covers only at its own frequency, which is the unigram's at most
             F.max(F.when(F.col("word") != F.col("topic"), F.col("frequency"))).alias("_cover"),
         )
         .filter(F.col("frequency").isNotNull() & ~F.col("frequency").eqNullSafe(F.col("_cover")))
@@ -72,14 +68,9 @@ def select_topics(counts: DataFrame, group_cols: Sequence[str] = (),
             F.when(F.col("word").contains(" "), 2).otherwise(1).alias("n_words"),
         )
     )
-    return _best(covered, groups, max_topics)
-
-
-def _best(terms_: DataFrame, groups: list[str], count: int) -> DataFrame:
-    """Leading terms with their rank; without groups a top-k feeds the ranking window."""
     if not groups:
-        terms_ = terms_.orderBy(*_topic_order()).limit(count)
-    return ranking.first_per_group(terms_, groups, _topic_order(), count)
+        uncovered = uncovered.orderBy(*_topic_order()).limit(max_topics)
+    return ranking.first_per_group(uncovered, groups, _topic_order(), max_topics)
 
 
 def pareto(topics: DataFrame, group_cols: Sequence[str] = (), threshold: float = C.PARETO_THRESHOLD,
