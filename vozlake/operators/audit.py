@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -82,3 +83,14 @@ def table_digest(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str
     hashed = df.select(*group_cols, F.sha2(F.concat(*marked), 256).alias("_sha"))
     parts = [F.sum(F.conv(F.substring("_sha", k, 16), 16, 10).cast("decimal(20,0)")).cast("string") for k in (1, 17)]
     return hashed.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", *parts).alias("digest"))
+
+
+def compare_digests(recorded: DataFrame, current: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Batches of two :func:`table_digest` tables: unchanged, changed, added or missing, with the row count of each."""
+    was = recorded.select(*[F.col(c).alias(f"_w_{c}") for c in group_cols], F.col("rows").alias("recorded_rows"), F.col("digest").alias("_was"))
+    meet = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in group_cols], F.lit(True))
+    status = (
+        F.when(F.col("_was").isNull(), "added").when(F.col("digest").isNull(), "missing")
+        .when((F.col("recorded_rows") == F.col("rows")) & (F.col("_was") == F.col("digest")), "unchanged").otherwise("changed"))
+    return current.join(was, meet, "full").select(
+        *[F.coalesce(c, f"_w_{c}").alias(c) for c in group_cols], "recorded_rows", "rows", status.alias("status"))

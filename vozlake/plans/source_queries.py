@@ -90,6 +90,22 @@ def frozen_manifest(t: Tables) -> DataFrame:
     return audit.table_digest(t.documents, ["doc_id", "lang", "source", "text"], ["source"])
 
 
+_CHANGED = "CASE WHEN source = 'src3' AND doc_id % 2 = 0 THEN concat(text, '!') ELSE text END"
+
+
+@query("frozen_manifest_check", f"""WITH was AS (SELECT source, count(*) AS rows, {_DIGEST} AS digest FROM documents WHERE source IS DISTINCT FROM 'src5' GROUP BY 1),
+    now AS (SELECT source, count(*) AS rows, {_DIGEST} AS digest FROM (SELECT * REPLACE ({_CHANGED} AS text) FROM documents WHERE source IS DISTINCT FROM 'src4') GROUP BY 1)
+    SELECT coalesce(w.source, n.source) AS source, w.rows AS recorded_rows, n.rows AS rows, CASE WHEN w.rows IS NULL THEN 'added' WHEN n.rows IS NULL THEN 'missing'
+      WHEN w.rows = n.rows AND w.digest = n.digest THEN 'unchanged' ELSE 'changed' END AS status FROM was w FULL JOIN now n ON w.source IS NOT DISTINCT FROM n.source""")
+def frozen_manifest_check(t: Tables) -> DataFrame:
+    """A recorded manifest against a table in which one batch changed, one is new and one is gone."""
+    columns = ["doc_id", "lang", "source", "text"]
+    path = scratch(t.spark, "manifest")
+    audit.table_digest(t.documents.filter("NOT source <=> 'src5'"), columns, ["source"]).write.parquet(path)
+    now = t.documents.filter("NOT source <=> 'src4'").withColumn("text", F.expr(_CHANGED))
+    return audit.compare_digests(t.spark.read.parquet(path), audit.table_digest(now, columns, ["source"]), ["source"])
+
+
 @query("manifest_distribution", o.with_ctes("SELECT lang, n <= 4 AS is_short, count(*) AS n, max(CASE WHEN n <= 4 THEN n END)::INTEGER AS longest_short FROM blank_split GROUP BY 1, 2".replace("count(*) AS n,", "count(*) AS cases,")))
 def manifest_distribution(t: Tables) -> DataFrame:
     from vozlake.plans.text_queries import comments
@@ -132,14 +148,14 @@ def metrics_export(t: Tables) -> DataFrame:
 
 @query("journal_append", o.with_ctes("SELECT event_id, case_id, architecture, state, latency_ms FROM request_log WHERE event_id % 9 <> 0"))
 def journal_append(t: Tables) -> DataFrame:
-    """Two appends; records without a required field are rejected."""
+    """Two runs, the first one repeated, which adds nothing; records without a required field are rejected."""
     path = scratch(t.spark, "journal")
     fields = ["event_id", "case_id", "architecture", "state", "latency_ms"]
     gap = F.when(F.col("event_id") % 9 != 0, F.col("latency_ms")).alias("latency_ms")
     lines = t.derived("request_log").select("event_id", F.to_json(F.struct(*fields[:-1], gap)).alias("raw"))
-    for part in (0, 1):
-        journal.append_records(lines.filter(F.col("event_id") % 2 == part), path, fields)
-    return journal.read_records(t.spark, path, _LOG)
+    for part in (0, 1, 0):
+        journal.append_records(lines.filter(F.col("event_id") % 2 == part), path, fields, run=f"part{part}")
+    return journal.read_runs(t.spark, path, _LOG)
 
 
 @query("cost_log_append", o.with_ctes("SELECT case_id, architecture, call_type, round(cost_usd, 9) AS cost_usd, latency_ms, state, error_code FROM rl"))
@@ -147,7 +163,7 @@ def cost_log_append(t: Tables) -> DataFrame:
     path = scratch(t.spark, "costs")
     rows = costs.priced(t.derived("request_log")).withColumns({
         "total_tokens": F.col("input_tokens") + F.col("output_tokens"), "started_at": F.col("ts"), "completed_at": F.col("ts")})
-    for side in ("A", "B"):
-        journal.append_costs(rows.filter(F.col("architecture") == side), path)
-    return t.spark.read.parquet(path).select(
+    for side in ("A", "B", "A"):
+        journal.append_costs(rows.filter(F.col("architecture") == side), path, run=side)
+    return journal.read_costs(t.spark, path).select(
         "case_id", "architecture", "call_type", F.round("cost_usd", 9).alias("cost_usd"), "latency_ms", "state", "error_code")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vozlake.durable import scratch
-from vozlake.operators import costs, routing
+from vozlake.operators import routing
+from vozlake.operators.scoring import LinearModel
 from vozlake.plans import oracle as o
+from vozlake.plans.model_queries import fitted
 from vozlake.plans.registry import Tables, query
 from vozlake.streaming import jobs
 
@@ -45,7 +47,7 @@ def stream_latest_state(t: Tables) -> DataFrame:
     events = jobs.read_stream(t.spark, t.folder, _EVENTS, "events.parquet").select("user_id", "event_type", "event_id", "value")
     path = scratch(t.spark, "stream-latest")
     jobs.finish(jobs.latest_state(events, ["user_id", "event_type"], "event_id", path + "/data", path + "/checkpoint"))
-    return costs.latest_records(t.spark.read.parquet(path + "/data").drop("batch_id"), ["user_id", "event_type"], "event_id")
+    return jobs.read_latest(t.spark, path + "/data", ["user_id", "event_type"], "event_id")
 
 
 @query("stream_rate", """WITH w AS (SELECT user_id, unnest([time_bucket(INTERVAL 30 MINUTES, ts), time_bucket(INTERVAL 30 MINUTES, ts) - INTERVAL 30 MINUTES]) AS s FROM events)
@@ -87,3 +89,17 @@ def stream_scoring(t: Tables) -> DataFrame:
     path = scratch(t.spark, "stream-scoring")
     jobs.finish(jobs.append(scored, path + "/data", path + "/checkpoint"))
     return t.spark.read.parquet(path + "/data")
+
+
+@query("stream_scoring_versions", o.with_ctes("""SELECT doc_id, 1::BIGINT AS model_version, sentiment, confidence, probability_negativo FROM scored WHERE doc_id % 2 = 0
+    UNION ALL SELECT doc_id, 2, sentiment, confidence, probability_negativo FROM rs WHERE doc_id % 2 = 1"""), scores="confidence probability_negativo")
+def stream_scoring_versions(t: Tables) -> DataFrame:
+    """All comments in two arrivals; the model is replaced between them."""
+    path = scratch(t.spark, "stream-versions")
+    tables = {1: LinearModel.starter().to_table(t.spark), 2: fitted(t)}
+    for version, table in tables.items():
+        jobs.publish_model(table, path + "/models", version)
+        t.documents.filter(F.col("doc_id") % 2 == version - 1).select("doc_id", "text").write.mode("append").parquet(path + "/arriving")
+        arriving = jobs.read_stream(t.spark, path + "/arriving", "doc_id bigint, text string", "*.parquet")
+        jobs.finish(jobs.score_versions(arriving, path + "/models", path + "/scored", path + "/checkpoint"))
+    return jobs.read_scored(t.spark, path + "/scored").select("doc_id", "model_version", "sentiment", "confidence", "probability_negativo")

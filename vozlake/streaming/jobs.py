@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from vozlake import constants as C
-from vozlake.operators import scoring
+from vozlake.operators import indexed, scoring
 from vozlake.operators.scoring import LinearModel
+from vozlake.sources import folders
 
 
 def read_stream(spark: SparkSession, folder: str, schema: str, pattern: str) -> DataFrame:
@@ -48,19 +49,60 @@ def quarantine(stream: DataFrame, required: Sequence[str]) -> DataFrame:
     return stream.withColumn("missing", F.array_join(missing_fields(required), "|")).filter(F.col("missing") != "")
 
 
-def latest_state(stream: DataFrame, keys: Sequence[str], sequence: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Last record per key, kept in the state store and written per batch.
+def _last(records: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
+    """Record of the greatest sequence per key; of equal ones the same one each time."""
+    rest = [c for c in records.columns if c not in keys]
+    order = F.struct(F.col(sequence), F.xxhash64(*rest))
+    return records.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last")).select(*keys, "_last.*")
 
-    A batch writes its own folder and overwrites it when repeated after a crash,
-    so readers take the newest row per key and see each change once.
-    """
-    rest = [c for c in stream.columns if c not in keys]
-    last = stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(sequence)).alias("_last")).select(*keys, "_last.*")
 
+def latest_state(stream: DataFrame, keys: Sequence[str], sequence: str, path: str, checkpoint: str, every: int = 10,
+                 ts: str | None = None, keep: str | None = None) -> StreamingQuery:
+    """Last record per key; :func:`read_latest` gives the table.
+
+    A batch writes the last record of its own keys. Every ``every`` batches these and the last snapshot become a new snapshot, and
+    what the snapshot before that replaced is removed, so a reader takes one snapshot and fewer than ``2 * every`` batches for ever
+    and no state is held between batches. A batch that is repeated after a crash replaces its own folders. With ``ts`` and ``keep``
+    (an interval) records older than the newest by ``keep`` expire.
+    """
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+        spark = batch.sparkSession
+        folders.writer(_last(batch, keys, sequence)).parquet(folders.child(path, "batch", number))
+        if number % every == every - 1:
+            bases = [n for n in _numbers(spark, path, "snapshot") if n < number]
+            folders.writer(_merged(spark, path, keys, sequence, number, ts, keep)).parquet(folders.child(path, "snapshot", number))
+            for kind, names, last in (("batch", _numbers(spark, path, "batch"), max(bases, default=-1)), ("snapshot", bases, max(bases, default=0) - 1)):
+                for n in names:
+                    if n <= last:
+                        folders.drop(spark, folders.child(path, kind, n))
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return last.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    return sorted(int(n) for n in folders.complete(spark, path, kind))
+
+
+def _merged(spark: SparkSession, path: str, keys: Sequence[str], sequence: str, upto: int | None, ts: str | None, keep: str | None) -> DataFrame:
+    bases = [n for n in _numbers(spark, path, "snapshot") if upto is None or n < upto]
+    base = bases[-1] if bases else -1
+    batches = [n for n in _numbers(spark, path, "batch") if n > base and (upto is None or n <= upto)]
+    found = [folders.child(path, "batch", n) for n in batches] + ([folders.child(path, "snapshot", base)] if bases else [])
+    if not found:
+        raise ValueError(f"no complete batch below {path}")
+    last = _last(spark.read.parquet(*found), keys, sequence)
+    if ts is None or keep is None:
+        return last
+    newest = last.agg(F.max(ts).alias("_newest"))
+    return last.withColumn("_newest", newest.scalar()).filter(F.col(ts) > F.col("_newest") - F.expr(f"INTERVAL {keep}")).drop("_newest")
+
+
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str], sequence: str, ts: str | None = None, keep: str | None = None) -> DataFrame:
+    """The table of :func:`latest_state`: the same for any order and repetition of batches.
+
+    With an expiry this holds where ``ts`` does not fall while a key's sequence grows.
+    """
+    return _merged(spark, path, keys, sequence, None, ts, keep)
 
 
 def rate_alerts(stream: DataFrame, key: str, ts: str, limit: int = C.PACING_REQUESTS,
@@ -167,6 +209,43 @@ def score_stream(stream: DataFrame, model: LinearModel | None = None, text_col:
     return scoring.score(scoring.prepare(stream, text_col), model, text_col)
 
 
+def publish_model(table: DataFrame, models: str, version: int) -> None:
+    """Store a coefficient table under a new version; a version is never replaced once complete."""
+    folder = folders.child(models, "version", version)
+    if folders.is_complete(table.sparkSession, folder):
+        raise ValueError(f"version {version} is published")
+    folders.writer(table).parquet(folder)
+
+
+def score_versions(stream: DataFrame, models: str, path: str, checkpoint: str, text_col: str = "text") -> StreamingQuery:
+    """Standing scoring with a model that changes: each micro-batch by the newest version when it starts.
+
+    The version of a batch is stored before it is scored, so a batch that is repeated after a crash gets the same model, whatever
+    has been published since. :func:`read_scored` gives the rows with their ``model_version``.
+    """
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        choice = folders.child(path, "choice", number)
+        if not folders.is_complete(spark, choice):
+            published = _numbers(spark, models, "version")
+            if not published:
+                raise ValueError(f"no model below {models}")
+            folders.writer(spark.createDataFrame([(published[-1],)], "version long")).parquet(choice)
+        version = spark.read.parquet(choice).first()[0]
+        table = spark.read.parquet(folders.child(models, "version", version))
+        scored = indexed.score(scoring.prepare(batch, text_col), table, text_col)
+        folders.writer(scored.withColumn("model_version", F.lit(version).cast("long"))).parquet(folders.child(path, "scored", number))
+
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_scored(spark: SparkSession, path: str) -> DataFrame:
+    found = [folders.child(path, "scored", n) for n in _numbers(spark, path, "scored")]
+    if not found:
+        raise ValueError(f"no complete batch below {path}")
+    return spark.read.parquet(*found)
+
+
 def on_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, condition: Column | None = None) -> StreamingQuery:
     """Hand arriving rows to a batch job, for example a hybrid review with its own budget."""
     rows = stream if condition is None else stream.filter(condition)
