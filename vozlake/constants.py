@@ -162,6 +162,8 @@ EVIDENCE_NEEDED_IDS = (
     "semantic_category_validation", "temporal_baseline", "business_objectives",
 )
 # (kind, id, fact that decides, rule) - rule "always", "positive" or "zero"
+CAPABILITIES = ("semantic_categories", "unique_comment_union_by_terms", "time_comparison", "business_targets", "business_severity")
+
 ELIGIBILITY_RULES = (
     ("interpretation", "confidence_requires_independent_evaluation", None, "always"),
     ("interpretation", "review_negative_distribution", "sentiment.negative.count", "positive"),
@@ -170,7 +172,7 @@ ELIGIBILITY_RULES = (
      "technical.high_confidence_negative.count", "positive"),
     ("recommendation", "independent_model_evaluation", None, "always"),
     ("recommendation", "define_business_objectives", None, "always"),
-    ("recommendation", "collect_temporal_baseline", None, "always"),
+    ("recommendation", "collect_temporal_baseline", "time_comparison", "absent"),
     ("recommendation", "review_negative_sample", "sentiment.negative.count", "positive"),
     ("recommendation", "investigate_causes_with_evidence", "sentiment.negative.count", "positive"),
     ("recommendation", "inspect_ranked_ngrams", "lexical.selected_frequency_sum", "positive"),
@@ -181,9 +183,9 @@ ELIGIBILITY_RULES = (
      "technical.high_confidence_negative.count", "positive"),
     ("insufficient", "no_negative_comments", "sentiment.negative.count", "zero"),
     ("insufficient", "no_lexical_terms", "lexical.selected_frequency_sum", "zero"),
-    ("insufficient", "no_semantic_categories", None, "always"),
-    ("insufficient", "no_time_comparison", None, "always"),
-    ("insufficient", "no_business_targets", None, "always"),
+    ("insufficient", "no_semantic_categories", "semantic_categories", "absent"),
+    ("insufficient", "no_time_comparison", "time_comparison", "absent"),
+    ("insufficient", "no_business_targets", "business_targets", "absent"),
 )
 
 # Decimals of probabilities in the final rows of a registered query. Scores keep their

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vozlake import constants as C
+from vozlake.durable import cut
 from vozlake.functions import text as tx
 from vozlake.operators import joins
 
@@ -166,6 +167,20 @@ def validate(df: DataFrame, mode: str, key: str = "row_number") -> DataFrame:
     return found
 
 
+def check_pair(first: DataFrame, second: DataFrame, key: str = "row_number") -> DataFrame:
+    """(step, subject, problem): findings of either blind packet, or, once both are valid, how their cases differ.
+
+    Two packets are compared only when neither has a finding, as a repeated or unreadable case has no one counterpart.
+    """
+    named = [validate(p, "blind", key).select(F.lit(f"packet_{n}").alias("step"), "subject", F.col("rule").alias("problem"))
+             for n, p in (("a", first), ("b", second))]
+    findings = cut(named[0].unionByName(named[1]), "findings")
+    if not findings.isEmpty():
+        return findings
+    compared = joins.compare_packets(first, second)
+    return compared.select(F.lit("comparison").alias("step"), F.col("case_id").alias("subject"), F.concat_ws(":", "problem", "fields").alias("problem"))
+
+
 # --- agreement ----------------------------------------------------------------------------
 
 def label_pairs(first: DataFrame, second: DataFrame, key: str = "case_id", label: str = "annotator_label") -> DataFrame:

@@ -3,6 +3,8 @@
 Each stores its scored rows once (``durable.cut``): the budget needs one look at
 all requests and the verdicts a second one, and scoring is the costly step. The
 caller decides which columns ride along; leave the text out unless it is needed.
+With ``refuse_long`` a text above the length limit is not judged and takes nothing
+from the budget; ``scoring.set_aside`` lists it with the reason.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ from vozlake.operators.scoring import LanguageProfiles, LinearModel
 
 def hybrid_batch(comments: DataFrame, responses: DataFrame, key: str = "doc_id", group_cols: Sequence[str] = (),
                  cap: int = C.MAX_REVIEWS_PER_BATCH, router: Router = HYBRID_ROUTER, model: LinearModel | None = None,
-                 provider_available: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+                 provider_available: bool = True, keep: Sequence[str] = (), refuse_long: bool = False) -> DataFrame:
     """Score, route, grant, attach, consolidate."""
-    scored = scoring.score(scoring.prepare(comments), model)
+    scored = scoring.score(scoring.prepare(comments, refuse_long=refuse_long), model)
     kept = [key, *[c for c in (*group_cols, *keep) if c != key]]
     stored = cut(routing.route(scored.select(*dict.fromkeys(kept), *scoring.SCORE_COLUMNS), router))
     if provider_available:
@@ -44,7 +46,7 @@ def multilingual_batch(comments: DataFrame, responses: DataFrame, key: str = "do
                        cap: int = C.MAX_REVIEWS_PER_BATCH, enabled: bool = True, detector_available: bool = True,
                        translator_available: bool = True, reviewer_available: bool = True, hybrid_enabled: bool = True, router: Router = HYBRID_ROUTER,
                        model: LinearModel | None = None, profiles: LanguageProfiles | None = None,
-                       keep: Sequence[str] = ()) -> DataFrame:
+                       keep: Sequence[str] = (), refuse_long: bool = False) -> DataFrame:
     """Detect, translate, score, review under one shared budget.
 
     Only the first ``cap`` rows with demand in a batch can receive a call, and
@@ -57,7 +59,7 @@ def multilingual_batch(comments: DataFrame, responses: DataFrame, key: str = "do
     router = router if hybrid_enabled else Router(confidence_threshold=None)
     kept = list(dict.fromkeys([key, *groups, *keep]))
     languages = ["detected_language", "language_status"]
-    prepared = scoring.prepare(comments)
+    prepared = scoring.prepare(comments, refuse_long=refuse_long)
     seen = scoring.detect_language(prepared, profiles) if enabled and detector_available else \
         prepared.withColumns({c: F.lit(None).cast("string") for c in languages})
     scored = scoring.score(seen, model)
@@ -120,12 +122,12 @@ def multilingual_summary(results: DataFrame, cap: int = C.MAX_REVIEWS_PER_BATCH,
 def direct_batch(comments: DataFrame, responses: DataFrame, key: str = "doc_id", group_cols: Sequence[str] = (),
                  cap: int = C.MAX_REVIEWS_PER_BATCH, provider_available: bool = True, hybrid_enabled: bool = False,
                  hybrid_available: bool = True, router: Router = HYBRID_ROUTER, model: LinearModel | None = None,
-                 profiles: LanguageProfiles | None = None, keep: Sequence[str] = ()) -> DataFrame:
+                 profiles: LanguageProfiles | None = None, keep: Sequence[str] = (), refuse_long: bool = False) -> DataFrame:
     """One call per row at most: direct review of short or foreign text, else local or hybrid."""
     groups = list(group_cols)
     router = router if hybrid_enabled else Router(confidence_threshold=None)
     kept = list(dict.fromkeys([key, *groups, *keep]))
-    scored = scoring.score(scoring.detect_language(scoring.prepare(comments), profiles), model)
+    scored = scoring.score(scoring.detect_language(scoring.prepare(comments, refuse_long=refuse_long), profiles), model)
     short, direct = routing.direct_flags(F.col("text"))
     base = routing.route(scored.withColumn("_short", short).withColumn("_direct", direct).select(
         *kept, "detected_language", "language_status", "_short", "_direct", *scoring.SCORE_COLUMNS), router)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -108,7 +108,8 @@ def lineage(registry: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     expected = F.col("_n") * scale / F.nullif(F.col("_d"), F.lit(0.0))
     return joined.select(
         *groups, "fact_id", (F.coalesce("_has_n", F.lit(False)) & F.coalesce("_has_d", F.lit(False))).alias("links_exist"),
-        F.coalesce(F.abs(F.col("value_num") - expected) < 1e-5, F.col("value_num").isNull() | (F.col("_d") == 0)).alias("value_follows"))
+        # a value with a missing link follows from nothing
+        F.coalesce(F.abs(F.col("value_num") - expected) < 1e-5, F.col("value_num").isNull() | (F.col("_d") == 0), F.lit(False)).alias("value_follows"))
 
 
 def deciding_counts(registry: DataFrame, group_cols: Sequence[str]) -> DataFrame:
@@ -116,11 +117,29 @@ def deciding_counts(registry: DataFrame, group_cols: Sequence[str]) -> DataFrame
         F.max(F.when(F.col("fact_id") == f, F.col("value_num"))).alias(f"_f{k}") for k, f in enumerate(COUNT_FACTS)])
 
 
-def eligible(registry: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """(batch, kind, id) of the catalog entries the facts allow."""
+def capability_flags(available: Mapping[str, bool] | None = None) -> dict[str, bool]:
+    """What a report can rely on beyond the facts; nothing unless stated."""
+    unknown = set(available or {}) - set(C.CAPABILITIES)
+    if unknown:
+        raise ValueError(f"unknown capabilities: {sorted(unknown)}")
+    return {c: bool((available or {}).get(c, False)) for c in C.CAPABILITIES}
+
+
+def capabilities(registry: DataFrame, group_cols: Sequence[str], available: Mapping[str, bool] | None = None) -> DataFrame:
+    """(batch, capability, available): five flags per batch."""
+    flags = [F.struct(F.lit(c).alias("capability"), F.lit(on).alias("available")) for c, on in capability_flags(available).items()]
+    return registry.select(*group_cols).distinct().select(*group_cols, F.inline(F.array(*flags)))
+
+
+def eligible(registry: DataFrame, group_cols: Sequence[str], available: Mapping[str, bool] | None = None) -> DataFrame:
+    """(batch, kind, id) of the catalog entries that the facts and the capabilities allow."""
+    flags = capability_flags(available)
+
     def allowed(fact: str | None, rule: str) -> Column:
         if rule == "always":
             return F.lit(True)
+        if rule == "absent":
+            return F.lit(not flags[fact])
         value = F.col(f"_f{COUNT_FACTS.index(fact)}")
         return value > 0 if rule == "positive" else value == 0
 
@@ -130,9 +149,9 @@ def eligible(registry: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     return deciding_counts(registry, group_cols).select(*group_cols, F.inline(F.array(*options))).filter("ok").drop("ok")
 
 
-def eligible_arrays(registry: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+def eligible_arrays(registry: DataFrame, group_cols: Sequence[str], available: Mapping[str, bool] | None = None) -> DataFrame:
     """One row per batch: allowed ids per kind and existing fact ids (tens of entries)."""
-    ids = eligible(registry, group_cols).groupBy(*group_cols).agg(*[
+    ids = eligible(registry, group_cols, available).groupBy(*group_cols).agg(*[
         F.array_sort(F.array_agg(F.when(F.col("kind") == k, F.col("id")))).alias(f"allowed_{k}")
         for k in ("interpretation", "hypothesis", "recommendation", "insufficient")])
     known = registry.groupBy(*group_cols).agg(F.array_sort(F.array_agg("fact_id")).alias("known_facts"))
@@ -199,20 +218,50 @@ def dashboard(metrics: DataFrame, pareto: DataFrame, group_cols: Sequence[str])
         F.coalesce("priority_topic_count", F.lit(0)).alias("priority_topic_count"), F.coalesce("topics", F.lit("")).alias("topics"))
 
 
-def evidence_payload(registry: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Aggregate-only JSON per batch: facts, allowed ids, limits. No comment text or topics."""
+_EVIDENCE = ("fact_id", "value_display", "value_text", "unit", "population", "numerator_fact", "denominator_fact")
+
+
+def evidence_payload(registry: DataFrame, group_cols: Sequence[str], available: Mapping[str, bool] | None = None) -> DataFrame:
+    """Aggregate-only JSON per batch: facts, capabilities, allowed ids, limits. No comment text or topics."""
     groups = list(group_cols)
-    listed = registry.groupBy(*groups).agg(F.array_sort(F.array_agg(F.struct(
-        "fact_id", "value_display", "value_text", "unit", "population", "numerator_fact", "denominator_fact"))).alias("facts"))
-    allowed = eligible_arrays(registry, groups).drop("known_facts")
+    listed = registry.groupBy(*groups).agg(F.array_sort(F.array_agg(F.struct(*_EVIDENCE))).alias("facts"))
+    allowed = eligible_arrays(registry, groups, available).drop("known_facts")
+    flags = F.struct(*[F.lit(on).alias(c) for c, on in capability_flags(available).items()])
     joined = with_batch(listed, allowed, groups)
     kinds = [c for c in allowed.columns if c not in groups]
     limits = F.struct(*[F.lit(v).alias(k) for k, v in C.READING_LIMITS.items()])
     payload = F.to_json(F.struct(
-        F.lit(C.READING_SCHEMA_VERSION).alias("schema_version"), limits.alias("limits"), F.struct(*kinds).alias("eligible"), F.col("facts")))
+        F.lit(C.READING_SCHEMA_VERSION).alias("schema_version"), limits.alias("limits"), flags.alias("capabilities"), F.struct(*kinds).alias("eligible"), F.col("facts")))
     return joined.select(*groups, payload.alias("payload"))
 
 
+def read_payload(payloads: DataFrame, group_cols: Sequence[str], payload: str = "payload") -> DataFrame:
+    """A payload read back as rows (batch, part, name, value, text): its version, limits, capabilities, allowed ids and facts."""
+    kinds = ("interpretation", "hypothesis", "recommendation", "insufficient")
+    shape = ("schema_version string, limits map<string,bigint>, capabilities map<string,boolean>, eligible struct<"
+             + ",".join(f"allowed_{k}:array<string>" for k in kinds)
+             + ">, facts array<struct<fact_id:string,value_display:double,value_text:string,numerator_fact:string,denominator_fact:string>>")
+    none = F.lit(None)
+
+    def row(part: str | Column, name: Column, value: Column = none, text: Column = none) -> Column:
+        return F.struct((F.lit(part) if isinstance(part, str) else part).alias("part"), name.alias("name"),
+                        value.cast("double").alias("value"), text.cast("string").alias("text"))
+
+    def ids(kind: str, values: Column) -> Column:
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: row(kind, v))
+
+    def entries(doc: Column) -> Column:
+        return F.concat(
+            F.array(row("schema_version", doc["schema_version"])),
+            F.transform(F.map_entries(doc["limits"]), lambda e: row("limit", e["key"], e["value"])),
+            F.transform(F.map_entries(doc["capabilities"]), lambda e: row("capability", e["key"], e["value"].cast("int"))),
+            *[ids(k, doc["eligible"][f"allowed_{k}"]) for k in kinds],
+            F.transform(doc["facts"], lambda f: row("fact", f["fact_id"], f["value_display"], F.concat_ws(
+                "|", F.coalesce(f["value_text"], F.lit("")), F.coalesce(f["numerator_fact"], F.lit("")), F.coalesce(f["denominator_fact"], F.lit(""))))))
+
+    return payloads.select(*group_cols, F.inline(let(F.from_json(payload, shape), entries)))
+
+
 def payload_size(payload: Column) -> Column:
     """struct<characters, approximate_tokens>."""
     return let(F.length(payload), lambda n: F.struct(

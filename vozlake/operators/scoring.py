@@ -125,9 +125,20 @@ def result(p: Column, n_features: Column) -> Column:
     return tx.let(ranked_classes(p), build)
 
 
-def prepare(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Stripped text, rows of at least two characters, every other column kept."""
-    return df.withColumn(text_col, tx.prepared(F.col(text_col))).filter(tx.is_valid(F.col(text_col)))
+def prepare(df: DataFrame, text_col: str = "text", refuse_long: bool = False) -> DataFrame:
+    """Stripped text, rows of at least two characters, every other column kept.
+
+    ``refuse_long`` also leaves out texts above the length limit; :func:`set_aside` has them.
+    """
+    prepared = df.withColumn(text_col, tx.prepared(F.col(text_col)))
+    return prepared.filter(tx.reject_reason(F.col(text_col)).isNull() if refuse_long else tx.is_valid(F.col(text_col)))
+
+
+def set_aside(df: DataFrame, keep: Sequence[str], text_col: str = "text") -> DataFrame:
+    """(keep..., n_chars, reason): the rows that a batch job with ``refuse_long`` does not judge, and why."""
+    text = tx.prepared(F.col(text_col))
+    return df.select(*keep, F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"),
+                     tx.reject_reason(F.coalesce(text, F.lit(""))).alias("reason")).filter("reason IS NOT NULL")
 
 
 def score(df: DataFrame, model: LinearModel | None = None, text_col: str = "text") -> DataFrame:

@@ -137,6 +137,16 @@ def validate_table(t: Tables) -> DataFrame:
     return an.validate(t.derived("master"), "master")
 
 
+_PAIR_FINDINGS = " UNION ALL ".join(
+    f"SELECT 'packet_{n}' AS step, concat('row ', row_number) AS subject, rule AS problem FROM ({_ALL_BLIND.replace('packet_a', f'packet_{n}')})" for n in "ab")
+
+
+@query("packet_pair_findings", o.with_ctes(_PAIR_FINDINGS))
+def packet_pair_findings(t: Tables) -> DataFrame:
+    """Both packets are validated before they are compared; these two have findings."""
+    return an.check_pair(t.derived("packet_a"), t.derived("packet_b"))
+
+
 # --- two annotators ---------------------------------------------------------------------------
 
 _DIFF = ", ".join(f"CASE WHEN a.{f} IS DISTINCT FROM b.{f} THEN '{f}' END" for f in C.PACKET_SHARED_FIELDS)

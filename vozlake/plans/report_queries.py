@@ -63,7 +63,7 @@ def fact_lineage_check(t: Tables) -> DataFrame:
 
 o.define("eligible_rows", " UNION ALL ".join(
     f"SELECT source, '{kind}' AS kind, '{name}' AS id FROM " + (
-        "bm_metrics" if rule == "always" else f"(SELECT source, value_num AS v FROM fact_rows WHERE fact_id = '{fact}') WHERE v {'> 0' if rule == 'positive' else '= 0'}")
+        "bm_metrics" if rule in ("always", "absent") else f"(SELECT source, value_num AS v FROM fact_rows WHERE fact_id = '{fact}') WHERE v {'> 0' if rule == 'positive' else '= 0'}")
     for kind, name, fact, rule in C.ELIGIBILITY_RULES))
 
 
@@ -72,6 +72,27 @@ def eligible_ids(t: Tables) -> DataFrame:
     return report.eligible(registry_of(t), BATCH)
 
 
+@query("batch_capabilities", o.with_ctes(f"SELECT source, unnest([{o.words(C.CAPABILITIES)}]) AS capability, false AS available FROM bm_metrics"))
+def batch_capabilities(t: Tables) -> DataFrame:
+    """Capability flags of every batch: these tables have no periods, targets or categories."""
+    return report.capabilities(registry_of(t), BATCH)
+
+
+o.define("broken_facts", """SELECT * REPLACE (CASE WHEN fact_id = 'sentiment.positive.share' THEN value_num + 1 ELSE value_num END AS value_num) FROM fact_rows
+    WHERE NOT (fact_id = 'lexical.rank.1.frequency') AND NOT (fact_id = 'dataset.total_comments' AND source LIKE '%1')""")
+
+
+@query("fact_lineage_faults", o.with_ctes("""SELECT f.source, f.fact_id, n.fact_id IS NOT NULL AND d.fact_id IS NOT NULL AS links_exist,
+    coalesce(abs(f.value_num - n.value_num * CASE WHEN f.fact_id LIKE '%share' THEN 100 ELSE 1 END / nullif(d.value_num, 0)) < 1e-5, f.value_num IS NULL OR d.value_num = 0, false) AS value_follows
+    FROM broken_facts f LEFT JOIN broken_facts n ON n.source = f.source AND n.fact_id = f.numerator_fact LEFT JOIN broken_facts d ON d.source = f.source AND d.fact_id = f.denominator_fact
+    WHERE f.numerator_fact IS NOT NULL AND f.denominator_fact IS NOT NULL"""))
+def fact_lineage_faults(t: Tables) -> DataFrame:
+    """The lineage check on facts of which some are gone and one value is off."""
+    gone = (F.col("fact_id") == "lexical.rank.1.frequency") | ((F.col("fact_id") == "dataset.total_comments") & F.col("source").endswith("1"))
+    moved = F.when(F.col("fact_id") == "sentiment.positive.share", F.col("value_num") + 1).otherwise(F.col("value_num"))
+    return report.lineage(registry_of(t).filter(~gone).withColumn("value_num", moved), BATCH)
+
+
 @query("opportunity_band", o.with_ctes("SELECT source, negative_percentage, CASE WHEN negative_percentage >= 40 THEN 'high' WHEN negative_percentage >= 20 THEN 'relevant' ELSE 'contained' END AS band FROM bm_metrics"))
 def opportunity_band(t: Tables) -> DataFrame:
     metrics = mt.sentiment_metrics(scoring.score(comments(t)), BATCH)
@@ -114,6 +135,20 @@ def evidence_payload(t: Tables) -> DataFrame:
     return report.evidence_payload(registry_of(t), BATCH)
 
 
+_DISPLAY = """CASE WHEN fact_id LIKE '%share' THEN round(value_num, 2) WHEN fact_id LIKE '%ratio' THEN round(value_num, 6)
+    WHEN fact_id IN ('model.mean_local_confidence', 'technical.high_confidence_negative.threshold') THEN round(value_num, 4) ELSE value_num END"""
+
+
+@query("evidence_rows", o.with_ctes(f"""SELECT source, 'fact' AS part, fact_id AS name, {_DISPLAY} AS value, concat(coalesce(value_text, ''), '|', coalesce(numerator_fact, ''), '|', coalesce(denominator_fact, '')) AS text FROM fact_rows
+    UNION ALL SELECT source, kind, id, NULL, NULL FROM eligible_rows
+    UNION ALL SELECT source, 'schema_version', '{C.READING_SCHEMA_VERSION}', NULL, NULL FROM bm_metrics
+    UNION ALL SELECT source, 'capability', unnest([{o.words(C.CAPABILITIES)}]), 0, NULL FROM bm_metrics
+    UNION ALL SELECT b.source, 'limit', l.n, l.v, NULL FROM bm_metrics b, (VALUES {', '.join(f"('{k}', {v})" for k, v in C.READING_LIMITS.items())}) l(n, v)"""))
+def evidence_rows(t: Tables) -> DataFrame:
+    """The evidence payload of every batch, read back from its JSON."""
+    return report.read_payload(report.evidence_payload(registry_of(t), BATCH), BATCH)
+
+
 @query("payload_size")
 def payload_size(t: Tables) -> DataFrame:
     sized = report.evidence_payload(registry_of(t), BATCH)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from vozlake import constants as C
@@ -501,3 +503,21 @@ def preparation_invariants(t: Tables) -> DataFrame:
         t.spark.sql(sql, responses=t.derived("responses")).select(F.lit(name).alias("result"), F.explode(rules).alias("rule"))
         for name, sql, rules in (("detection", _DETECTION_ROWS, detection_violations()), ("preparation", _PREPARATION_ROWS, preparation_violations()))]
     return found[0].unionByName(found[1]).groupBy("result", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("batch_set_aside", o.with_ctes("""SELECT j.job, d.doc_id, d.source, CASE WHEN length(p.t) < 2 THEN 'too_short' WHEN length(p.t) > 5000 THEN 'too_long' END AS reason,
+    CASE WHEN length(p.t) BETWEEN 2 AND 5000 THEN s.sentiment END AS sentiment FROM documents d JOIN stripped p USING (doc_id) LEFT JOIN scored s USING (doc_id),
+    (VALUES ('hybrid'), ('multilingual'), ('direct')) j(job)"""))
+def batch_set_aside(t: Tables) -> DataFrame:
+    """Each batch job, without external services, on comments of allowed length, beside the comments that it sets aside."""
+    rows, answers = t.documents.select("doc_id", "source", "text"), t.derived("responses")
+    jobs = {
+        "hybrid": batches.hybrid_batch(rows, answers, group_cols=BATCH, provider_available=False, refuse_long=True),
+        "multilingual": batches.multilingual_batch(
+            rows, answers, group_cols=BATCH, translator_available=False, reviewer_available=False, refuse_long=True),
+        "direct": batches.direct_batch(rows, answers, group_cols=BATCH, provider_available=False, refuse_long=True)}
+    aside = cut(scoring.set_aside(rows, ["doc_id", "source"]))
+    parts = [part for name, results in jobs.items() for part in (
+        results.select(F.lit(name).alias("job"), "doc_id", "source", F.lit(None).cast("string").alias("reason"), "sentiment"),
+        aside.select(F.lit(name).alias("job"), "doc_id", "source", "reason", F.lit(None).cast("string").alias("sentiment")))]
+    return reduce(DataFrame.unionByName, parts)
