@@ -22,29 +22,26 @@ def sentiment_metrics(scored: DataFrame, group_cols: Sequence[str] = ()) -> Data
     single = scored if groups else scored.withColumn("_all", F.lit(0))
     hist = cut(single.groupBy(*keys, "sentiment", "confidence").agg(F.count(F.lit(1)).alias("_n")), "confidences")
     n = F.col("_n")
-    totals = hist.groupBy(*keys).agg(
-        F.sum("_n").alias("total"),
+    limits = quantiles.exact_quantiles(hist, keys, F.col("confidence"), {"_p75": 75}, weight=n, stored=True)
+    limits = limits.select(*keys, "_p75", (F.col("total") / F.col("n")).alias("_mean"))
+    strong = (F.col("sentiment") == C.NEGATIVE) & (F.col("confidence") >= F.col("_p75"))
+    totals = ranking.join_groups(hist, limits, keys, "left").groupBy(*keys).agg(
+        F.sum("_n").alias("total"), F.max("_p75").alias("_p75"), F.max("_mean").alias("_mean"),
+        F.coalesce(F.sum(F.when(strong, n)), F.lit(0)).alias("_critical"),
         *[F.coalesce(F.sum(F.when(F.col("sentiment") == c, n)), F.lit(0)).alias(f"{s}_count") for c, s in C.CLASS_SLUGS.items()],
     )
-    # a row per batch, stored so that its real size decides the joins
-    found = quantiles.exact_quantiles(hist, keys, F.col("confidence"), {"_p75": 75}, weight=n, stored=True)
-    limits = cut(found.select(*keys, "_p75", (F.col("total") / F.col("n")).alias("_mean")), "limits")
-    strong = (F.col("sentiment") == C.NEGATIVE) & (F.col("confidence") >= F.col("_p75"))
-    critical = ranking.join_groups(hist, limits.select(*keys, "_p75"), keys).groupBy(*keys).agg(
-        F.sum(F.when(strong, F.col("_n"))).alias("_critical"))
-    totals = ranking.join_groups(totals, limits, keys, "left")
     positive, negative = F.col("positive_count"), F.col("negative_count")
     ratio = (
         F.when(negative > 0, positive / F.when(negative > 0, negative))
         .when(positive > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
     )
-    return ranking.join_groups(totals, critical, keys, "left").select(
+    return totals.select(
         *groups, "total", "negative_count", "neutral_count", "positive_count",
         *[F.round(F.col(f"{s}_count") * 100.0 / F.col("total"), 6).alias(f"{s}_percentage") for s in C.CLASS_SLUGS.values()],
         F.round(ratio, 6).alias("positive_negative_ratio"),
         F.round("_mean", 6).alias("mean_confidence"),
         F.round("_p75", 8).alias("critical_confidence_threshold"),
-        F.coalesce("_critical", F.lit(0)).alias("critical_negative_count"),
+        F.col("_critical").alias("critical_negative_count"),
     )
 
 

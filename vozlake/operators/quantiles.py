@@ -39,17 +39,27 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value: Column, per
     hist = rows.select(*keys, value.alias("_v"), unit.alias("_w")).filter(F.col("_v").isNotNull()) \
         .groupBy(*keys, "_v").agg(F.sum("_w").alias("_n")).filter("_n > 0")
     hist = hist if stored else cut(hist, "values")
-    sizes = cut(hist.groupBy(*keys).agg(
-        F.sum("_n").alias("n"), F.sum(F.col("_v") * F.col("_n")).alias("total"), F.min("_v").alias("minimum"), F.max("_v").alias("maximum"),
-        F.count(F.lit(1)).alias("_values")), "sizes")
-
     asked = sorted({(p, step) for p in percents.values() for step in (0, 1)} | {(p, 0) for p in lower.values()})
-    positions = [F.least(F.floor(F.lit(p) * (F.col("n") - 1) / 100) + step, F.col("n") - 1).cast("long") for p, step in asked]
-    wanted = sizes.select(*keys, "_values", F.inline(F.array(*[
-        F.struct(F.lit(k).alias("_ask"), at.alias("_at")) for k, at in enumerate(positions)])))
-    largest = sizes.agg(F.max("_values")).first()[0] or 0
-    found = _select(hist, keys, wanted, largest, held, pieces)
-    answers = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_ask") == k, F.col("_v"))).alias(f"_a{k}") for k in range(len(asked))])
+    summary = [F.sum("_n").alias("n"), F.sum(F.col("_v") * F.col("_n")).alias("total"),
+               F.min("_v").alias("minimum"), F.max("_v").alias("maximum")]
+
+    def position(percent: int, step: int, size: Column) -> Column:
+        return F.least(F.floor(F.lit(percent) * (size - 1) / 100) + step, size - 1).cast("long")
+
+    largest = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("_values")).agg(F.max("_values")).first()[0] or 0
+    if largest <= held:
+        everything = Window.partitionBy(*keys)
+        upto = F.sum("_n").over(everything.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        run = hist.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(everything))
+        answered = run.groupBy(*keys).agg(*summary, *[
+            F.min(F.when(F.col("_upto") > position(*a, F.col("_all")), F.col("_v"))).alias(f"_a{k}") for k, a in enumerate(asked)])
+    else:
+        sizes = cut(hist.groupBy(*keys).agg(*summary, F.count(F.lit(1)).alias("_values")), "sizes")
+        wanted = sizes.select(*keys, "_values", F.inline(F.array(*[
+            F.struct(F.lit(k).alias("_ask"), position(*a, F.col("n")).alias("_at")) for k, a in enumerate(asked)])))
+        found = _select(hist, keys, wanted, largest, held, pieces)
+        answers = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_ask") == k, F.col("_v"))).alias(f"_a{k}") for k in range(len(asked))])
+        answered = ranking.join_groups(sizes, answers, keys)
 
     def at(percent: int, step: int) -> Column:
         return F.col(f"_a{asked.index((percent, step))}")
@@ -58,7 +68,7 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value: Column, per
         share = (F.lit(percent) * (F.col("n") - 1) % 100) / 100
         return at(percent, 0) + (at(percent, 1) - at(percent, 0)) * share
 
-    return ranking.join_groups(sizes, answers, keys).select(
+    return answered.select(
         *groups, "n", "total", "minimum", "maximum",
         *[interpolated(p).alias(k) for k, p in percents.items()], *[at(p, 0).alias(k) for k, p in lower.items()])
 
