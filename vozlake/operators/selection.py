@@ -12,32 +12,33 @@ from vozlake.functions.text import let
 ROOT_KEYS = ("schema_version", "interpretations", "hypotheses", "recommendation_ids", "evidence_needed_ids", "insufficient_evidence_ids")
 
 
-def _at(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, path, "variant")
-
-
-def _kind(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit("MISSING"))
+def _members(value: Column) -> Column:
+    """Members of a JSON object, null for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 def _items(doc: Column, field: str) -> Column:
     """array<variant> of a list field, null when the field is not a list."""
-    value = _at(doc, f"$.{field}")
-    return F.when(_kind(value).startswith("ARRAY"), F.try_variant_get(doc, f"$.{field}", "array<variant>"))
+    return F.try_variant_get(doc, f"$.{field}", "array<variant>")
 
 
 def _keys(item: Column, *names: str) -> Column:
-    return F.coalesce(F.array_sort(F.json_object_keys(F.to_json(item))) == F.array(*[F.lit(n) for n in sorted(names)]), F.lit(False))
+    return F.coalesce(F.array_sort(F.map_keys(_members(item))) == F.array(*[F.lit(n) for n in sorted(names)]), F.lit(False))
+
+
+def _is_text(value: Column) -> Column:
+    """A number reads as text as well, so the JSON form decides."""
+    return F.to_json(value).startswith('"')
 
 
 def _text(item: Column, path: str) -> Column:
     """String value at ``path``; null when it is not a JSON string."""
-    return F.when(_kind(_at(item, path)) == "STRING", F.try_variant_get(item, path, "string"))
+    return F.when(_is_text(F.try_variant_get(item, path, "variant")), F.try_variant_get(item, path, "string"))
 
 
 def _strings(values: Column) -> Column:
     """array<string> with null for entries that are not strings."""
-    return F.transform(values, lambda v: F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")))
+    return F.transform(values, lambda v: F.when(_is_text(v), F.try_variant_get(v, "$", "string")))
 
 
 def _allowed(table: dict[str, Sequence[str]], name: Column) -> Column:
@@ -131,7 +132,7 @@ def audit_code(raw: Column) -> Column:
     def check(doc: Column) -> Column:
         return (
             F.when(doc.isNull(), "invalid_json")
-            .when(~_kind(doc).startswith("OBJECT"), "invalid_root_type")
+            .when(_members(doc).isNull(), "invalid_root_type")
             .when(~_keys(doc, *ROOT_KEYS), "invalid_root_fields")
             .when(~F.coalesce(_text(doc, "$.schema_version") == C.READING_SCHEMA_VERSION, F.lit(False)), "invalid_schema_version")
             .otherwise(F.coalesce(
