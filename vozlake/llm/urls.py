@@ -2,13 +2,17 @@
 
 Aliases are the connected components over redirect edges (``<meta http-equiv=refresh>``) and canonical-link edges
 (``<link rel=canonical>``) of the pages, and any edges given besides. Addresses are nodes in a normal form: no scheme, fragment,
-``www.`` or ``m.`` before the host, tracking parameter or final slash, which are aliases by themselves.
+``www.`` or ``m.`` before the host, tracking parameter, dot segment or final slash, which are aliases by themselves.
+
+Every canonical and refresh tag of a page counts. A link is resolved as a browser does: against the page's address, or the page's
+first ``<base href>``, with ``.`` and ``..`` folders worked off.
 
 A page's own rule decides first, so an explicit allow takes precedence over any blocked alias. A page without a rule is blocked if
 a blocked address (a page or the end of an edge) is in its component, else it is allowed. Everything is DataFrame operations.
 
 Rows: a null url, or one without ``://``, has an empty host and path, no rule and no alias; keys may repeat or be null; a null html has
-no links; an empty table gives no rows; other columns are ignored. Links relative to a folder, and those of another scheme, are ignored.
+no links; an empty table gives no rows; other columns are ignored. Empty links, those to a place in the page itself and those of
+another scheme are ignored; a tag ends at the next ``>`` and is ignored if a ``<`` comes before it.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ RULES = (
 MAX_RULES = 500
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+_ORIGIN = r"(?s)^(.*?://[^/?#]*)"
 _TRACKING = r"(?i)(?:^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
 
 
@@ -53,34 +58,60 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     return none if chosen is None else chosen.otherwise(none)
 
 
+def without_dots(url: Column) -> Column:
+    """The address with the ``.`` and ``..`` segments of its path worked off; the work grows with length times ``..`` segments."""
+    # a final dot segment names a folder
+    path = F.regexp_replace(F.regexp_replace(path_of(url), r"/(\.\.?)\z", "/$1/"), r"/\.(?=/)", "")
+    worked = F.aggregate(F.split(path, r"/\.\.(?=/)"), F.lit(""), lambda done, piece: F.concat(
+        F.substring(done, F.lit(1), F.length(done) - F.length(F.substring_index(done, "/", -1)) - 1), piece))
+    origin, tail = F.regexp_extract(url, _ORIGIN, 1), F.regexp_extract(url, r"(?s)^[^?#]*(.*)", 1)
+    return F.when(path_of(url).rlike(r"/\.\.?(?:/|\z)"), F.concat(origin, worked, tail)).otherwise(url)
+
+
 def normal_form(url: Column) -> Column:
     """The node of an address, or null without ``://``."""
-    host, path = F.regexp_replace(host_of(url), r"^(?:www|m)\.", ""), F.regexp_replace(path_of(url), "/+$", "")
+    plain = without_dots(url)
+    host, path = F.regexp_replace(host_of(plain), r"^(?:www|m)\.", ""), F.regexp_replace(path_of(plain), "/+$", "")
     query = F.regexp_replace(F.regexp_extract(url, r"(?s)^[^#]*?\?([^#]*)", 1), _TRACKING, "")
     query = F.regexp_replace(query, "^&+", "")
     return F.when(url.contains("://"), F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
-def _tag(html: Column, pattern: str) -> Column:
-    return F.regexp_extract(html, pattern, 0)
+def resolve(link: Column, base: Column) -> Column:
+    """The address that a link on a page leads to; null if it leads nowhere else or to another scheme."""
+    scheme, origin, path = F.regexp_extract(base, r"(?s)^(.*?:)//", 1), F.regexp_extract(base, _ORIGIN, 1), path_of(base)
+    folder = F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)))
+    folder = F.when(folder == "", "/").otherwise(folder)
+    whole = (
+        F.when((link == "") | link.startswith("#"), F.lit(None).cast("string"))
+        .when(link.rlike("(?i)^https?://"), link).when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(link.startswith("/"), F.concat(origin, link)).when(link.startswith("?"), F.concat(origin, path, link))
+        .otherwise(F.concat(origin, folder, link))
+    )
+    return without_dots(whole)
+
+
+def _value(tag: Column, name: str) -> Column:
+    """What follows ``name=`` in a tag, quoted or not, with its ampersands decoded."""
+    pattern = rf"""(?is)[\s"';/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>]+))"""
+    return F.trim(F.regexp_replace(F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)]), "(?i)&(?:amp|#38|#x26);", "&"))
 
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst) addresses: one row per canonical link or refresh of a page."""
     page, body = F.col(url), F.col(html).cast("string")
-    canonical = F.regexp_extract(
-        _tag(body, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(
-        _tag(body, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    found = pages.filter(body.rlike(r"(?i)canonical|http-equiv") & page.contains("://")).select(
-        page.alias("src"), F.explode(F.array(canonical, refresh)).alias("to"))
-    scheme, origin = F.regexp_extract("src", r"(?s)^(.*?:)//", 1), F.regexp_extract("src", r"(?s)^(.*?://[^/?#]*)", 1)
-    to = F.col("to")
-    absolute = (
-        F.when(to.rlike("(?i)^https?://"), to).when(to.startswith("//"), F.concat(scheme, to))
-        .when(to.startswith("/"), F.concat(origin, to))
-    )
-    return found.select("src", absolute.alias("dst")).filter(F.col("dst").isNotNull())
+    tags = pages.filter(body.rlike(r"(?i)canonical|http-equiv") & page.contains("://")).select(
+        page.alias("src"), F.regexp_extract_all(body, F.lit(r"(?is)<(?:link|meta|base)\b[^<>]*>"), F.lit(0)).alias("_tags"))
+
+    def values(pattern: str, name: str) -> Column:
+        return F.transform(F.filter("_tags", lambda tag: tag.rlike(pattern)), lambda tag: _value(tag, name))
+
+    canonical = values(r"""(?is)^<link\b.*[\s"'/]rel\s*=\s*(?:["'][^"'>]*)?\bcanonical\b""", "href")
+    refresh = values(r"""(?is)^<meta\b.*[\s"'/]http-equiv\s*=\s*["']?refresh\b""", "url")
+    base = resolve(F.get(values(r"""(?is)^<base\b.*[\s"'/]href\s*=""", "href"), 0), F.col("src"))
+    found = tags.select("src", F.coalesce(base, "src").alias("_base"), F.explode(F.concat(canonical, refresh)).alias("_link"))
+    return found.select("src", resolve(F.col("_link"), F.col("_base")).alias("dst")).filter(F.col("dst").isNotNull())
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, edges: DataFrame | None = None,
