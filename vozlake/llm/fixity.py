@@ -2,7 +2,7 @@
 
 Records are hashed where they are read, and only hashes travel. A tree over each archive combines them by ordered offset ranges:
 64 KiB, 1 MiB, 16 MiB, 256 MiB and the archive, each the hash of its children in order. Replicas are compared root by root; only
-mismatching branches are followed down, level by level, to the records that differ.
+mismatching branches are followed down, level by level, to the records that differ, and these are lined up again.
 
 Archives are gzip WARC files written by Spark's own committer (:func:`write_warc`), one or more per partition of at most
 ``FILE_RECORDS`` records; a file is read as one value, so it must stay below 2 GB.
@@ -120,8 +120,7 @@ def tree(records: DataFrame) -> DataFrame:
 
     What is at one offset is combined by sums of hash parts, so it may be any number of rows; a range has at most 65 536
     offsets, or 16 ranges, below it."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    whole = F.sha2(F.concat_ws("|", text("length"), text("record_id"), text("sha256")), 256)
+    whole = _identity()
     part = lambda i: F.sum(F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
     nodes = records.select(F.coalesce("archive", F.lit("")).alias("archive"), F.coalesce("offset", F.lit(-1)).alias("node"), whole.alias("_h"))
     nodes = nodes.groupBy("archive", "node").agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *[part(i) for i in range(4)]), 256).alias("hash"))
@@ -159,23 +158,60 @@ def mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
-    """One row per record that differs: archive, offset, status (corrupt, missing, extra), record_id, length, expected and found
-    SHA-256. Where an offset has several records in a replica, they are all listed."""
+    """One row per record that differs, and one per distance over which equal records of an archive have moved.
+
+    Columns: archive, offset, found_offset, status, records (how many), record_id, length, expected and found SHA-256. Below the
+    mismatching branches records are lined up again, so that a change of length is one difference and not one per record after it:
+
+    * ``moved``: equal records that both replicas have as often, at other offsets; ``records`` of them by ``found_offset - offset``;
+    * ``corrupt``: of what is left, a record whose id is the only one of that name on either side, else the only one at its offset;
+    * ``missing`` and ``extra``: the others. Copies of one record at one offset are one row, which counts those too few or too many."""
     sides = [cut(r.select("archive", "offset", "length", "record_id", "sha256"), "records") for r in (records, replica)]
-    wrong = mismatches(tree(sides[0]), tree(sides[1]))
-    named = []
-    for side in sides:
-        keyed = side.select(F.coalesce("archive", F.lit("")).alias("archive"), F.coalesce("offset", F.lit(-1)).alias("offset"),
-                            "length", "record_id", "sha256")
-        at = wrong.select("archive", F.col("node").alias("offset"))
-        named.append(keyed.join(at, ["archive", "offset"], "left_semi"))
-    counted = [n.groupBy("archive", "offset", "length", "record_id", "sha256").agg(F.count(F.lit(1)).alias("copies")) for n in named]
-    # records of an offset that both replicas have as often are no difference
-    ours, theirs = counted
-    same = ["archive", "offset", "length", "record_id", "sha256", "copies"]
-    ours, theirs = ours.exceptAll(theirs.select(same)), theirs.exceptAll(ours.select(same))
-    theirs = theirs.select("archive", "offset", *[F.col(c).alias(f"_{c}") for c in ("length", "record_id", "sha256", "copies")])
-    status = F.when(F.col("_copies").isNull(), "missing").when(F.col("copies").isNull(), "extra").otherwise("corrupt")
-    return ours.join(theirs, ["archive", "offset"], "full").select(
-        "archive", "offset", status.alias("status"), F.coalesce("record_id", "_record_id").alias("record_id"),
-        F.coalesce("length", "_length").alias("length"), F.col("sha256").alias("expected_sha256"), F.col("_sha256").alias("found_sha256"))
+    wrong = mismatches(tree(sides[0]), tree(sides[1])).withColumnRenamed("node", "offset")
+    name = ["archive", "offset", "length", "record_id", "sha256"]
+    found = None
+    for k, side in enumerate(sides):
+        keyed = side.withColumns({"archive": F.coalesce("archive", F.lit("")), "offset": F.coalesce("offset", F.lit(-1))})
+        keyed = keyed.join(wrong, ["archive", "offset"], "left_semi").select(*name, F.lit(1 - k).alias("_ours"), F.lit(k).alias("_theirs"))
+        found = keyed if found is None else found.unionByName(keyed)
+    counted = found.groupBy(*name).agg(F.sum("_ours").alias("_ours"), F.sum("_theirs").alias("_theirs"))
+    counted = cut(counted.filter("_ours <> _theirs").withColumn("_same", _identity()), "counted")
+
+    alike = counted.groupBy("archive", "_same").agg(
+        F.sum("_ours").alias("records"), F.sum("_theirs").alias("_n"), F.min(F.when(F.col("_ours") > 0, F.col("offset"))).alias("offset"),
+        F.min(F.when(F.col("_theirs") > 0, F.col("offset"))).alias("found_offset")).filter("records = _n")
+    empty = F.lit(None).cast("string")
+    moved = alike.groupBy("archive", (F.col("found_offset") - F.col("offset")).alias("_by")).agg(
+        F.min("offset").alias("offset"), F.sum("records").alias("records")).select(
+        "archive", "offset", (F.col("offset") + F.col("_by")).alias("found_offset"), F.lit("moved").alias("status"), "records",
+        empty.alias("record_id"), F.lit(None).cast("long").alias("length"), empty.alias("expected_sha256"), empty.alias("found_sha256"))
+    rest = cut(counted.join(alike, ["archive", "_same"], "left_anti").drop("_same"), "changed")
+
+    out = moved
+    for key in ("record_id", "offset"):
+        pairs = _pairs(rest, key)
+        out = out.unionByName(pairs.select(
+            "archive", "_a.offset", F.col("_b.offset").alias("found_offset"), F.lit("corrupt").alias("status"), F.lit(1).cast("long").alias("records"),
+            F.coalesce("_a.record_id", "_b.record_id").alias("record_id"), F.coalesce("_a.length", "_b.length").alias("length"),
+            F.col("_a.sha256").alias("expected_sha256"), F.col("_b.sha256").alias("found_sha256")))
+        left = rest.join(pairs.select("archive", key), ["archive", key], "left_anti")
+        rest = cut(left, "changed") if key == "record_id" else left
+    ours, theirs = F.col("_ours") > 0, F.col("_theirs") > 0
+    return out.unionByName(rest.select(
+        "archive", F.when(ours, F.col("offset")).alias("offset"), F.when(theirs, F.col("offset")).alias("found_offset"),
+        F.when(F.col("_ours") > F.col("_theirs"), "missing").otherwise("extra").alias("status"), F.abs(F.col("_ours") - F.col("_theirs")).alias("records"),
+        "record_id", "length", F.when(ours, F.col("sha256")).alias("expected_sha256"), F.when(theirs, F.col("sha256")).alias("found_sha256")))
+
+
+def _identity() -> Column:
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    return F.sha2(F.concat_ws("|", text("length"), text("record_id"), text("sha256")), 256)
+
+
+def _pairs(rest: DataFrame, key: str) -> DataFrame:
+    """(archive, key, _a, _b) where each replica has one record only under a name or at an offset; an empty name is none."""
+    record = F.struct("offset", "record_id", "length", "sha256")
+    sides = [F.when((F.col(c) == 1) & (F.col(other) == 0), record) for c, other in (("_ours", "_theirs"), ("_theirs", "_ours"))]
+    groups = rest.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).groupBy("archive", key).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(sides[0]).alias("_a"), F.min(sides[1]).alias("_b"))
+    return groups.filter("_n = 2 AND _a IS NOT NULL AND _b IS NOT NULL").select("archive", key, "_a", "_b")

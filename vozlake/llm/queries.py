@@ -33,11 +33,12 @@ def query(name: str):
 
 @query("op1_merkle_fixity")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    """All pages as WARC archives, and a replica in which some records have other bytes; both are written, read and audited.
+    """All pages as WARC archives, and a replica in which some records have other bytes or one more; both are written, read and audited.
 
     The damage is planted by a rule on the page's number so that there is something to find; every record is hashed."""
     pages = table(spark, folder, "pages")
-    damaged = pages.withColumn("html", F.when(F.col("page_id") % 97 == 5, F.translate("html", "e", "3")).otherwise(F.col("html")))
+    damaged = pages.withColumn("html", F.when(F.col("page_id") % 97 == 5, F.translate("html", "e", "3")).when(
+        F.col("page_id") % 1999 == 7, F.concat("html", F.lit("!"))).otherwise(F.col("html")))
     first = fixity.write_warc(pages, scratch(spark, "warc"))
     second = fixity.write_warc(damaged, scratch(spark, "warc"))
     return fixity.audit(fixity.read_records(spark, first), fixity.read_records(spark, second))
