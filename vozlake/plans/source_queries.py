@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vozlake import constants as C
 from vozlake.durable import scratch
@@ -121,6 +121,37 @@ def source_fingerprint(t: Tables) -> DataFrame:
     return contracts.file_digests(t.spark, t.path("documents"), "text")
 
 
+_FILE_RANGE = 1 << 16
+_LINE = "concat(doc_id::VARCHAR, chr(9), lang, chr(9), coalesce(text, ''))"
+_FILE = "concat('source=', source, '/bucket=', (doc_id // 10000)::VARCHAR)"
+
+
+@query("file_ranges_check", f"""WITH lines AS (SELECT source, doc_id, {_FILE} AS file, strlen({_LINE}) + 1 AS bytes, {_LINE} AS line FROM documents),
+    placed AS (SELECT *, sum(bytes) OVER (PARTITION BY file ORDER BY doc_id, line ROWS UNBOUNDED PRECEDING) - bytes + length(doc_id::VARCHAR) AS tab FROM lines),
+    changes AS (SELECT DISTINCT file, (tab // {_FILE_RANGE} * {_FILE_RANGE})::BIGINT AS start FROM placed WHERE source NOT IN ('src4', 'src5') AND doc_id % 997 = 3),
+    files AS (SELECT DISTINCT file, CASE source WHEN 'src4' THEN 'added' WHEN 'src5' THEN 'missing' ELSE 'unchanged' END AS status FROM lines)
+    SELECT file, 'changed' AS status, start FROM changes
+    UNION ALL SELECT file, status, NULL FROM files WHERE file NOT IN (SELECT file FROM changes)""")
+def file_ranges_check(t: Tables) -> DataFrame:
+    """Recorded digests of byte ranges against files of which some are new or gone and some have another byte here and there."""
+    folder = F.regexp_extract(F.col("path"), "(source=[^/]*/bucket=[^/]*)/[^/]*$", 1)
+
+    def export(rows: DataFrame, tab: Column) -> str:
+        path = scratch(t.spark, "frozen")
+        bucket = F.floor(F.col("doc_id") / 10000).alias("bucket")
+        lines = rows.select("source", bucket, "doc_id", F.concat("doc_id", tab, "lang", F.lit("\t"), F.coalesce("text", F.lit(""))).alias("value"))
+        # one file per source and 10 000 keys, its lines in order
+        lines.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "doc_id", "value").select(
+            "source", "bucket", "value").write.partitionBy("source", "bucket").text(path)
+        return path
+
+    before = export(t.documents.filter("source <> 'src4'"), F.lit("\t"))
+    after = export(t.documents.filter("source <> 'src5'"), F.when(F.col("doc_id") % 997 == 3, " ").otherwise("\t"))
+    record = scratch(t.spark, "ranges")
+    contracts.range_digests(t.spark, before, folder, _FILE_RANGE).write.parquet(record)
+    return contracts.compare_ranges(t.spark.read.parquet(record), contracts.range_digests(t.spark, after, folder, _FILE_RANGE))
+
+
 _LOG = "event_id bigint, case_id string, architecture string, state string, latency_ms double"
 
 
