@@ -136,20 +136,22 @@ def file_ranges_check(t: Tables) -> DataFrame:
     """Recorded digests of byte ranges against files of which some are new or gone and some have another byte here and there."""
     folder = F.regexp_extract(F.col("path"), "(source=[^/]*/bucket=[^/]*)/[^/]*$", 1)
 
-    def export(rows: DataFrame, tab: Column) -> str:
-        path = scratch(t.spark, "frozen")
-        bucket = F.floor(F.col("doc_id") / 10000).alias("bucket")
-        lines = rows.select("source", bucket, "doc_id", F.concat("doc_id", tab, "lang", F.lit("\t"), F.coalesce("text", F.lit(""))).alias("value"))
-        # one file per source and 10 000 keys, its lines in order
-        lines.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "doc_id", "value").select(
-            "source", "bucket", "value").write.partitionBy("source", "bucket").text(path)
-        return path
-
-    before = export(t.documents.filter("source <> 'src4'"), F.lit("\t"))
-    after = export(t.documents.filter("source <> 'src5'"), F.when(F.col("doc_id") % 997 == 3, " ").otherwise("\t"))
-    record = scratch(t.spark, "ranges")
-    contracts.range_digests(t.spark, before, folder, _FILE_RANGE).write.parquet(record)
-    return contracts.compare_ranges(t.spark.read.parquet(record), contracts.range_digests(t.spark, after, folder, _FILE_RANGE))
+    def line(tab: Column) -> Column:
+        return F.concat("doc_id", tab, "lang", F.lit("\t"), F.coalesce("text", F.lit("")))
+
+    def copy(name: str, without: str, value: Column) -> Column:
+        return F.when(F.col("source") != without, F.struct(F.lit(name).alias("copy"), value.alias("value")))
+
+    copies = F.array_compact(F.array(
+        copy("before", "src4", line(F.lit("\t"))), copy("after", "src5", line(F.when(F.col("doc_id") % 997 == 3, " ").otherwise("\t")))))
+    # one file per copy, source and 10 000 keys, its lines in order; the rows move once for both copies
+    rows = t.documents.select("source", F.floor(F.col("doc_id") / 10000).alias("bucket"), "doc_id", "lang", "text").repartition("source", "bucket")
+    lines = rows.select("source", "bucket", "doc_id", F.inline(copies)).sortWithinPartitions("copy", "source", "bucket", "doc_id", "value")
+    path, record = scratch(t.spark, "frozen"), scratch(t.spark, "ranges")
+    lines.select("copy", "source", "bucket", "value").write.partitionBy("copy", "source", "bucket").text(path)
+    before, after = (contracts.range_digests(t.spark, f"{path}/copy={c}", folder, _FILE_RANGE) for c in ("before", "after"))
+    before.write.parquet(record)
+    return contracts.compare_ranges(t.spark.read.parquet(record), after)
 
 
 _LOG = "event_id bigint, case_id string, architecture string, state string, latency_ms double"
