@@ -2,6 +2,7 @@
 
 import glob
 import random
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -100,3 +101,16 @@ def test_each_batch_by_the_version_in_force(spark, tmp_path):
         for r in indexed.score(batch, model.to_table(spark)).collect():
             expected[r.id] = (version, r.sentiment, round(r.confidence, 9))
     assert got == expected
+
+
+def test_a_streamed_table_is_a_file_or_a_folder(spark, tmp_path):
+    rows = spark.range(20).selectExpr("id", "'x' AS text")
+    folder = f"{tmp_path}/in"
+    rows.repartition(3).write.parquet(folder + "/folder.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    shutil.copy(glob.glob(f"{tmp_path}/one/part-*")[0], folder + "/file.parquet")
+    rows.coalesce(1).write.parquet(folder + "/other.parquet")
+    for name in ("folder", "file"):
+        stream = jobs.read_table_stream(spark, f"{folder}/{name}.parquet", "id long, text string")
+        jobs.finish(jobs.append(stream, f"{tmp_path}/{name}", f"{tmp_path}/{name}-ck"))
+        assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/{name}").collect()) == list(range(20))

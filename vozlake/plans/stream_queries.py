@@ -32,7 +32,7 @@ _REQUIRED = ("event_id", "event_type", "value")
 
 
 def _records(t: Tables) -> DataFrame:
-    events = jobs.read_stream(t.spark, t.folder, _EVENTS, "events.parquet")
+    events = jobs.read_table_stream(t.spark, t.path("events"), _EVENTS)
     return events.select("event_id", "user_id", "event_type", F.when(F.col("value") >= 1, F.col("value")).alias("value"))
 
 
@@ -44,7 +44,7 @@ def _appended(t: Tables, stream: DataFrame, name: str) -> DataFrame:
 
 @query("stream_latest_state", """SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2""")
 def stream_latest_state(t: Tables) -> DataFrame:
-    events = jobs.read_stream(t.spark, t.folder, _EVENTS, "events.parquet").select("user_id", "event_type", "event_id", "value")
+    events = jobs.read_table_stream(t.spark, t.path("events"), _EVENTS).select("user_id", "event_type", "event_id", "value")
     path = scratch(t.spark, "stream-latest")
     jobs.finish(jobs.latest_state(events, ["user_id", "event_type"], "event_id", path + "/data", path + "/checkpoint"))
     return jobs.read_latest(t.spark, path + "/data", ["user_id", "event_type"], "event_id")
@@ -54,7 +54,7 @@ def stream_latest_state(t: Tables) -> DataFrame:
     SELECT user_id, epoch(s)::BIGINT AS window_start, count(*) AS requests FROM w GROUP BY 1, s HAVING count(*) > 1 AND s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
 def stream_rate(t: Tables) -> DataFrame:
     """Users above one event per sliding hour; only windows the watermark has closed."""
-    events = jobs.read_stream(t.spark, t.folder, _EVENTS, "events.parquet").select("user_id", "ts")
+    events = jobs.read_table_stream(t.spark, t.path("events"), _EVENTS).select("user_id", "ts")
     alerts = jobs.rate_alerts(events, "user_id", "ts", 1, "1 hour", "30 minutes", "10 minutes")
     path = scratch(t.spark, "stream-rate")
     jobs.finish(jobs.append(alerts, path + "/data", path + "/checkpoint"))
@@ -66,7 +66,7 @@ def stream_rate(t: Tables) -> DataFrame:
     SELECT user_id, epoch_us(ts) AS at_us, requests FROM w WHERE requests > 1 AND time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
 def stream_rate_lookback(t: Tables) -> DataFrame:
     """Every event that another of its user precedes by less than an hour; only hours the watermark has closed."""
-    events = jobs.read_stream(t.spark, t.folder, _EVENTS, "events.parquet").select("user_id", "ts")
+    events = jobs.read_table_stream(t.spark, t.path("events"), _EVENTS).select("user_id", "ts")
     path = scratch(t.spark, "stream-lookback")
     jobs.finish(jobs.append(jobs.rate_lookback(events, "user_id", "ts", 1, 3600), path + "/data", path + "/checkpoint"))
     return t.spark.read.parquet(path + "/data").select("user_id", F.unix_micros("ts").alias("at_us"), "requests")
@@ -76,7 +76,7 @@ def stream_rate_lookback(t: Tables) -> DataFrame:
     (SELECT user_id, ts, lag(ts, 2) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) WHERE before > ts - INTERVAL 24 HOUR""")
 def stream_rate_ring(t: Tables) -> DataFrame:
     """Every event that comes when two others of its user are less than a day old, also the last ones."""
-    events = jobs.read_stream(t.spark, t.folder, _EVENTS, "events.parquet").select("user_id", "ts")
+    events = jobs.read_table_stream(t.spark, t.path("events"), _EVENTS).select("user_id", "ts")
     path = scratch(t.spark, "stream-ring")
     jobs.finish(jobs.append_keyed(jobs.rate_ring(events, "user_id", "ts", 2, 86_400), path + "/data", path + "/checkpoint"))
     return t.spark.read.parquet(path + "/data").select("user_id", F.unix_micros("ts").alias("at_us"), F.unix_micros("until").alias("until_us"))
@@ -84,7 +84,7 @@ def stream_rate_ring(t: Tables) -> DataFrame:
 
 @query("stream_scoring", o.with_ctes("SELECT doc_id, sentiment, confidence, reasons <> '' AS should_review FROM routed"), scores="confidence")
 def stream_scoring(t: Tables) -> DataFrame:
-    arriving = jobs.read_stream(t.spark, t.folder, _DOCUMENTS, "documents.parquet").select("doc_id", "text")
+    arriving = jobs.read_table_stream(t.spark, t.path("documents"), _DOCUMENTS).select("doc_id", "text")
     scored = routing.route(jobs.score_stream(arriving)).select("doc_id", "sentiment", "confidence", "should_review")
     path = scratch(t.spark, "stream-scoring")
     jobs.finish(jobs.append(scored, path + "/data", path + "/checkpoint"))

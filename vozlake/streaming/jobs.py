@@ -23,6 +23,13 @@ def read_stream(spark: SparkSession, folder: str, schema: str, pattern: str) ->
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
+def read_table_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a stored table as they arrive; the table is one file or a folder of files, as for :func:`sources.tables.read_table`."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    # a pattern, as the file source takes a plain path for a folder; a character in brackets stands for itself
+    return spark.readStream.schema(schema).parquet(f"{folder}/[{name[0]}]{name[1:]}")
+
+
 def finish(query: StreamingQuery) -> None:
     query.awaitTermination()
     if query.exception() is not None:
