@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -104,3 +105,30 @@ def test_draws_take_about_the_stated_number():
     taken = language._drawn(found, np.array([5, 6]), 1)
     n = np.bincount(found.row[taken], minlength=2)
     assert 30 < n[0] < 110 and n[1] == 18
+
+
+def test_trigrams_held_at_once_are_bounded(spark, table, profiles, monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choices([*TEXTS["es"].split(), *TEXTS["de"].split(), "ß😀é"], k=rnd.choice([0, 1, 5, 60]))) for _ in range(300)] + [None, "", "a", "ab", "abc"]
+    whole, frozen, keys = pa.array(texts, pa.string()), language.Profiles.from_table(profiles), np.arange(len(texts))
+    runs = [lambda _, g: np.ones(len(g.row), dtype=bool), lambda first, g: language._drawn(g, keys[first:], 2)]
+    one, expected = language._grams(whole), frozen.posteriors(whole, runs)
+    for piece in (3, 50, 1000):
+        monkeypatch.setattr(language, "PIECE", piece)
+        found = list(language._pieces(whole))
+        assert max(len(g.row) for _, g in found) <= piece
+        assert [(first + r, p, c) for first, g in found for r, p, c in zip(g.row, g.place, g.code)] == list(zip(one.row, one.place, one.code))
+        for got, old in zip(frozen.posteriors(whole, runs), expected):
+            assert got.field(0).equals(old.field(0)) and np.allclose(got.field(1).flatten(), old.field(1).flatten(), atol=1e-12)
+
+
+def test_counts_sent_in_parts_are_the_same(spark, table):
+    counts = Counter((r.lang, g) for r in table.collect() if r.lang and r.text for g in grams(r.text))
+    old = language.PIECE, language.HELD
+    try:
+        language.PIECE, language.HELD = 100, 40  # the tasks get them with the function
+        assert {(r.lang, r.gram): r["count"] for r in language.gram_counts(table.coalesce(1)).collect()} == counts
+    finally:
+        language.PIECE, language.HELD = old

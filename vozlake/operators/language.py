@@ -3,7 +3,7 @@
 A text is its words (runs of letters, lower-cased) with one blank between, before and after. Profiles are the trigrams that are
 most frequent in some language, each with a smoothed log share per language; they are fitted from tagged texts, stored as a
 bounded table and read back. A row's scores are sums over its trigrams, normalised to a posterior. The JVM finds the words; trigrams are
-numbers of three code points, looked up in the task for a whole batch at once.
+numbers of three code points, looked up in the task for a bounded stretch of the texts at once.
 
 States: ``detected``; ``unsupported`` (best language not among the supported); ``unknown`` (``empty_text``: nothing but blanks;
 ``undetectable_text``: no trigram of the profiles); ``error`` (``detector_error``: the profiles give no number for a trigram).
@@ -11,11 +11,12 @@ States: ``detected``; ``unsupported`` (best language not among the supported); `
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vozlake import constants as C
@@ -27,6 +28,8 @@ TOP_GRAMS, SMOOTHING = 300, 0.5
 MAX_ROWS = 50_000
 #: trigrams drawn per run, on average, and the prime that draws count by
 DRAWS, PRIME = 64, 1_000_003
+#: code points whose trigrams a task holds at once, and counted trigrams that it holds before it sends them on
+PIECE, HELD = 1 << 18, 1 << 18
 COLUMNS = ("detected_language", "posterior", "runner_up_posterior", "language_status", "language_error")
 
 
@@ -37,7 +40,7 @@ def spelled(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class _Grams:
-    """Trigrams of a batch of texts: the row, place in the text and number of each, and how many each row has."""
+    """Trigrams of some texts: the row, place in the text and number of each, and how many each row has."""
 
     row: np.ndarray
     place: np.ndarray
@@ -65,20 +68,59 @@ def _grams(texts: pa.Array) -> _Grams:
     return _Grams(row, place, points[at] << 42 | points[at + 1] << 21 | points[at + 2] if len(at) else np.zeros(0, np.int64), counts)
 
 
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, _Grams]]:
+    """(number of the first text, trigrams) of stretches of about PIECE code points. A longer text is alone, a stretch of it after the other."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(texts):
+        before = int(ends[low - 1]) if low else 0
+        high = max(int(np.searchsorted(ends, before + PIECE, side="right")), low + 1)
+        size = int(ends[high - 1]) - before
+        if size <= PIECE:
+            yield low, _grams(texts.slice(low, high - low))
+        else:
+            text = texts[low].as_py()
+            for at in range(0, size - 2, PIECE):
+                found = _grams(pa.array([text[at:at + PIECE + 2]], pa.string()))
+                yield low, _Grams(found.row, found.place + at, found.code, np.array([size - 2]))
+        low = high
+
+
+def _summed(lang: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal trigrams of a language as one."""
+    order = np.lexsort((code, lang))
+    lang, code = lang[order], code[order]
+    first = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (code[1:] != code[:-1])])) if len(code) else np.zeros(0, np.int64)
+    return lang[first], code[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+
 def gram_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Stored stage: (lang, gram, count); a batch sends one row per language and trigram that it met."""
+    """Stored stage: (lang, gram, count); a task sends a row per language and trigram, or more when it meets more than HELD of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[str, int] = {}
+        held, size = [], 0
+
+        def sent() -> pa.RecordBatch:
+            nonlocal held, size
+            lang, code, n = _summed(*map(np.concatenate, zip(*held)))
+            held, size, names = [], 0, pa.array(list(numbers), pa.string())
+            numbers.clear()
+            return pa.RecordBatch.from_arrays([names.take(pa.array(lang)), pa.array([_gram(c) for c in code.tolist()], pa.string()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+
         for batch in batches:
-            tags = batch.column(1).dictionary_encode()
-            grams = _grams(batch.column(0))
-            lang = tags.indices.to_numpy()[grams.row]
-            order = np.lexsort((grams.code, lang))
-            lang, code = lang[order], grams.code[order]
-            first = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (code[1:] != code[:-1])])) if len(code) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([
-                tags.dictionary.take(pa.array(lang[first])), pa.array([_gram(c) for c in code[first].tolist()], pa.string()),
-                pa.array(np.diff(np.append(first, len(code))), pa.int64())], ["lang", "gram", "n"])
+            for first, grams in _pieces(batch.column(0)):
+                tags = batch.column(1).slice(first, len(grams.counts)).to_pylist()
+                lang = np.array([numbers.setdefault(t, len(numbers)) for t in tags], dtype=np.int64)[grams.row]
+                held.append(_summed(lang, grams.code, np.ones(len(grams.code), dtype=np.int64)))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [_summed(*map(np.concatenate, zip(*held)))]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield sent()
+        if held:
+            yield sent()
 
     tagged = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(spelled(F.col(text_col)), F.col(lang_col).cast("string"))
     counted = tagged.mapInArrow(run, "lang string, gram string, n long")
@@ -124,9 +166,9 @@ class Profiles:
                 weights[place[_code(r.gram)], languages.index(r.lang)] = r.weight
         return cls(languages, codes, weights)
 
-    def posteriors(self, grams: _Grams, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hits and posterior of each row over the trigrams that are ``taken``."""
-        rows, size = len(grams.counts), max(len(self.languages), 1)
+    def sums(self, grams: _Grams, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hits and scores of each row over the trigrams that are ``taken``."""
+        rows = len(grams.counts)
         row, code = grams.row[taken], grams.code[taken]
         at = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
         known = self.codes[at] == code if len(self.codes) else np.zeros(len(code), bool)
@@ -134,14 +176,26 @@ class Profiles:
         cell, n = np.unique(row[known] * max(len(self.codes), 1) + at[known], return_counts=True)
         row, at = np.divmod(cell, max(len(self.codes), 1))
         hits = np.bincount(row, n, minlength=rows).astype(np.int64)
-        score = np.zeros((rows, size))
+        score = np.zeros((rows, max(len(self.languages), 1)))
         for k in range(len(self.languages)):
             score[:, k] = np.bincount(row, n * self.weights[at, k], minlength=rows)
-        if rows:
-            score = np.exp(score - score.max(axis=1, keepdims=True))
-            score /= score.sum(axis=1, keepdims=True)
         return hits, score
 
+    def posteriors(self, texts: pa.Array, taken: Sequence[Callable[[int, _Grams], np.ndarray]]) -> list[pa.Array]:
+        """Hits and posterior of each text over the trigrams that are ``taken`` by each of some choices."""
+        hits = np.zeros((len(taken), len(texts)), dtype=np.int64)
+        score = np.zeros((len(taken), len(texts), max(len(self.languages), 1)))
+        for first, grams in _pieces(texts):
+            rows = slice(first, first + len(grams.counts))
+            for i, choice in enumerate(taken):
+                met, told = self.sums(grams, choice(first, grams))
+                hits[i, rows] += met
+                score[i, rows] += told
+        if len(texts):
+            score = np.exp(score - score.max(axis=2, keepdims=True))
+            score /= score.sum(axis=2, keepdims=True)
+        return [_per_row(*found) for found in zip(hits, score)]
+
 
 def _drawn(grams: _Grams, keys: np.ndarray, run: int) -> np.ndarray:
     """Which trigrams a run draws: some DRAWS of each text, by its key, the run and their place; the same in every task."""
@@ -166,8 +220,7 @@ def detect(df: DataFrame, table: DataFrame, text_col: str = "text", supported: S
 
     @F.arrow_udf("struct<hits:long,p:array<double>>")
     def posterior(texts: pa.Array) -> pa.Array:
-        grams = _grams(texts)
-        return _per_row(*profiles.posteriors(grams, np.ones(len(grams.row), dtype=bool)))
+        return profiles.posteriors(texts, [lambda _, grams: np.ones(len(grams.row), dtype=bool)])[0]
 
     text = F.col(text_col)
     found = df.withColumn("_found", posterior(spelled(text)))
@@ -193,8 +246,8 @@ def stability(df: DataFrame, table: DataFrame, key_col: str, text_col: str = "te
 
     @F.arrow_udf("array<struct<hits:long,p:array<double>>>")
     def drawn(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        grams, ids = _grams(texts), keys.to_numpy(zero_copy_only=False)
-        parts = [_per_row(*profiles.posteriors(grams, _drawn(grams, ids, run))) for run in range(1, runs + 1)]
+        ids = keys.to_numpy(zero_copy_only=False)
+        parts = profiles.posteriors(texts, [lambda first, grams, run=run: _drawn(grams, ids[first:], run) for run in range(1, runs + 1)])
         order = np.arange(runs * len(texts)).reshape(runs, -1).T.ravel()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * runs, pa.int32()), pa.concat_arrays(parts).take(pa.array(order)))
 
