@@ -73,6 +73,30 @@ def test_fit_is_the_optimum_and_folds_are_fitted_apart(spark, labelled):
     assert np.abs(centred(fit.weights) - centred(best)).max() < 2e-3 * max(1, fit.strength)
 
 
+def test_fit_reaches_its_optimum_in_few_passes(spark):
+    rnd = random.Random(6)
+    # frequent words that go together and many rare ones
+    rows = []
+    for i in range(2000):
+        c = rnd.choices(range(3), [8, 1, 1])[0]
+        words = [f"w{int(rnd.paretovariate(0.6)) % 400 + 37 * c * (rnd.random() < 0.2)}" for _ in range(rnd.randrange(1, 60))]
+        rows.append((i, " ".join(words), C.CLASSES[c]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, expected string").repartition(2)
+    entries = fitting._entries(fitting.fit_tfidf(df), 5000)
+    found = regression.rows_of(df, indexed.FeatureIndex.of(entries), "text", "expected", F.col("doc_id"), 1)
+    fit = regression.fit(found, len(entries), (1.0,), 1)
+    assert fit.passes <= 40
+    gradient = regression._pass(found, [regression._Model(-1, 1.0, fit.weights.ravel())], _balanced(df), len(entries))[1][0] / len(rows)
+    pull = fit.weights / len(rows)
+    pull[-1] = 0
+    assert np.abs(gradient + pull).max() < regression.TOLERANCE * 1.01
+
+
+def _balanced(df):
+    counts = dict(df.groupBy("expected").count().collect())
+    return np.array([[sum(counts.values()) / (3 * counts[c]) for c in C.CLASSES]])
+
+
 def test_certificate_tells_the_optimum_from_other_tables(spark, labelled):
     table = fitting.fit_logreg(labelled, fitting.fit_tfidf(labelled), key_col="doc_id")
     good = regression.certificate(labelled, table, "doc_id").collect()

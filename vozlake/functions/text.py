@@ -250,6 +250,12 @@ def topic_terms(text: Column, stop_words: Iterable[str] | None = C.TOPIC_STOP_WO
     return F.array_distinct(with_bigrams(topic_tokens(text, stop_words)))
 
 
+@per_session
+def topic_tokens_of(name: str, stop_words: tuple[str, ...] | None = C.TOPIC_STOP_WORDS) -> Column:
+    """:func:`topic_tokens` of a named column."""
+    return topic_tokens(F.col(name), stop_words)
+
+
 @per_session
 def topic_terms_of(name: str, stop_words: tuple[str, ...] | None = C.TOPIC_STOP_WORDS) -> Column:
     """:func:`topic_terms` of a named column."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vozlake import constants as C
 from vozlake.durable import cut
 from vozlake.functions import text as tx
-from vozlake.operators import ranking, regression
+from vozlake.operators import ranking, regression, terms
 from vozlake.operators.indexed import FeatureIndex
 from vozlake.operators.scoring import MODEL_SCHEMA
 
@@ -28,12 +28,11 @@ def fit_tfidf(df: DataFrame, text_col: str = "text", min_df: int = C.TFIDF_MIN_D
               max_df: float = C.TFIDF_MAX_DF, max_features: int = C.TFIDF_MAX_FEATURES) -> DataFrame:
     """Vocabulary table: feature, df, corpus_count, idf (smooth, plus one).
 
-    Every comment also counts one empty feature, whose document frequency is the
-    number of comments, so the text is read once.
+    The document frequency of the empty feature is the number of comments, so
+    the text is read once.
     """
-    terms = F.concat(F.array(F.lit("")), model_terms(F.col(text_col)))
-    counts = cut(term_counts(df, [], terms).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("corpus_count")))
+    counts = cut(terms.partial_counts(df, tx.model_tokens(F.col(text_col))).groupBy("feature").agg(
+        F.sum("df").alias("df"), F.sum("tf").alias("corpus_count")))
     sized = counts.filter("feature <> ''").withColumn("_n", counts.filter("feature = ''").select(F.max("df")).scalar())
     kept = sized.filter((F.col("df") >= min_df) & (F.col("df") <= F.col("_n") * max_df))
     best = kept.orderBy(F.col("corpus_count").desc(), F.col("feature").asc()).limit(max_features)
@@ -69,12 +68,12 @@ def fit_logreg(df: DataFrame, vocabulary: DataFrame, text_col: str = "text", lab
 def fit_ratio(df: DataFrame, vocabulary: DataFrame, text_col: str = "text", label_col: str = "expected") -> DataFrame:
     """A coefficient table in closed form: log ratio of a term's share inside a class to its share outside, added-one, in one pass."""
     labelled = df.filter(F.col(label_col).isin(list(C.CLASSES)))
-    terms = term_counts(labelled, [label_col], model_terms(F.col(text_col)))
     mine = lambda c: F.sum(F.when(F.col(label_col) == c, F.col("tf")).otherwise(0))
     names = [c.lower() for c in C.CLASSES]
-    # at most TFIDF_MAX_FEATURES rows
-    known = vocabulary.select("feature", "idf")
-    per = cut(terms.groupBy("feature").agg(*[mine(c).alias(f"n_{k}") for c, k in zip(C.CLASSES, names)]).join(F.broadcast(known), "feature"), "ratios")
+    # at most TFIDF_MAX_FEATURES rows, so no other term is shuffled
+    known = F.broadcast(cut(vocabulary.select("feature", "idf"), "vocabulary"))
+    counts = terms.partial_counts(labelled, tx.model_tokens(F.col(text_col)), [label_col]).join(known, "feature", "left_semi")
+    per = cut(counts.groupBy("feature").agg(*[mine(c).alias(f"n_{k}") for c, k in zip(C.CLASSES, names)]).join(known, "feature"), "ratios")
     every = sum((F.col(f"n_{k}") for k in names[1:]), F.col(f"n_{names[0]}"))
     totals = per.agg(F.count(F.lit(1)).alias("_v"), F.sum(every).alias("_n"), *[F.sum(f"n_{k}").alias(f"_n_{k}") for k in names])
 

@@ -23,13 +23,14 @@ K = len(C.CLASSES)
 #: largest entry of the mean gradient at which a model is done, and passes after which it is left as it is
 TOLERANCE, MAX_PASSES = 1e-6, 200
 #: non-zero entries handled at once, and parameters of a stretch
-_ENTRIES, _STRETCH = 1 << 14, 1 << 14
-_MEMORY = 10
+_ENTRIES, _STRETCH = 1 << 16, 1 << 14
+_MEMORY = 40
 
 
 @dataclass
 class _Model:
-    """One penalty on all rows but those of one fold (-1: all rows); a minimum by limited-memory quasi-Newton steps."""
+    """One penalty on all rows but those of one fold (-1: all rows); a minimum by limited-memory quasi-Newton steps, scaled by the
+    root of each parameter's curvature at the start (the whole curvature oversteps where features go together)."""
 
     fold: int
     strength: float
@@ -38,6 +39,7 @@ class _Model:
     gradient: np.ndarray | None = None
     step: float = 1.0
     direction: np.ndarray | None = None
+    scale: np.ndarray | float = 1.0
     memory: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     done: bool = False
 
@@ -68,7 +70,8 @@ class _Model:
             steps.append(a)
         if self.memory:
             s, y = self.memory[-1]
-            q *= (s @ y) / (y @ y)
+            q *= (s @ y) / (y @ (y / self.scale))
+        q /= self.scale
         for (s, y), a in zip(self.memory, reversed(steps)):
             q += s * (a - (y @ q) / (s @ y))
         return -q
@@ -90,13 +93,15 @@ def rows_of(df: DataFrame, index: FeatureIndex, text_col: str, label_col: str, k
     return cut(given.mapInArrow(run, "fold int, label int, feature array<int>, x array<double>"), "vectors")
 
 
-def _pass(rows: DataFrame, models: Sequence[_Model], weights: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Summed losses and gradients of all models, and how many rows of their own fold they have right."""
+def _pass(rows: DataFrame, models: Sequence[_Model], weights: np.ndarray, features: int, squares: bool = False) -> tuple[np.ndarray, ...]:
+    """Summed losses and gradients of all models, how many rows of their own fold they have right and, if asked for, the weighted
+    sums of squares of each feature."""
     m, folds = len(models), np.array([model.fold for model in models])
-    points = np.stack([model.asked().reshape(features + 1, K) for model in models], axis=1).reshape(features + 1, m * K)
+    points = np.stack([model.asked().reshape(features + 1, K) for model in models], axis=0).transpose(0, 2, 1).reshape(m * K, features + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gradient, loss, right = np.zeros_like(points), np.zeros(m), np.zeros(m)
+        square = np.zeros((m if squares else 0, features + 1))
         for batch in batches:
             fold, label = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             begin = batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
@@ -104,28 +109,30 @@ def _pass(rows: DataFrame, models: Sequence[_Model], weights: np.ndarray, featur
             low = 0
             while low < batch.num_rows:
                 high = max(int(np.searchsorted(begin, begin[low] + _ENTRIES, side="right")) - 1, low + 1)
-                n, counts = high - low, np.diff(begin[low:high + 1])
-                # the intercept is one entry more, so no row is without
-                edges = np.cumsum(counts + 1) - (counts + 1)
-                at = np.insert(feature[begin[low]:begin[high]], np.cumsum(counts), features)
-                value = np.insert(x[begin[low]:begin[high]], np.cumsum(counts), 1.0)
-                z = np.add.reduceat(value[:, None] * points[at], edges).reshape(n, m, K)
+                n, y = high - low, np.arange(high - low)
+                row = np.repeat(y, np.diff(begin[low:high + 1]))
+                at, value = feature[begin[low]:begin[high]], x[begin[low]:begin[high]]
+                # the last parameter of a class is its intercept
+                z = np.stack([np.bincount(row, value * w[at], minlength=n) + w[features] for w in points], axis=1).reshape(n, m, K)
                 z -= z.max(axis=2, keepdims=True)
                 p = np.exp(z)
                 total = p.sum(axis=2, keepdims=True)
-                own, y = label[low:high], np.arange(n)
+                own = label[low:high]
                 held = fold[low:high, None] == folds
                 s = np.where(held, 0.0, weights[:, own].T)
                 loss += (s * (np.log(total[:, :, 0]) - z[y, :, own])).sum(axis=0)
                 right += (held & (z.argmax(axis=2) == own[:, None])).sum(axis=0)
                 p /= total
                 p[y, :, own] -= 1
-                rest = (s[:, :, None] * p).reshape(n, m * K)
-                order = np.argsort(at, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]]))
-                gradient[at[order][first]] += np.add.reduceat(value[order, None] * rest[np.repeat(y, counts + 1)[order]], first)
+                rest = np.ascontiguousarray((s[:, :, None] * p).reshape(n, m * K).T)
+                for sums, r in zip(gradient, rest):
+                    sums[:features] += np.bincount(at, value * r[row], minlength=features)
+                    sums[features] += r.sum()
+                for sums, r in zip(square, s.T):
+                    sums[:features] += np.bincount(at, value * value * r[row], minlength=features)
+                    sums[features] += r.sum()
                 low = high
-        flat = np.concatenate([gradient.ravel(), loss, right])
+        flat = np.concatenate([gradient.ravel(), loss, right, square.ravel()])
         parts = [flat[a:a + _STRETCH] for a in range(0, len(flat), _STRETCH)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([v.tobytes() for v in parts], pa.binary())], ["part", "sums"])
 
@@ -146,9 +153,9 @@ def _pass(rows: DataFrame, models: Sequence[_Model], weights: np.ndarray, featur
     schema = "part int, sums binary"
     summed = rows.mapInArrow(run, schema).repartition("part").sortWithinPartitions("part").mapInArrow(add, schema)
     got = sorted((r.part, bytes(r.sums)) for r in summed.collect())
-    flat = np.frombuffer(b"".join(v for _, v in got)) if got else np.zeros(points.size + 2 * m)
-    gradients = flat[:points.size].reshape(features + 1, m, K)
-    return flat[points.size:points.size + m], gradients, flat[points.size + m:]
+    flat = np.frombuffer(b"".join(v for _, v in got)) if got else np.zeros(points.size + 2 * m + (m * (features + 1) if squares else 0))
+    gradients, losses, right, square = np.split(flat, np.cumsum([points.size, m, m]))
+    return losses, gradients.reshape(m, K, features + 1).transpose(0, 2, 1), right, square.reshape(-1, features + 1)
 
 
 @dataclass(frozen=True)
@@ -173,13 +180,17 @@ def fit(rows: DataFrame, features: int, strengths: Sequence[float], folds: int)
     weights = n[:, None] / (K * np.maximum(sizes, 1))
     right, passes = np.zeros(len(models)), 0
     while passes < MAX_PASSES and not all(m.done for m in models):
-        losses, gradients, right = _pass(rows, models, weights, features)
+        losses, gradients, right, square = _pass(rows, models, weights, features, squares=not passes)
         passes += 1
         for i, model in enumerate(models):
             pull = model.asked().reshape(features + 1, K) / (model.strength * n[i])
             pull[-1] = 0  # intercepts are free
             penalty = 0.5 * float((pull * model.asked().reshape(features + 1, K)).sum())
-            model.told(losses[i] / n[i] + penalty, (gradients[:, i] / n[i] + pull).ravel())
+            if passes == 1:
+                # all classes are alike at the start
+                bend = square[i] * (K - 1) / (K * K * n[i]) + 1 / (model.strength * n[i])
+                model.scale = np.repeat(np.sqrt(bend), K)
+            model.told(losses[i] / n[i] + penalty, (gradients[i] / n[i] + pull).ravel())
     if held:
         right = _pass(rows, [_at(m) for m in models], weights, features)[2]
     choices = [(m.strength, m.fold, int(counts[m.fold].sum()), int(right[i])) for i, m in enumerate(models) if m.fold >= 0]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from vozlake import constants as C
 from vozlake.functions import text as tx
 from vozlake.operators import ranking
+from vozlake.operators.terms import partial_counts
 
 
 def terms(df: DataFrame, keep: Sequence[str], text_col: str = "text",
@@ -25,8 +26,10 @@ def terms(df: DataFrame, keep: Sequence[str], text_col: str = "text",
 def document_frequency(df: DataFrame, group_cols: Sequence[str] = (), text_col: str = "text",
                        min_df: int = 1, stop_words: Iterable[str] | None = C.TOPIC_STOP_WORDS) -> DataFrame:
     """Comments per term: (group..., topic, frequency, n_words)."""
-    counted = terms(df, list(group_cols), text_col, stop_words).groupBy(*group_cols, "topic").agg(
-        F.count(F.lit(1)).alias("frequency"),
+    tokens = tx.topic_tokens_of(text_col, tuple(stop_words) if stop_words else None)
+    partial = partial_counts(df, tokens, list(group_cols)).filter("feature <> ''").withColumnRenamed("feature", "topic")
+    counted = partial.groupBy(*group_cols, "topic").agg(
+        F.sum("df").alias("frequency"),
         # an aggregate, so a later test on it cannot be pushed below the counting
         # and the counted shuffle is shared by every reader
         F.max(F.when(F.col("topic").contains(" "), 2).otherwise(1)).alias("n_words"),

@@ -45,7 +45,7 @@ o.define("rl_prep", "SELECT p.doc_id, p.text, t.expected FROM prep p JOIN truth
 def fit_logreg(t: Tables) -> DataFrame:
     """The optimality condition of the regression at its fitted weights: no gradient is left, so each class's weighted mean
     probability is its weighted share."""
-    rows = labelled(t)
+    rows = cut(labelled(t), "labelled")
     table = fitting.fit_logreg(rows, fitting.fit_tfidf(rows), key_col="doc_id")
     return regression.certificate(rows, table, "doc_id").select(
         "class", "cases", F.round("class_weight", 6).alias("class_weight"), F.round("mean_probability", 4).alias("mean_probability"),
@@ -72,7 +72,7 @@ o.define("rl_long", "SELECT feature, u.class, u.weight FROM (SELECT feature, unn
 
 def fitted(t: Tables) -> DataFrame:
     """Coefficients fitted on the labelled comments, written as a table and read back."""
-    rows = labelled(t)
+    rows = cut(labelled(t), "labelled")
     return cut(fitting.fit_ratio(rows, fitting.fit_tfidf(rows)), "coefficients")
 
 
