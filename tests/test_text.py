@@ -80,3 +80,17 @@ def test_run_lengths(spark):
 
 def test_reserved_columns_are_hidden():
     assert joins.selectable_columns(["id", " Expected_Sentiment ", "texto"]) == ["id", "texto"]
+
+
+def test_folding_tests_letters_beyond_ascii_only(spark):
+    longer = tx._folding()[2]
+    every = spark.range(1, 0x11000).filter("id < 55296 or id > 57343").select("id", F.decode(F.encode(F.concat(F.lit("a"), F.expr(
+        "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')")), "UTF-8"), "UTF-8").alias("text"))
+    plain = F.col("text").rlike("[" + "".join(c for c, _ in longer) + r"\p{M}]")
+    source, target, _ = tx._folding()
+    old = F.regexp_replace(F.translate(F.lower("text"), source, target), r"\p{M}+", "")
+    for char, instead in longer:
+        old = F.replace(old, F.lit(char), F.lit(instead))
+    assert every.filter(plain).count() > 100
+    assert every.filter(~tx.fold(F.col("text")).eqNullSafe(old)).count() == 0
+    assert "&&" in tx.fold(F.col("text"))._jc.toString()

@@ -189,8 +189,9 @@ def fold(col: Column) -> Column:
             text = F.replace(text, F.lit(char), F.lit(plain))
         return F.regexp_replace(text, r"\p{M}+", "")
 
-    # most comments hold none of these, so they pay for one test only
-    unusual = "[" + "".join(char for char, _ in longer) + r"\p{M}]"
+    # most comments hold none of these, so they pay for one test only; a class of hundreds of letters is tried one by one, so it
+    # is asked for characters beyond ASCII only
+    unusual = r"[[^\x00-\x7F]&&[" + "".join(char for char, _ in longer) + r"\p{M}]]"
     return let(
         F.translate(F.lower(col), source, target),
         lambda t: F.when(t.rlike(unusual), expand(t)).otherwise(t),
@@ -250,12 +251,6 @@ def topic_terms(text: Column, stop_words: Iterable[str] | None = C.TOPIC_STOP_WO
     return F.array_distinct(with_bigrams(topic_tokens(text, stop_words)))
 
 
-@per_session
-def topic_tokens_of(name: str, stop_words: tuple[str, ...] | None = C.TOPIC_STOP_WORDS) -> Column:
-    """:func:`topic_tokens` of a named column."""
-    return topic_tokens(F.col(name), stop_words)
-
-
 @per_session
 def topic_terms_of(name: str, stop_words: tuple[str, ...] | None = C.TOPIC_STOP_WORDS) -> Column:
     """:func:`topic_terms` of a named column."""
